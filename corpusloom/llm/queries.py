@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, nearjoin, quality, substrings, urlfilter
+import public_tokenizers
+
+from . import decontaminate, linededup, lmscore, nearjoin, packing, quality, substrings, suffixes, tokens, urlfilter
 from .storage import table
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op1_lm_scoring(spark, sf_dir):
+    return lmscore.score_documents(table(spark, sf_dir, "documents"))
+
 
 def op2_url_filters(spark, sf_dir):
     return urlfilter.url_report(table(spark, sf_dir, "pages"))
@@ -14,10 +22,22 @@ def op3_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
+def op5_token_counts(spark, sf_dir):
+    return tokens.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op6_line_dedup(spark, sf_dir):
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op8_substring_dedup(spark, sf_dir):
     return substrings.drop_repeated_windows(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
@@ -30,7 +50,7 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filters, op3_quality_rules, op6_line_dedup, op8_substring_dedup, op9_jaccard_join, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_line_dedup, op7_packing, op8_substring_dedup, op9_jaccard_join, op10_decontamination)}
 
 _WORDS = "list_filter(string_split(translate({t}, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> '')"
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

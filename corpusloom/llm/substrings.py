@@ -8,9 +8,7 @@ and counted, a small share of all windows.  Anchors met twice are then extended
 to the full windows around them, and of each window all occurrences but the
 first (by document id, then place) are repeats.
 
-Hot anchors and windows are met in nearly every slice of the input: rows that
-find their partner within a slice are known to be shared at once, go to groups
-of their own salt, and one delegate for each slice goes to the common group.
+Hot anchors and windows are met by delegates of slices (see meetings.py).
 
 Defined cases: null and empty texts have no words; a null doc_id comes before
 all others; rows that repeat a doc_id are one document, in which a place
@@ -27,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .meetings import SCHEMA, live_hashes, meeting_rows, salts, shared_anchors
 from .storage import keyed, restrict, unkeyed, with_marks, written
-from .textbytes import NON_SPACE, Words, covered, mix, signed, slices, words_of
+from .textbytes import NON_SPACE, Words, covered, signed, slices, words_of
 
 #: Smallest known difference covers (perfect difference sets) by their period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -49,14 +48,7 @@ def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at[keep], hashes[keep]
 
 
-def _salts(known: np.ndarray, delegate: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """0 for what must meet the whole corpus, else one of 1024 salts."""
-    return np.where(known & ~delegate, 1 + (mix(keys.view(np.uint64)) % np.uint64(1024)).astype(np.int64), 0)
-
-
 def _anchor_rows(window: int):
-    names = ["anchor", "salt", "key", "n"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -64,16 +56,7 @@ def _anchor_rows(window: int):
                 at, hashes = _anchors(words, window)
                 if not len(at):
                     continue
-                keys = part.column("key").to_numpy(zero_copy_only=False)[words.text_of()[at]]
-                order = np.lexsort((keys, hashes))
-                hashes, keys = hashes[order], keys[order]
-                new_hash = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-                new_pair = new_hash | np.concatenate(([True], keys[1:] != keys[:-1]))
-                group = np.cumsum(new_hash) - 1
-                many = np.bincount(group)[group][new_pair]  # occurrences within the slice
-                hashes, keys, delegate = hashes[new_pair], keys[new_pair], new_hash[new_pair]
-                known = many > 1
-                yield pa.RecordBatch.from_arrays([signed(hashes), pa.array(_salts(known, delegate, keys)), pa.array(keys), pa.array(np.minimum(many, 2).astype(np.int32))], names=names)
+                yield meeting_rows(hashes, part.column("key").to_numpy(zero_copy_only=False)[words.text_of()[at]])
 
     return run
 
@@ -86,9 +69,8 @@ def _window_rows(window: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = words_of(part.column("text"), NON_SPACE)
-                live = np.unique(part.column("anchors").flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
                 at, hashes = _anchors(words, window)
-                at = at[np.isin(hashes, live)]
+                at = at[np.isin(hashes, live_hashes(part))]
                 starts = np.zeros(len(words.hashes) + 1, bool)
                 for d in range(v):
                     starts[np.maximum(at - d, 0)] = True
@@ -106,7 +88,7 @@ def _window_rows(window: int):
                 earliest = np.concatenate(([True], hashes[1:] != hashes[:-1]))
                 first = np.flatnonzero(earliest)[np.cumsum(earliest) - 1]
                 repeat = (keys != keys[first]) | (places != places[first])
-                yield pa.RecordBatch.from_arrays([signed(hashes), pa.array(_salts(repeat, earliest, keys)), pa.array(keys), pa.array(places.astype(np.int32)), pa.array(repeat)], names=names)
+                yield pa.RecordBatch.from_arrays([signed(hashes), pa.array(salts(repeat, earliest, keys)), pa.array(keys), pa.array(places.astype(np.int32)), pa.array(repeat)], names=names)
 
     return run
 
@@ -116,9 +98,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if window < 1:
         raise ValueError("a window has at least one word")
     texts = keyed(docs, id_col, text_col)
-    met = texts.mapInArrow(_anchor_rows(window), "anchor long, salt long, key long, n int")
-    group = Window.partitionBy("anchor", "salt")
-    live = written(met.withColumn("n", F.sum("n").over(group)).filter("n > 1").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "anchors")
+    live = shared_anchors(texts.mapInArrow(_anchor_rows(window), SCHEMA))
     hot = restrict(texts, live.select("key"), "key", live.count()).join(live, "key")
     rows = hot.mapInArrow(_window_rows(window), "window long, salt long, key long, place int, repeat boolean")
     first = F.min(F.struct("key", "place")).over(Window.partitionBy("window", "salt"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 SLICE_BYTES = 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _POWERS = {_BASE: np.ones(1, np.uint64), _BASE_INVERSE: np.ones(1, np.uint64)}
@@ -53,7 +53,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Polynomial hash of values[start:end] for each pair, from one prefix sum."""
     n = len(values)
     if not len(starts):
@@ -112,10 +112,10 @@ class Words:
         """(positions, hashes) of all runs of k words that lie within one text."""
         left = np.repeat(self.first[1:], self.counts) - np.arange(len(self.hashes))
         at = np.flatnonzero(left >= k)
-        return at, _run_hashes(self.hashes, at, at + k)
+        return at, run_hashes(self.hashes, at, at + k)
 
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _run_hashes(self.hashes, starts, ends)
+        return run_hashes(self.hashes, starts, ends)
 
 
 def words_of(column: pa.Array, table: np.ndarray = NON_SPACE, lower: bool = False) -> Words:
@@ -132,7 +132,7 @@ def words_of(column: pa.Array, table: np.ndarray = NON_SPACE, lower: bool = Fals
     stops[offsets[some + 1] - 1] = inside[offsets[some + 1] - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     first = np.searchsorted(starts, offsets)
-    hashes = _run_hashes(_BYTE[data], starts, ends) if n else np.empty(0, np.uint64)
+    hashes = run_hashes(BYTE_CODES[data], starts, ends) if n else np.empty(0, np.uint64)
     return Words(data, offsets, starts, ends, first, hashes)
 
 
