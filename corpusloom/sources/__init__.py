@@ -1 +1,6 @@
+"""Readers and writers."""
 
+from .io import append_usage, load_answer_questions, load_questions, read_files, read_messages, write_chunks
+from .reports import answer_report_markdown, report_json, report_markdown
+
+__all__ = ["answer_report_markdown", "append_usage", "load_answer_questions", "load_questions", "read_files", "read_messages", "report_json", "report_markdown", "write_chunks"]

@@ -1 +1,5 @@
+"""Continuous jobs: indexing, usage counters, rate limits."""
 
+from .jobs import IndexTables, rate_limit_stream, start_index_stream, start_usage_stream, usage_counters
+
+__all__ = ["IndexTables", "rate_limit_stream", "start_index_stream", "start_usage_stream", "usage_counters"]
