@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .meetings import SCHEMA, live_hashes, meeting_rows, salts, shared_anchors
 from .storage import keyed, restrict, unkeyed, with_marks, written
-from .textbytes import NON_SPACE, Words, covered, signed, slices, words_of
+from .textbytes import NON_SPACE, Words, covered, slices, words_of
 
 #: Smallest known difference covers (perfect difference sets) by their period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -88,7 +88,9 @@ def _window_rows(window: int):
                 earliest = np.concatenate(([True], hashes[1:] != hashes[:-1]))
                 first = np.flatnonzero(earliest)[np.cumsum(earliest) - 1]
                 repeat = (keys != keys[first]) | (places != places[first])
-                yield pa.RecordBatch.from_arrays([signed(hashes), pa.array(salts(repeat, earliest, keys)), pa.array(keys), pa.array(places.astype(np.int32)), pa.array(repeat)], names=names)
+                columns = hashes.view(np.int64), salts(repeat, earliest, keys), keys, places.astype(np.int32), repeat
+                text_order = np.argsort(order)  # neighbours in a text compress well together
+                yield pa.RecordBatch.from_arrays([pa.array(c[text_order]) for c in columns], names=names)
 
     return run
 
