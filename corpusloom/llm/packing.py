@@ -34,9 +34,11 @@ from .tokens import REMEMBERED, pair_merges
 #: Pieces of one group; packed in one task in bounded memory.
 GROUP = 20_000
 #: Bins filled to this share are final.
-FULL = 0.999
+FULL = 0.995
 #: The local search of a group ends after so many bins in a row that can't be emptied.
 PATIENCE = 24
+#: Steps that one bin may take to become empty.
+STEPS = 256
 
 
 @lru_cache(maxsize=2)
@@ -45,19 +47,20 @@ def _coded(path: str) -> dict[str, bytes]:
 
 
 def _ids(texts: list[str | None], path: str) -> list[bytes]:
-    """The library's ids of each text as little-endian unsigned 32-bit numbers; repeated pre-tokens are encoded once."""
+    """The library's ids of each text as little-endian unsigned 32-bit numbers; repeated pre-tokens are merged once."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     model, known = pair_merges(path), _coded(path)
-    whole = [i for i, t in enumerate(texts) if t and model.specials and any(s in t for s in model.specials)]
-    split = [[] if i in set(whole) else model.split(t)[0] for i, t in enumerate(texts)]
+    special = {i for i, t in enumerate(texts) if t and any(s in t for s in model.specials)}
+    split = [[] if i in special else model.split(t)[0] for i, t in enumerate(texts)]
     if len(known) > REMEMBERED:
         known.clear()
     new = list(set(chain.from_iterable(split)).difference(known))
     if new:
-        found = model.library.encode_batch(new, add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+        ids, sizes = model.merged(new)
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        known.update((w, raw[a:b]) for w, a, b in zip(new, [0, *ends], ends, strict=False))
     out = [b"".join(map(known.__getitem__, p)) for p in split]
-    for i in whole:
+    for i in special:
         out[i] = np.array(model.library.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
     return out
 
@@ -107,54 +110,57 @@ def best_fit(sizes: np.ndarray, length: int) -> np.ndarray:
 
 
 def local_search(sizes: np.ndarray, bins: np.ndarray, length: int) -> np.ndarray:
-    """Empties bins by moves and exchanges that raise the sum of squared fills."""
+    """Empties bins by moves and exchanges that raise the sum of squared fills.
+
+    The emptiest bin gives away, step by step, the most tokens that one step can: a document into a gap, or one or two
+    documents for a smaller one of a fuller bin.  A bin that can't be emptied keeps what raised the sum.
+    """
     bins = bins.copy()
     fill = np.bincount(bins, sizes).astype(np.int64)
     target, stuck, tried = -(-int(sizes.sum()) // length), 0, set()
     while stuck < PATIENCE and int((fill > 0).sum()) > target:
-        candidates = [b for b in np.argsort(fill, kind="stable").tolist() if 0 < fill[b] < length and b not in tried]
-        if not candidates:
+        v = next((b for b in np.argsort(fill, kind="stable").tolist() if 0 < fill[b] < length and b not in tried), None)
+        if v is None:
             break
-        v = candidates[0]
-        before = bins.copy(), fill.copy()
-        open_ = np.flatnonzero((fill[bins] < length) & (bins != v))  # pieces of other underfull bins
-        while fill[v] > 0:
-            own = np.flatnonzero(bins == v)
+        own = np.flatnonzero(bins == v).tolist()
+        others = np.flatnonzero((fill[bins] < length) & (bins != v))  # documents of other underfull bins
+        for _ in range(STEPS):
             gap = length - fill
-            best = None  # (tokens moved, own pieces given, piece taken, bin)
-            singles = [((int(i),), int(sizes[i])) for i in own]
-            some = own[np.argsort(-sizes[own], kind="stable")][:24].tolist()
-            pairs = [((i, j), int(sizes[i] + sizes[j])) for x, i in enumerate(some) for j in some[x + 1 :]]
-            others = np.flatnonzero((fill > 0) & (fill < length) & (np.arange(len(fill)) != v))
-            e, b = sizes[open_], bins[open_]
-            for given, size in singles:
-                fits = others[gap[others] >= size]
-                if len(fits):
-                    best = (size, given, None, int(fits[np.argmin(gap[fits])]))
-                    break
-            if best is None:
-                for given, size in singles + pairs:
-                    ok = (e < size) & (size - e <= gap[b]) & (fill[b] >= fill[v])
-                    if ok.any():
-                        at = np.flatnonzero(ok)
-                        at = at[np.argmax(size - e[at])]
-                        if best is None or size - e[at] > best[0]:
-                            best = (int(size - e[at]), given, int(open_[at]), int(b[at]))
-            if best is None:
+            # what the bin can give: one or two documents, by size
+            gives = [(int(sizes[i]), (i,)) for i in own]
+            few = sorted(own, key=lambda i: -sizes[i])[:48]
+            gives += [(int(sizes[i] + sizes[j]), (i, j)) for x, i in enumerate(few) for j in few[x + 1 :]]
+            gives.sort()
+            amounts = np.array([g[0] for g in gives])
+            taken, to, moved = -1, -1, 0
+            room = np.where((fill > 0) & (fill >= fill[v]) & (np.arange(len(fill)) != v), gap, 0)
+            b = int(np.argmax(room))
+            fits = int(np.searchsorted(amounts, room[b], "right")) - 1
+            if fits >= 0:
+                given, to, moved = gives[fits][1], b, int(amounts[fits])
+            if len(others):
+                e, g = sizes[others], room[bins[others]]
+                at = np.searchsorted(amounts, e + g, "right") - 1
+                gain = np.where((at >= 0) & (g > 0), amounts[at] - e, 0)
+                j = int(np.argmax(gain))
+                if gain[j] > moved:
+                    given, taken, to, moved = gives[at[j]][1], int(others[j]), int(bins[others[j]]), int(gain[j])
+            if moved <= 0:
                 break
-            moved, given, taken, to = best
             bins[list(given)] = to
-            if taken is not None:
+            own = [i for i in own if i not in given]
+            if taken >= 0:
                 bins[taken] = v
+                own.append(taken)
+            others = np.concatenate((others[others != taken], given))
+            others = others[bins[others] != v]
             fill[to] += moved
             fill[v] -= moved
-        if fill[v] == 0:
-            stuck = 0
-        else:
-            stuck += 1
+            if not own:
+                break
+        stuck = 0 if not own else stuck + 1
+        if own:
             tried.add(v)
-            if (fill**2).sum() < (before[1] ** 2).sum():
-                bins, fill = before
     return bins
 
 

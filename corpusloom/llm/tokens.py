@@ -46,7 +46,7 @@ _COMMON = re.compile(r"[\x00-\x1b\x20-\x84\x86-ſ‐-‧‰-⁞€]*\Z")
 _SPACE = r"\t-\r \x85\xa0"
 _LETTER = r"a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ẛ"
 _NUMBER = r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_FAST = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+".replace(r"̇", ""))
+_FAST = re.compile(f"[{_LETTER}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -77,8 +77,7 @@ class PairMerges:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.size = np.int64(len(vocab))
         keys = np.array([vocab[a] * len(vocab) + vocab[b] for a, b in merges], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self._fill_table(keys)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         self.specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
@@ -103,35 +102,63 @@ class PairMerges:
         parts = self._special.split(text)
         return list(chain.from_iterable(self.pieces(p) for p in parts[::2] if p)), len(parts) // 2
 
-    def merged_sizes(self, pieces: list[str]) -> np.ndarray:
-        """The number of tokens of each pre-token."""
+    def ranks_of(self, keys: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair, or NO_RANK, from a hash table with linear probing."""
+        out = np.full(len(keys), NO_RANK)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            there = self._table[slot]
+            hit = there == keys[left]
+            out[left[hit]] = self._table_ranks[slot[hit]]
+            go_on = ~hit & (there >= 0)
+            left, slot = left[go_on], (slot[go_on] + 1) & (len(self._table) - 1)
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 19)).astype(np.int64)
+
+    def _fill_table(self, keys: np.ndarray) -> None:
+        self._table, self._table_ranks = np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self._table[slot] < 0
+            _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
+            put = first[free[first]]
+            self._table[slot[put]], self._table_ranks[slot[put]] = keys[left[put]], left[put]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, slot = left[rest], (slot[rest] + 1) & (len(self._table) - 1)
+
+    def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pre-tokens one after another, the number of tokens of each)."""
         coded = [p.encode("utf-8", "surrogateescape") for p in pieces]
         sizes = np.array([len(c) for c in coded], np.int64)
         data = np.frombuffer(b"".join(coded), np.uint8)
-        symbols = self.inner[data]
-        symbols[np.cumsum(sizes)[sizes > 0] - 1] = self.last[data[np.cumsum(sizes)[sizes > 0] - 1]]
-        owner = np.repeat(np.arange(len(pieces)), sizes)
-        out = sizes.copy()
+        symbols, owner = self.inner[data], np.repeat(np.arange(len(pieces)), sizes)
+        last = np.cumsum(sizes)[sizes > 0] - 1
+        symbols[last] = self.last[data[last]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
-            key = symbols[:-1] * self.size + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where((self.keys[at] == key) & (owner[:-1] == owner[1:]), self.ranks[at], NO_RANK)
-            rank = np.append(rank, NO_RANK)
+            rank = np.full(len(symbols), NO_RANK)
+            inside = np.flatnonzero(owner[:-1] == owner[1:])
+            rank[inside] = self.ranks_of(symbols[inside] * self.size + symbols[inside + 1])
             begins = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-            lowest = np.minimum.reduceat(rank, begins)
-            length = np.diff(np.append(begins, len(owner)))
-            lowest_here = np.repeat(lowest, length)
-            hit = (rank == lowest_here) & (rank < NO_RANK)
+            lowest = np.repeat(np.minimum.reduceat(rank, begins), np.diff(np.append(begins, len(owner))))
+            over = lowest == NO_RANK
+            done.append((owner[over], symbols[over]))
+            hit = (rank == lowest) & ~over
             # of overlapping places of one pair every other one, from the left
-            run = np.arange(len(hit)) - np.maximum.accumulate(np.where(hit, 0, np.arange(len(hit)) + 1))
-            hit &= run % 2 == 0
+            at = np.arange(len(hit))
+            hit &= (at - np.maximum.accumulate(np.where(hit, 0, at + 1))) % 2 == 0
             where = np.flatnonzero(hit)
-            out -= np.bincount(owner[where], minlength=len(out))
             symbols[where] = self.made[rank[where]]
-            keep = lowest_here < NO_RANK
+            keep = ~over
             keep[where + 1] = False
             symbols, owner = symbols[keep], owner[keep]
-        return out
+        owner, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.empty(0, np.int64),) * 2
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.bincount(owner, minlength=len(pieces))
 
 
 @lru_cache(maxsize=2)
@@ -151,7 +178,7 @@ def token_counts(texts: list[str | None], path: str) -> list[int]:
         known.clear()
     new = list(set(chain.from_iterable(p for p, _ in split)).difference(known))
     if new:
-        known.update(zip(new, model.merged_sizes(new).tolist(), strict=True))
+        known.update(zip(new, model.merged(new)[1].tolist(), strict=True))
     return [sum(map(known.__getitem__, p)) + special for p, special in split]
 
 
