@@ -38,11 +38,13 @@ from pyspark.sql import functions as F
 
 from .meetings import SCHEMA, live_hashes, meeting_rows, shared_anchors
 from .storage import keyed, restrict, unkeyed, with_marks, written
-from .textbytes import BYTE_CODES, run_hashes, bytes_of, mix, slices
+from .textbytes import BYTE_CODES, RunHashes, bytes_of, mix, run_hashes, slices
 
-SLICE, LEAD, GRAM = 2 << 20, 48, 8
+SLICE, LEAD, GRAM = 1 << 20, 48, 8
 #: Bytes of contexts in a bucket of the suffix array.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+#: Rows of a bucket's result that are made at once.
+ROWS = 1 << 17
 
 
 def spread_for(length: int) -> int:
@@ -160,23 +162,22 @@ def _bucket(pieces: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     data, begins = np.frombuffer(b"".join(content), np.uint8), np.concatenate(([0], ends[:-1]))
     place, sizes = begins + most, length - least
     width = -(-length // 8) * 8
-    at = place[:, None] + np.arange(width)
-    suffixes = np.where(at < ends[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
-    del at
+    suffixes = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(width, np.uint8))), width)[place]
+    suffixes[np.arange(width) >= sizes[:, None]] = 0
     order = multikey_sort(suffixes.view(">u8"))
     suffixes, place, sizes, least, most, m, c1, c2 = (x[order] for x in (suffixes, place, sizes, least, most, m, c1, c2))
     common = _common(suffixes, sizes)
     run = np.cumsum(common < shared)
     lead = suffixes[:, :LEAD]
     edge = (lead == lead[0]).all(1) | (lead == lead[-1]).all(1)
-    out: list[list[np.ndarray]] = []
 
-    def give(rows, lo, hi, window=None):
-        out.append([c1[rows], c2[rows], lo, hi, m[rows], np.zeros(len(rows), np.int64) if window is None else window, np.full(len(rows), window is not None)])
+    def batch(rows, lo, hi, window=None):
+        columns = [c1[rows], c2[rows], lo.astype(np.int32), hi.astype(np.int32), m[rows], np.zeros(len(rows), np.int64) if window is None else window, np.full(len(rows), window is not None)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["c1", "c2", "lo", "hi", "m", "window", "open"])
 
     alone = ~edge & (np.bincount(run)[run] == 1)
     whole = np.flatnonzero(alone & (m > 1))
-    give(whole, least[whole], most[whole])
+    yield batch(whole, least[whole], most[whole])
     some = np.flatnonzero(~edge & ~alone)
     if len(some):
         near, p, lo, hi, weight = common[some], place[some], least[some], most[some], m[some]
@@ -192,17 +193,15 @@ def _bucket(pieces: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
         step = np.diff(repeated.astype(np.int8), axis=0, prepend=0)
         rows, from_ = np.nonzero(step.T > 0)
         _, to = np.nonzero(step.T < 0)
-        give(some[rows], from_, to - 1)
-    rows = np.flatnonzero(edge)
-    many = (most - least + 1)[rows]
-    distance = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(least[rows], many)
-    rows = np.repeat(rows, many)
-    start = place[rows] - distance
-    give(rows, distance, distance, run_hashes(BYTE_CODES[data], start, start + length).view(np.int64))
-    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-    columns[2], columns[3] = columns[2].astype(np.int32), columns[3].astype(np.int32)
-    for a in range(0, len(columns[0]), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)]) for x in columns], names=["c1", "c2", "lo", "hi", "m", "window", "open"])
+        del repeated, step
+        yield batch(some[rows], from_, to - 1)
+    hashes, rows = RunHashes(BYTE_CODES[data]), np.flatnonzero(edge)
+    for part in np.split(rows, range(step_rows := max(1, ROWS // length), len(rows), step_rows)):
+        many = (most - least + 1)[part]
+        distance = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(least[part], many)
+        part = np.repeat(part, many)
+        start = place[part] - distance
+        yield batch(part, distance, distance, hashes(start, start + length).view(np.int64))
 
 
 def _bucket_rows(length: int):

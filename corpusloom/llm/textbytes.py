@@ -53,15 +53,20 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+class RunHashes:
+    """Polynomial hashes of values[start:end] for any pairs, from one prefix sum."""
+
+    def __init__(self, values: np.ndarray):
+        self.sums = np.empty(len(values) + 1, np.uint64)
+        self.sums[0] = 0
+        np.cumsum(values * _powers(_BASE, len(values)), out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * _powers(_BASE_INVERSE, len(self.sums))[starts])
+
+
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each pair, from one prefix sum."""
-    n = len(values)
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * _powers(_BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, n)[starts])
+    return RunHashes(values)(starts, ends) if len(starts) else np.empty(0, np.uint64)
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
