@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import few, small, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,17 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives a node the smallest label among itself and its neighbours, then the label of that label
     (pointer jumping), so labels cross a chain of n nodes in about log n rounds.  Every round is
-    a written table of one row a node; no group is gathered.
+    a written table of one row a node, made by one shuffle; no group is gathered.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    both = edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct()
+    rows = edges.count()
+    both = written(few(both, 4 * rows), "edges")
+    labels = written(few(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), rows), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        low = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        low = written(low, "labels")
-        up = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        fresh = low.join(up, "low", "left").select("node", "old", F.coalesce(F.least("low", "lower"), "low").alias("component"))
-        fresh = written(fresh, "labels")
+        # the loop at each node brings its own label
+        near = both.join(small(labels, 2 * rows), both.b == labels.node).groupBy("a").agg(F.min("component").alias("low"), F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("old"))
+        up = labels.select(F.col("node").alias("low"), F.col("component").alias("lower"))
+        fresh = near.join(small(up, 2 * rows), "low").select(F.col("a").alias("node"), "old", F.col("lower").alias("component"))
+        fresh = written(few(fresh, 2 * rows), "labels")
         labels = fresh.select("node", "component")
         if fresh.filter("component <> old").isEmpty():
             return labels

@@ -4,8 +4,10 @@ All sets are ordered by one order of the shingles, rare ones first.  With a
 required overlap of t, two linked sets share at least m shingles within their
 first n - t + m (the m-prefix), for any m <= t; so a pair whose sides chose
 m and m' need only be looked at if their prefixes share min(m, m').  Each set
-chooses its own m by estimated cost: the postings its prefix meets plus the
-pairs that m shared shingles would leave to verify.
+chooses its own m, from a twelfth of its size up, by estimated cost: the postings
+its prefix meets plus the pairs that m shared shingles would leave to verify.
+A set whose prefix shares too few shingles with all others together can have
+no link and is dropped before any pair is made.
 
 Rarity comes from a table of counts over all documents: shingles hashed to a
 fixed number of cells, a bounded size at any corpus size.  It steers the order
@@ -36,15 +38,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import exclude, keyed, restrict, unkeyed, written
-from .textbytes import NON_SPACE, mix, signed, slices, words_of
+from .storage import exclude, few, keyed, restrict, small, unkeyed, written
+from .textbytes import NON_SPACE, mix, slices, words_of
 
 #: Cells of the count table: 1 MB at any corpus size.
 CELLS, BLOCKS = 1 << 18, 16
-#: The longest extension of a prefix, and what verifying a pair costs in postings.
-MOST_MATCHES, VERIFY_COST = 4, 8.0
-#: Star rounds go on while the pairs left are more than so many for each posting.
-PAIRS_A_POSTING, MOST_STARS = 8, 4
+#: A set takes m >= n / LEAST_SHARE matches at least; what verifying a pair costs in postings.
+LEAST_SHARE, VERIFY_COST = 12, 8.0
+#: Star rounds go on while the pairs left are more than so many for each posting, and each round halves them.
+PAIRS_A_POSTING, MOST_STARS = 2, 4
 
 
 def _sets(part: pa.RecordBatch, words_in: int) -> Iterator[np.ndarray]:
@@ -107,27 +109,31 @@ def _sum_cells(pdfs):
         yield pd.DataFrame({"block": [block], "cells": [np.minimum(total, 2**63 - 1).astype("<i8").tobytes()]})
 
 
+def fewest_matches(n):
+    """The least m that a set of n shingles takes; a number or a Column."""
+    return n // LEAST_SHARE if isinstance(n, int) else F.floor(n / LEAST_SHARE)
+
+
 class Prefixes:
     """Order and prefix length of a set under given counts."""
 
     def __init__(self, counts: np.ndarray, percent: int):
-        self.counts, self.percent = np.maximum(0, counts - np.median(counts)), percent
+        self.counts, self.percent = counts, percent
 
     def __call__(self, own: np.ndarray) -> tuple[np.ndarray, int, int]:
         """(the set in the global order, m, prefix length)."""
         n, often = len(own), self.counts[_cell(own)]
         order = np.lexsort((own, often))
         t = -(-self.percent * n // 100)
-        most = min(MOST_MATCHES, t)
         met = np.cumsum(often[order])
-        m = np.arange(1, most + 1)
-        scanned = met[np.minimum(n - t + m, n) - 1]
-        best = int(np.argmin(scanned + VERIFY_COST * scanned / m)) + 1
-        return own[order], best, min(n, n - t + best)
+        m = np.arange(max(1, fewest_matches(n)), t + 1)
+        scanned = met[n - t + m - 1]
+        best = int(m[np.argmin(scanned + VERIFY_COST * scanned / m)])
+        return own[order], best, n - t + best
 
 
 def _posting_rows(words_in: int, prefixes):
-    names = ["shingle", "salt", "key"]
+    names = ["shingle", "salt", "key", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = prefixes.value
@@ -135,25 +141,28 @@ def _posting_rows(words_in: int, prefixes):
             for part in slices(batch, "text"):
                 keys = part.column("key").to_numpy(zero_copy_only=False)
                 first: dict[bytes, int] = {}
-                heads, owners = [], []
+                heads, owners, places = [], [], []
                 for key, own in zip(keys.tolist(), _sets(part, words_in), strict=True):
                     # a slice sends each set once: its copies are found by their digests
                     if len(own) and first.setdefault(own.tobytes() if len(own) < 3 else hashlib.blake2b(own.tobytes(), digest_size=16).digest(), key) == key:
                         own, _, p = cut(own)
                         heads.append(own[:p])
                         owners.append(np.full(p, key, np.int64))
+                        places.append(np.arange(p, dtype=np.int32))
                 if not heads:
                     continue
-                shingles, keys = np.concatenate(heads), np.concatenate(owners)
+                shingles, keys, pos = np.concatenate(heads), np.concatenate(owners), np.concatenate(places)
                 order = np.lexsort((keys, shingles))
-                shingles, keys = shingles[order], keys[order]
+                shingles, keys, pos = shingles[order], keys[order], pos[order]
                 new = np.concatenate(([True], shingles[1:] != shingles[:-1]))
                 group = np.cumsum(new) - 1
                 many = np.bincount(group)[group] > 1
                 delegate = keys[np.flatnonzero(new)][group]
                 salt = np.where(many, (mix(delegate.view(np.uint64)) | np.uint64(1)).view(np.int64), 0)
-                shingles, salt, keys = (np.concatenate((x, y)) for x, y in ((shingles, shingles[new & many]), (salt, np.zeros(int((new & many).sum()), np.int64)), (keys, keys[new & many])))
-                yield pa.RecordBatch.from_arrays([signed(shingles), pa.array(salt), pa.array(keys)], names=names)
+                both = new & many  # delegates go to both groups
+                columns = ((shingles.view(np.int64), None), (salt, 0), (keys, None), (pos, None))
+                columns = [np.concatenate((x, x[both] if other is None else np.full(int(both.sum()), other, x.dtype))) for x, other in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
     return run
 
@@ -177,17 +186,19 @@ def _node_rows(words_in: int, prefixes):
     return run
 
 
-def _alike(n, o, percent: int):
-    """Sizes that a pair of that similarity may have."""
-    return 100 * F.least(n, o) >= percent * F.greatest(n, o)
+def _may_link(x, y, percent: int):
+    """Whether two postings of a shingle leave room for a link: at most the shared shingles of the set with fewer of them come before it, and the rest of the set with less rest after it.
+
+    x and y give a column by name.
+    """
+    most = F.least(x("before"), y("before")) + F.least(x("n") - x("pos"), y("n") - y("pos"))
+    return (100 + percent) * F.least(most, x("n"), y("n")) >= percent * (x("n") + y("n"))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that share enough of their prefixes and are similar enough."""
-    sizes = nodes.select("key", "n")
-    near = pairs.join(sizes.withColumnsRenamed({"key": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"key": "b", "n": "nb"}), "b").filter(_alike(F.col("na"), F.col("nb"), percent))
-    sides = [nodes.select(F.col("key").alias(x), F.col("m").alias(f"m{x}"), F.col("head").alias(f"head{x}"), F.concat("head", "tail").alias(f"set{x}")) for x in "ab"]
-    both = near.join(sides[0], "a").filter("ma is not null").join(sides[1], "b")
+    sides = [nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("head").alias(f"head{x}"), F.concat("head", "tail").alias(f"set{x}")) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
     both = both.filter(F.size(F.array_intersect("heada", "headb")) >= F.least("ma", "mb"))
     shared = F.size(F.array_intersect("seta", "setb"))
     return both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
@@ -213,12 +224,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.filter("key = rep").select("key", "d1", "d2").distinct()
 
     bucket = Window.partitionBy("shingle", "salt")
-    met = texts.mapInArrow(_posting_rows(words, prefixes), "shingle long, salt long, key long")
-    met = written(met.select("shingle", "key", F.min("key").over(bucket).alias("hub"), F.max("key").over(bucket).alias("last")).filter("hub <> last").drop("last"), "postings")
-    of = classes.filter("rep is not null").select("key", "rep").distinct()
-    postings = written(met.select("shingle", "key").distinct().join(of, "key").select("shingle", "rep").distinct(), "postings")
-    live = written(postings.select(F.col("rep").alias("key")).distinct(), "live")
-    n_live, n_postings = live.count(), postings.count()
+    met = texts.mapInArrow(_posting_rows(words, prefixes), "shingle long, salt long, key long, pos int")
+    met = met.withColumn("first", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket)).filter("first <> last").select("shingle", "key", "pos")
+    postings = met.join(classes.filter("rep is not null").select("key", "rep", "n").distinct(), "key").select("shingle", "rep", "n", "pos").distinct()
+    enough = F.greatest(F.lit(1), fewest_matches(F.ceil(F.col("n") * percent / 100)))
+    for _ in range(2):  # what can't have a link goes: sets that share too little, then shingles of one set
+        postings = written(postings, "postings")
+        sharing = postings.groupBy("rep", "n").agg(F.count("*").alias("k")).filter(F.col("k") >= enough).select("rep")
+        postings = postings.drop("k").join(sharing, "rep", "left_semi")
+        postings = postings.join(postings.groupBy("shingle").agg(F.count("*").alias("k")).filter("k > 1"), "shingle")
+    # linked sets share at least `enough` of these, so one of them is left when each set drops enough - 1 of its most common
+    own = Window.partitionBy("rep")
+    postings = postings.withColumn("at", F.row_number().over(own.orderBy("k", "shingle"))).withColumn("all", F.count("*").over(own)).withColumn("before", F.row_number().over(own.orderBy("pos")) - 1)
+    postings = written(postings.filter(F.col("at") <= F.col("all") - enough + 1).select("shingle", "rep", "n", "pos", "before"), "postings")
+    n_postings = postings.count()
+    live = written(few(postings.select(F.col("rep").alias("key")).distinct(), n_postings), "live")
+    n_live = live.count()
 
     nodes = restrict(texts, live, "key", n_live).mapInArrow(_node_rows(words, prefixes), "key long, d1 long, d2 long, n long, m int, head array<long>, tail array<long>")
     nodes = written(nodes.join(reps.join(live, "key", "left_semi"), ["key", "d1", "d2"], "left_semi").dropDuplicates(["key"]).drop("d1", "d2"), "nodes")
@@ -226,33 +247,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def ordered(a, b):
         return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
-    hubs = met.filter("hub <> key").select("hub", "key").distinct()
-    hubs = hubs.join(of.withColumnsRenamed({"key": "hub", "rep": "x"}), "hub").join(of.withColumnsRenamed({"rep": "y"}), "key").filter("x <> y")
-    tested = written(hubs.select(*ordered(F.col("x"), F.col("y"))).distinct(), "pairs")
-    links = written(_verified(tested, nodes, percent), "links")
-    labels = components(links)
+    def of_hub(c):
+        return F.col(f"hub.{c}")
 
-    sized = nodes.select(F.col("key").alias("rep"), "n", "m")
+    hubs = postings.join(postings.groupBy("shingle").agg(F.min(F.struct("rep", "n", "pos", "before")).alias("hub")), "shingle").filter("rep <> hub.rep").filter(_may_link(F.col, of_hub, percent))
+    tested = written(few(hubs.select(*ordered(F.col("rep"), F.col("hub.rep"))).distinct(), n_postings), "pairs")
+    links = written(few(_verified(tested, nodes, percent), n_postings), "links")
+    labels = components(links)
+    before = float("inf")
     for star in range(MOST_STARS + 1):
         # postings whose shingle still joins different components
-        marked = postings.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        marked = postings.join(small(labels.withColumnRenamed("node", "rep"), n_live), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         groups = marked.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"), F.count("*").alias("parts"))
-        open_ = written(marked.join(groups.filter("parts > 1"), "shingle").join(sized, "rep"), "open")
-        left = open_.dropDuplicates(["shingle"]).agg(F.sum((F.col("all").cast("double") ** 2 - F.col("within")) / 2)).first()[0] or 0
-        if star == MOST_STARS or left <= PAIRS_A_POSTING * n_postings:
+        open_ = written(few(marked.join(groups.filter("parts > 1"), "shingle"), n_postings), "open")
+        # each of a shingle's `all` rows stands for 1 / all of its pairs
+        left = open_.agg(F.sum((F.col("all") - F.col("within") / F.col("all")) / 2)).first()[0] or 0
+        if star == MOST_STARS or left <= PAIRS_A_POSTING * n_postings or left > before / 2:
             break
-        hub = F.min(F.struct(F.xxhash64("rep", F.lit(star)), "rep", "component")).over(Window.partitionBy("shingle"))["rep"]
-        pairs = open_.withColumn("hub", hub).filter("rep <> hub").select(*ordered(F.col("rep"), F.col("hub"))).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        before = left
+        hub = open_.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("rep", F.lit(star)).alias("by"), "rep", "n", "pos", "before", "component")).alias("hub"))
+        pairs = open_.join(hub, "shingle").filter("component <> hub.component").filter(_may_link(F.col, of_hub, percent))
+        pairs = written(few(pairs.select(*ordered(F.col("rep"), F.col("hub.rep"))).distinct().join(tested, ["a", "b"], "left_anti"), n_postings), "pairs")
         tested = tested.union(pairs)
-        links = links.union(written(_verified(pairs, nodes, percent), "links"))
+        links = links.union(written(few(_verified(pairs, nodes, percent), n_postings), "links"))
         labels = components(links)
     x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _alike(F.col("x.n"), F.col("y.n"), percent))
-    pairs = pairs.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("met"), F.first(F.least("x.m", "y.m")).alias("least"))
-    pairs = pairs.filter("met >= least").select("a", "b").join(tested, ["a", "b"], "left_anti")
-    links = links.union(written(_verified(pairs, nodes, percent), "links"))
-    labels = components(links)
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    more = written(few(_verified(pairs, nodes, percent), n_postings), "links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     out = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("key_out", F.coalesce("component", "rep", "key"))
     return out.select(unkeyed().alias(id_col), F.col("n").alias("n_shingles"), unkeyed("key_out").alias("component_id"))

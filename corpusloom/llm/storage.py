@@ -31,14 +31,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows (of a few numbers)."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in fewer partitions where `rows` (an upper bound) are too few for all of them."""
+    return df.coalesce(max(8, rows // 200_000)) if rows <= 50_000_000 else df
+
+
 def restrict(df: DataFrame, keys: DataFrame, on: str, rows: int) -> DataFrame:
     """Rows of df whose `on` is in keys (unique, `rows` many): by broadcast while that is small, else by a shuffle join."""
-    return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on, "left_semi")
+    return df.join(small(keys, rows), on, "left_semi")
 
 
 def exclude(df: DataFrame, keys: DataFrame, on, rows: int) -> DataFrame:
     """Rows of df without a partner in keys (`rows` many); broadcast as in restrict()."""
-    return df.join(F.broadcast(keys) if rows <= BROADCAST_ROWS else keys, on, "left_anti")
+    return df.join(small(keys, rows), on, "left_anti")
 
 
 def with_marks(df: DataFrame, marks: DataFrame, on: str, rows: int) -> DataFrame:
