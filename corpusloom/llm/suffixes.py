@@ -16,8 +16,9 @@ suffixes with some bytes to their left finds every repeat.
    compared.  The window l bytes left of a suffix repeats if within a run of
    common prefixes of at least length - l bytes another context (or copy) has
    the same l bytes to its left.
-4. Runs that touch a bucket's first or last lead may go on in the next bucket:
-   their windows are counted across boundaries by a shuffle on the window's hash.
+4. Runs that touch a bucket's first or last lead may go on in the next bucket.
+   They are compared across boundaries by shuffles on hashes: first for steps of 32
+   distances, and window by window only where that leaves it open.
 5. Repeated windows return to the places of their contexts and are united per document.
 
 Defined cases: null and empty texts have no bytes; texts shorter than `length`
@@ -37,14 +38,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .meetings import SCHEMA, live_hashes, meeting_rows, shared_anchors
-from .storage import keyed, restrict, unkeyed, with_marks, written
+from .storage import BROADCAST_ROWS, keyed, restrict, unkeyed, with_marks, written
 from .textbytes import BYTE_CODES, RunHashes, bytes_of, mix, run_hashes, slices
 
 SLICE, LEAD, GRAM = 1 << 20, 48, 8
 #: Bytes of contexts in a bucket of the suffix array.
 BUCKET_BYTES = 4 << 20
-#: Rows of a bucket's result that are made at once.
-ROWS = 1 << 17
+#: Distances that one hash at a bucket's edge stands for; places of a context that meet it by broadcast.
+STEP, OFTEN = 32, 1000
 
 
 def spread_for(length: int) -> int:
@@ -54,6 +55,11 @@ def spread_for(length: int) -> int:
     return max(1, min(length * 5 // 8, length - GRAM))
 
 
+def lead_for(length: int) -> int:
+    """Leading bytes that buckets are cut by; all contexts that can share a window share them."""
+    return min(LEAD, length - spread_for(length))
+
+
 def sampled(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, least distance, greatest distance, text): a sampled place and how far left of it its windows start."""
     w, n = spread_for(length), len(data)
@@ -168,12 +174,13 @@ def _bucket(pieces: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
     suffixes, place, sizes, least, most, m, c1, c2 = (x[order] for x in (suffixes, place, sizes, least, most, m, c1, c2))
     common = _common(suffixes, sizes)
     run = np.cumsum(common < shared)
-    lead = suffixes[:, :LEAD]
+    lead = suffixes[:, : lead_for(length)]
     edge = (lead == lead[0]).all(1) | (lead == lead[-1]).all(1)
 
-    def batch(rows, lo, hi, window=None):
-        columns = [c1[rows], c2[rows], lo.astype(np.int32), hi.astype(np.int32), m[rows], np.zeros(len(rows), np.int64) if window is None else window, np.full(len(rows), window is not None)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["c1", "c2", "lo", "hi", "m", "window", "open"])
+    def batch(rows, lo, hi, core=None, span=None):
+        none = np.zeros(len(rows), np.int64)
+        columns = [c1[rows], c2[rows], lo.astype(np.int32), hi.astype(np.int32), m[rows], none if core is None else core, none if span is None else span, np.full(len(rows), core is not None)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["c1", "c2", "lo", "hi", "m", "core", "span", "open"])
 
     alone = ~edge & (np.bincount(run)[run] == 1)
     whole = np.flatnonzero(alone & (m > 1))
@@ -195,13 +202,33 @@ def _bucket(pieces: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
         _, to = np.nonzero(step.T < 0)
         del repeated, step
         yield batch(some[rows], from_, to - 1)
-    hashes, rows = RunHashes(BYTE_CODES[data]), np.flatnonzero(edge)
-    for part in np.split(rows, range(step_rows := max(1, ROWS // length), len(rows), step_rows)):
-        many = (most - least + 1)[part]
-        distance = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(least[part], many)
-        part = np.repeat(part, many)
-        start = place[part] - distance
-        yield batch(part, distance, distance, hashes(start, start + length).view(np.int64))
+    # distances in steps: the bytes that all windows of a step share, and those that any of them has
+    rows, hashes, wide = np.flatnonzero(edge), RunHashes(BYTE_CODES[data]), min(STEP, spread_for(length))
+    steps = most[rows] // wide - least[rows] // wide + 1
+    step = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + np.repeat(least[rows] // wide, steps)
+    rows, step = np.repeat(rows, steps), step * wide
+    lo, hi, p = np.maximum(least[rows], step), np.minimum(most[rows], step + wide - 1), place[rows]
+    core = hashes(p - step, p + length - step - wide + 1)
+    span = mix(hashes(p - hi, p + length - lo) ^ mix(((hi - lo) * 2**20 + lo).astype(np.uint64)))
+    yield batch(rows, lo, hi, core.view(np.int64), span.view(np.int64))
+
+
+def _window_rows(length: int):
+    """The windows of some distances of contexts, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "content", 1 << 18):
+                data, offsets = bytes_of(part.column("content"))
+                lo, hi, most = (part.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi", "most"))
+                many = hi - lo + 1
+                rows = np.repeat(np.arange(part.num_rows), many)
+                distance = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + lo[rows]
+                start = offsets[rows] + most[rows] - distance
+                window = run_hashes(BYTE_CODES[data], start, start + length).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows)) for c in ("c1", "c2", "m")), pa.array(distance.astype(np.int32)), pa.array(window)], names=["c1", "c2", "m", "distance", "window"])
+
+    return run
 
 
 def _bucket_rows(length: int):
@@ -223,16 +250,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = restrict(texts, live.select("key"), "key", live.count()).join(live, "key")
     contexts = hot.mapInArrow(_context_rows(length, True), "c1 long, c2 long, content binary, least int, most int, m long")
     contexts = contexts.groupBy("c1", "c2").agg(F.first("content").alias("content"), F.first("least").alias("least"), F.first("most").alias("most"), F.sum("m").alias("m"))
-    contexts = written(contexts.withColumn("lead", F.expr(f"substring(content, most + 1, {LEAD})")), "contexts")
+    contexts = written(contexts.withColumn("lead", F.expr(f"substring(content, most + 1, {lead_for(length)})")), "contexts")
     size = contexts.agg(F.sum(F.octet_length("content"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
-    found = contexts.repartitionByRange(buckets, "lead", "c1").drop("lead").mapInArrow(_bucket_rows(length), "c1 long, c2 long, lo int, hi int, m long, window long, open boolean")
+    found = contexts.repartitionByRange(buckets, "lead", "c1").drop("lead").mapInArrow(_bucket_rows(length), "c1 long, c2 long, lo int, hi int, m long, core long, span long, open boolean")
     found = written(found, "suffixes")
-    across = found.filter("open").withColumn("all", F.sum("m").over(Window.partitionBy("window"))).filter("all > 1")
-    ranges = found.filter("not open").select("c1", "c2", "lo", "hi").union(across.select("c1", "c2", "lo", "hi")).groupBy("c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    # across boundaries: equal spans repeat as a whole; where only the cores are equal, one context of each span gives its windows
+    edges = found.filter("open").withColumn("all", F.sum("m").over(Window.partitionBy("core", "span")))
+    spans = found.filter("open").groupBy("core", "span").agg(F.min(F.struct("c1", "c2", "lo", "hi")).alias("one"), F.sum("m").alias("m"))
+    mixed = spans.join(spans.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1"), "core").select("one.*", "m")
+    windows = mixed.join(contexts.select("c1", "c2", "content", "most"), ["c1", "c2"]).mapInArrow(_window_rows(length), "c1 long, c2 long, m long, distance int, window long")
+    across = windows.withColumn("all", F.sum("m").over(Window.partitionBy("window"))).filter("all > 1")
+    ranges = found.filter("not open").select("c1", "c2", "lo", "hi").union(edges.filter("all > 1").select("c1", "c2", "lo", "hi")).union(across.select("c1", "c2", "distance", "distance"))
+    ranges = written(ranges.groupBy("c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
     places = hot.mapInArrow(_context_rows(length, False), "c1 long, c2 long, key long, place long")
-    spans = places.join(ranges, ["c1", "c2"]).select("key", F.transform("ranges", lambda r: F.struct((F.col("place") - r["hi"]).alias("start"), (F.col("place") - r["lo"] + length).alias("end"))).alias("spans"))
-    return written(spans.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    # contexts with very many places meet them by a broadcast, a checked number; the others by a shuffle
+    often = contexts.filter(F.col("m") >= OFTEN).select("c1", "c2")
+    n_often = often.count()
+    spans = F.transform("ranges", lambda r: F.struct((F.col("place") - r["hi"]).alias("start"), (F.col("place") - r["lo"] + length).alias("end"))).alias("spans")
+    if 0 < n_often <= BROADCAST_ROWS // 10:
+        hot_ranges = ranges.join(F.broadcast(often), ["c1", "c2"], "left_semi")
+        out = places.join(F.broadcast(hot_ranges), ["c1", "c2"]).select("key", spans)
+        out = out.unionByName(places.join(F.broadcast(often), ["c1", "c2"], "left_anti").join(ranges, ["c1", "c2"]).select("key", spans))
+    else:
+        out = places.join(ranges, ["c1", "c2"]).select("key", spans)
+    return written(out.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 def _digest_rows(texts: bool):
