@@ -105,7 +105,7 @@ def chunk_documents(df: DataFrame, chunk_size: int = 800, overlap: int = 120) ->
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             rows = [r for d, b in zip(pdf["document_id"], pdf["blocks"], strict=True) for r in _chunks(d, b, chunk_size, overlap)]
-            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("chunk_index", "token_count", "page_start", "page_end")})
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names}).astype({c: "Int64" for c in ("chunk_index", "token_count", "page_start", "page_end")})
 
     return df.select(F.col("document_id").cast("string").alias("document_id"), "blocks").mapInPandas(run, CHUNK)
 
