@@ -29,6 +29,8 @@ from .meetings import SCHEMA, live_hashes, meeting_rows, salts, shared_anchors
 from .storage import keyed, restrict, unkeyed, with_marks, written
 from .textbytes import NON_SPACE, Words, covered, slices, words_of
 
+#: Larger slices find more partners before anything is shuffled.
+SLICE = 4 << 20
 #: Smallest known difference covers (perfect difference sets) by their period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
@@ -51,7 +53,7 @@ def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words = words_of(part.column("text"), NON_SPACE)
                 at, hashes = _anchors(words, window)
                 if not len(at):
@@ -67,7 +69,7 @@ def _window_rows(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words = words_of(part.column("text"), NON_SPACE)
                 at, hashes = _anchors(words, window)
                 at = at[np.isin(hashes, live_hashes(part))]
@@ -113,7 +115,7 @@ def _digest_rows(window: int, texts: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 words = words_of(part.column("text"), NON_SPACE)
                 n, marks = words.counts, part.column("places")
                 sizes = np.diff(marks.offsets.to_numpy()) if len(marks) else np.empty(0, int)

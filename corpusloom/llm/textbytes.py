@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: A batch is worked on in slices of about this many bytes (a longer text is one slice).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from .textbytes import slices
 
 #: Pre-tokens that a worker remembers; when full it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NO_RANK = np.int64(2**62)
 
 # Fixed values of the file word_bpe_49k.json: its normalizers and its split pattern.

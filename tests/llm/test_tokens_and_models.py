@@ -71,11 +71,13 @@ def test_packing_covers_every_token_once(spark):
 
 
 def test_local_search_empties_bins():
-    sizes = np.array([6, 6, 4, 3, 3, 5, 5, 4, 4])
-    start = np.array([0, 1, 0, 1, 2, 2, 3, 3, 4])
-    out = packing.local_search(sizes, start, 10)
+    sizes, start = np.array([7, 2, 8, 3]), np.array([0, 0, 1, 2])
+    out = packing.local_search(sizes, start, 10)  # 3 for 2, then 2 into the other gap
     fill = np.bincount(out, sizes)
-    assert fill.max() <= 10 and (fill > 0).sum() == 4 and (fill**2).sum() > (np.bincount(start, sizes) ** 2).sum()
+    assert fill.max() <= 10 and (fill > 0).sum() == 2 and (fill**2).sum() > (np.bincount(start, sizes) ** 2).sum()
+    sizes = np.array([6, 3, 9, 2, 2, 5])  # nothing fits; two for one fills the first bin
+    out = packing.local_search(sizes, np.array([0, 0, 1, 2, 2, 3]), 10)
+    assert (np.bincount(out, sizes) <= 10).all() and len(out) == 6
 
 
 def test_packing_an_empty_table(spark):
