@@ -54,7 +54,7 @@ def missing_evidence(questions: DataFrame, chunks: DataFrame, most_chunks: int =
     return found.filter(~F.col("found")).select("query_id", "evidence")
 
 
-def _rank_measures(group: str = "") -> list[Column]:
+def _rank_measures() -> list[Column]:
     r = F.col("first_relevant_rank")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     return [share(r == 1).alias("recall_at_1"), share(r.between(1, 5)).alias("recall_at_5"), share(r.between(1, 10)).alias("recall_at_10"), F.avg(F.when(r > 0, 1 / r).otherwise(0.0)).alias("mrr"), share(F.col("citation_hit")).alias("citation_hit_rate")]

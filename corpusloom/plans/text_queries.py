@@ -17,6 +17,8 @@ def _cjk():
 
 
 _CJK_SQL = "translate(lower(text), 'aeiou', '一二三四五')"
+
+
 def _messy():
     return F.replace(F.replace("text", F.lit("\n"), F.lit("\r\n \t\n\n")), F.lit(". "), F.lit(".\u00a0  \u200b"))
 
