@@ -152,3 +152,38 @@ def test_scores(spark):
 
 def test_scores_of_an_empty_table(spark):
     assert lmscore.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_model_learns_every_word_of_the_head():
+    """A vocabulary that grows with the counts; trained rows differ for words that aren't among the most frequent."""
+    counts = np.sort(np.random.default_rng(3).integers(1, 50, 3000))[::-1]
+    hashes = np.arange(1, 3001).astype(np.uint64)
+    head = lmscore.Head.of(hashes, counts, int(counts.sum()), 3000)
+    assert head.layout.words == 3000 and sorted(head.ids) == list(range(3000)) and head.layout.learned > 16
+    model = Model.fresh(head.layout, 4, head.class_counts, head.word_counts)
+    pairs = np.tile(np.arange(2000, 3000), 40)  # rare words, always in the same order
+    before = model.scores(deal(pairs, np.full(40, 1000), 8), 40).sum()
+    model.train(deal(pairs, np.full(40, 1000), 8))
+    assert (model.values["word_out"][2000:] != 0).any(axis=1).all()
+    assert model.scores(deal(pairs, np.full(40, 1000), 8), 40).sum() > before
+    x = np.random.default_rng(4).normal(0, 1, 4).astype(np.float32)
+    ids = np.arange(head.layout.words + lmscore.TAILS)
+    assert abs(np.exp(model._logs(np.tile(x, (len(ids), 1)), ids)).sum() - 1) < 1e-3
+
+
+def test_every_round_trains_on_all_training_documents(spark):
+    rows = [(i, f"w{i} common w{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5, "id")
+    counts = df.mapInArrow(lmscore._count_rows, "word long, n long").groupBy("word").sum("n").toPandas().sort_values("sum(n)", ascending=False)
+    known = lmscore.Head.of(counts["word"].to_numpy(np.int64).view(np.uint64), counts["sum(n)"].to_numpy(np.int64), int(counts["sum(n)"].sum()), len(counts))
+    head = spark.sparkContext.broadcast(known)
+    model, flat = Model.fresh(known.layout, lmscore.HIDDEN, known.class_counts, known.word_counts), None
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    for _ in range(2):
+        seen = sum(np.frombuffer(r.n, np.float32)[0] for r in df.mapInArrow(lmscore._train_rows(head, flat), "block long, at binary, n binary, delta binary").collect() if r.block >> 32 == sorted(model.values).index("state"))
+        assert seen == 4 * len(train)
+        after = lmscore.averaged(df, head, model, flat)
+        moved = (after.values["inputs"] != model.values["inputs"]).any(axis=1)
+        model, flat = after, spark.sparkContext.broadcast(after.flat())
+    # outputs start at zero, so inputs move from the second update on: each word but the end token, however few tasks met it
+    assert moved[: known.layout.words].sum() == known.layout.words - 1
