@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,32 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def keep_chunks(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> None:
+    """Replaces the chunk table by the rows that `keep` leaves of it; only partitions that lose rows are rewritten, and a second run changes nothing."""
+    old = _old(spark, path)
+    if old is None:
+        return
+    gone = old.join(keep(old).select("document_id").distinct(), "document_id", "left_anti").select("document_id", "bucket").distinct()
+    aside = f"{path.rstrip('/')}_gone"  # the keys are settled before the table changes
+    gone.write.mode("overwrite").parquet(aside)
+    gone = spark.read.schema(gone.schema).parquet(aside)
+    touched = old.join(gone.select("bucket").distinct(), "bucket", "left_semi")
+    left = touched.join(gone.select("document_id"), "document_id", "left_anti")
+    next_ = f"{path.rstrip('/')}_next"
+    left.write.mode("overwrite").parquet(next_)
+    left = spark.read.schema(left.schema).parquet(next_)
+    # a dynamic overwrite leaves partitions that get no rows as they are
+    empty = gone.select("bucket").distinct().join(left.select("bucket").distinct(), "bucket", "left_anti")
+    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for row in empty.collect():  # at most the 64 buckets
+        _drop_folder(spark, f"{path.rstrip('/')}/bucket={row.bucket}")
+
+
+def _drop_folder(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def _old(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

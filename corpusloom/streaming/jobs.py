@@ -16,8 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.chunking import index_corpus
-from ..operators.lifecycle import claim_jobs
-from ..sources.io import read_messages, write_chunks
+from ..operators.lifecycle import apply_document_deletes, apply_kb_deletes, claim_jobs, requeue
+from ..sources.io import keep_chunks, read_messages, write_chunks
 
 
 @dataclass
@@ -30,18 +30,49 @@ class IndexTables:
     files: Callable[[SparkSession], DataFrame]  # (document_id, knowledge_base_id, filename, content, index_version)
     chunks_path: str
     outcomes_path: str
+    #: Takes the tables documents, jobs (and knowledge_bases) after a batch's deletes; called only with deletes.
+    deleted: Callable[[dict[str, DataFrame]], None] | None = None
+    #: Takes delete messages (JSON strings, column value) that failed and go back to the queue; without it the batch fails and runs again.
+    requeued: Callable[[DataFrame], None] | None = None
+
+
+def delete_batch(messages: DataFrame, tables: IndexTables) -> None:
+    """Applies the valid delete messages of a batch: chunks go for good, the other tables are handed to tables.deleted. A second run changes nothing."""
+    spark, now = messages.sparkSession, F.current_timestamp()
+    for kind, apply in (("document.delete", apply_document_deletes), ("knowledge_base.delete", apply_kb_deletes)):
+        own = messages.filter(F.col("type") == kind)
+        if own.isEmpty():
+            continue
+        state = lambda: (tables.documents(spark), tables.knowledge_bases(spark))  # noqa: B023, E731
+        keep_chunks(spark, tables.chunks_path, lambda chunks: apply(own, *state(), chunks, tables.jobs(spark), now)["chunks"])  # noqa: B023
+        if tables.deleted is not None:
+            none = spark.createDataFrame([], "document_id string")
+            out = apply(own, *state(), none, tables.jobs(spark), now)
+            tables.deleted({k: v for k, v in out.items() if k != "chunks"})
 
 
 def index_batch(batch: DataFrame, tables: IndexTables, epoch: int, dimension: int = 64) -> None:
-    """Indexes the documents that a batch of messages claims, and records outcomes under the batch's number."""
+    """Indexes the documents that a batch of messages claims, records outcomes under the batch's number, then applies its deletes.
+
+    Deletes come last, so no document that the same batch deletes keeps chunks. Malformed messages and unknown types are dropped.
+    """
     spark = batch.sparkSession
-    messages = read_messages(batch).filter("error_code is null and type = 'document.index'")
+    valid = read_messages(batch).filter("error_code is null")
+    messages = valid.filter("type = 'document.index'")
     claims = claim_jobs(messages, tables.jobs(spark), tables.documents(spark), tables.knowledge_bases(spark)).filter("outcome = 'claimed'")
     wanted = claims.select("document_id", "index_version").distinct()
     files = tables.files(spark).join(wanted, ["document_id", "index_version"], "left_semi")
     chunks, outcomes = index_corpus(files, dimension=dimension)
     write_chunks(chunks, tables.chunks_path)
     outcomes.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(tables.outcomes_path)
+    deletes = valid.filter(F.col("type").isin("document.delete", "knowledge_base.delete")).drop("error_code")
+    try:
+        delete_batch(deletes, tables)
+    except Exception:
+        if tables.requeued is None:
+            raise  # the stream stops before its checkpoint moves on, so the batch is read again
+        failed = requeue(deletes.withColumn("error_code", F.lit("DELETION_FAILED"))).drop("error_code")
+        tables.requeued(failed.select(F.to_json(F.struct(*failed.columns)).alias("value")))
 
 
 def start_index_stream(source: DataFrame, tables: IndexTables, checkpoint: str, available_now: bool = False, dimension: int = 64) -> StreamingQuery:

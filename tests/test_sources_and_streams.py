@@ -1,3 +1,4 @@
+import dataclasses
 import datetime
 import json
 
@@ -7,6 +8,7 @@ from corpusloom.operators import limits
 from corpusloom.plans import queries
 from corpusloom.sources import append_usage, load_questions, read_files, read_messages, report_markdown, write_chunks
 from corpusloom.streaming import IndexTables, rate_limit_stream, start_index_stream, start_usage_stream
+from corpusloom.streaming.jobs import index_batch
 
 
 def test_chunk_writes_replace_by_key(spark, tmp_path):
@@ -64,6 +66,38 @@ def test_index_stream_is_idempotent(spark, tmp_path):
     assert {(r.document_id, r.status, r.chunk_count) for r in spark.read.parquet(tables.outcomes_path).collect()} == {("d", "ready", 1)}
 
 
+def test_index_stream_routes_deletes(spark, tmp_path):
+    ids = {n: f"00000000-0000-0000-0000-00000000000{i}" for i, n in enumerate("dekxo")}
+    say = lambda kind, **m: (json.dumps({"type": kind, "owner_id": ids["o"]} | m),)
+    index = say("document.index", job_id="j", document_id="new", index_version=1)
+    deletes = [say("document.delete", document_id=ids["d"]), say("knowledge_base.delete", knowledge_base_id=ids["x"]), say("document.delete", document_id="malformed"), say("other")]
+    source = stream(spark, spark.createDataFrame([*deletes, index], "value string"), str(tmp_path / "queue"))
+    docs = [(ids["d"], ids["k"], 1, "ready", None, 1), (ids["e"], ids["k"], 1, "ready", None, 1), ("in-x", ids["x"], 1, "ready", None, 1), ("new", ids["k"], 1, "queued", None, 0)]
+    seen, requeued = {}, []
+    tables = IndexTables(
+        jobs=lambda s: s.createDataFrame([("j", "new", 1, "pending", "queued", None), ("r", ids["d"], 1, "running", "parsing", None)], "id string, document_id string, index_version int, status string, stage string, error_code string"),
+        documents=lambda s: s.createDataFrame(docs, "id string, knowledge_base_id string, index_version int, status string, deleted_at timestamp, chunk_count int"),
+        knowledge_bases=lambda s: s.createDataFrame([(ids["k"], ids["o"], None), (ids["x"], ids["o"], None)], "id string, owner_id string, deleted_at timestamp"),
+        files=lambda s: s.createDataFrame([("new", ids["k"], "a.txt", b"some text", 1)], "document_id string, knowledge_base_id string, filename string, content binary, index_version int"),
+        chunks_path=str(tmp_path / "chunks"),
+        outcomes_path=str(tmp_path / "outcomes"),
+        deleted=lambda out: seen.update({k: v.collect() for k, v in out.items()} | {"gone": seen.get("gone", set()) | {r.id for r in out["documents"].collect() if r.status == "deleting"}}),
+        requeued=lambda df: requeued.extend(df.collect()),
+    )
+    write_chunks(spark.createDataFrame([(d[0], 1, "x") for d in docs[:3]], "document_id string, index_version int, content string"), tables.chunks_path)
+    for n in range(2):
+        start_index_stream(source, tables, str(tmp_path / f"checkpoint{n}"), available_now=True).awaitTermination(60)
+        assert {r.document_id for r in spark.read.parquet(tables.chunks_path).collect()} == {ids["e"], "new"}
+    assert seen["gone"] == {ids["d"], "in-x"} and not requeued
+    assert {r.id for r in seen["knowledge_bases"] if r.deleted_at} == {ids["x"]}
+
+    def down(s):
+        raise ConnectionError("down")
+
+    index_batch(spark.createDataFrame(deletes, "value string"), dataclasses.replace(tables, knowledge_bases=lambda s, calls=iter([tables.knowledge_bases]): next(calls, down)(s)), 7)
+    assert {json.loads(r.value)["type"] for r in requeued} == {"document.delete", "knowledge_base.delete"} and len(requeued) == 2
+
+
 def test_usage_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([("chat", "m", "succeeded", 5, 0.5), ("chat", "m", "failed", 1, 0.0)], "request_type string, model string, status string, prompt_tokens int, estimated_cost_usd double")
     q = start_usage_stream(stream(spark, df, str(tmp_path / "u")), "usage_counts", str(tmp_path / "c"), available_now=True)
