@@ -6,7 +6,7 @@ into groups of a bounded size.  A group is packed by best fit, largest first, an
 improved by local search: a bin is emptied by moving a document into another bin,
 or exchanging one or two of its documents for a smaller one there, each step moving
 tokens from the emptier to the fuller bin, which raises the sum of squared fills.
-Bins that stay underfull are opened and dealt into new, fewer groups, until one group is left.
+Bins that stay underfull are opened and dealt into new, fewer groups, until one group is left or a level saves no bin.
 
 Defined cases: null and empty texts are one piece with the end token alone; repeated
 rows are packed row by row; a null doc_id stays null; all pieces of a document may be in different sequences.
@@ -34,11 +34,7 @@ from .tokens import REMEMBERED, pair_merges
 #: Pieces of one group; packed in one task in bounded memory.
 GROUP = 20_000
 #: Bins filled to this share are final.
-FULL = 0.995
-#: The local search of a group ends after so many bins in a row that can't be emptied.
-PATIENCE = 24
-#: Steps that one bin may take to become empty.
-STEPS = 256
+FULL = 0.999
 
 
 @lru_cache(maxsize=2)
@@ -117,14 +113,14 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, length: int) -> np.ndarray
     """
     bins = bins.copy()
     fill = np.bincount(bins, sizes).astype(np.int64)
-    target, stuck, tried = -(-int(sizes.sum()) // length), 0, set()
-    while stuck < PATIENCE and int((fill > 0).sum()) > target:
+    target, tried = -(-int(sizes.sum()) // length), set()
+    while int((fill > 0).sum()) > target:
         v = next((b for b in np.argsort(fill, kind="stable").tolist() if 0 < fill[b] < length and b not in tried), None)
         if v is None:
             break
         own = np.flatnonzero(bins == v).tolist()
         others = np.flatnonzero((fill[bins] < length) & (bins != v))  # documents of other underfull bins
-        for _ in range(STEPS):
+        while own:  # each step takes tokens from the bin
             gap = length - fill
             # what the bin can give: one or two documents, by size
             gives = [(int(sizes[i]), (i,)) for i in own]
@@ -156,9 +152,6 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, length: int) -> np.ndarray
             others = others[bins[others] != v]
             fill[to] += moved
             fill[v] -= moved
-            if not own:
-                break
-        stuck = 0 if not own else stuck + 1
         if own:
             tried.add(v)
     return bins
@@ -184,16 +177,20 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1, id_col
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece's sequence and place in it."""
     pieces = written(tokenised_pieces(docs, path, length, end_id, id_col, text_col), "pieces")
     columns = pieces.columns
-    left, out, level = pieces, None, 0
+    left, out, level, opened = pieces, None, 0, None
     while True:
         n = left.count()
         groups = max(1, -(-n // group))
-        last = groups == 1 or level == 7
+        last = groups == 1 or level == 31  # sequence_id has room for so many
         # dealt by content, so that a task that runs again deals alike
         dealt = left.withColumn("group", F.pmod(F.xxhash64(*columns, F.lit(level)), F.lit(groups)))
         schema = T.StructType([*dealt.schema.fields, T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("final", T.BooleanType())])
         packed = written(dealt.groupBy("group").applyInPandas(_pack_group(length, last), schema), "packed")
         number = F.lit(level).cast("long") * F.lit(2**58) + F.col("group") * F.lit(2**24) + F.col("bin")
+        bins = packed.select("group", "bin", "final").distinct().groupBy("final").count().collect()
+        if opened is not None and sum(r["count"] for r in bins) >= opened:
+            last, packed = True, packed.withColumn("final", F.lit(True))
+        opened = sum(r["count"] for r in bins if not r["final"])
         done = packed.filter("final").select(*columns, number.alias("sequence_id"), "offset")
         out = done if out is None else out.unionByName(done)
         if last:

@@ -187,3 +187,10 @@ def test_every_round_trains_on_all_training_documents(spark):
         model, flat = after, spark.sparkContext.broadcast(after.flat())
     # outputs start at zero, so inputs move from the second update on: each word but the end token, however few tasks met it
     assert moved[: known.layout.words].sum() == known.layout.words - 1
+
+
+def test_local_search_goes_on_after_bins_that_stay():
+    sizes = np.array([51] * 30 + [10] * 40)  # thirty bins that nothing empties come first
+    start = np.concatenate((np.arange(30), 30 + np.arange(40) // 8))
+    out = packing.local_search(sizes, start, 100)
+    assert np.bincount(out, sizes).max() <= 100 and len(np.unique(out)) <= 34
