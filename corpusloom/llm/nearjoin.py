@@ -15,11 +15,19 @@ and m only and cannot lose a link.
 
 Equal sets are one class, found by a 128-bit digest, and only one of them
 takes part.  Classes that share a prefix shingle are first compared with one of
-them (a star), rounds of it with other centres follow while they pay, and
-then every pair of classes that share enough prefix shingles and still lie in
-different components is verified.  So groups of thousands of near copies
-cost pairs in proportion to their size, and no link that could join two
-components is left out.
+them (a star), which joins groups of near copies around their first member.
+What is left are shingles that still meet in different components:
+
+* of at most FEW sets: their pairs are rows, at most (FEW - 1) / 2 for each posting;
+* of more sets: the sets are dealt into blocks of bounded size, near copies
+  (those whose most frequent open shingle is the same) side by side, and
+  each pair of blocks that shares such a shingle is one group.  It intersects its
+  sets by a matrix product and gives back only links that join components.
+
+A block travels once for each block it meets, so rows grow with the sets and
+not with their pairs, and no pair that could join two components is left
+out.  The comparisons inside a group of near copies that stay unlinked are still
+quadratic in that group, at the cost of a product of two numbers each.
 
 Defined cases: null or empty texts have the empty set and link with nothing;
 texts shorter than a shingle have their whole word sequence as one shingle;
@@ -45,8 +53,10 @@ from .textbytes import NON_SPACE, mix, slices, words_of
 CELLS, BLOCKS = 1 << 18, 16
 #: A set takes m >= n / LEAST_SHARE matches at least; what verifying a pair costs in postings.
 LEAST_SHARE, VERIFY_COST = 12, 8.0
-#: Star rounds go on while the pairs left are more than so many for each posting, and each round halves them.
-PAIRS_A_POSTING, MOST_STARS = 2, 4
+#: Open shingles of at most so many sets make pairs as rows; shingles that a block holds for the sets of other shingles.
+FEW, BLOCK = 32, 100_000
+#: Shared shingles that a task remembers, so that it sends a delegate for each only once.
+REMEMBERED = 1 << 18
 
 
 def _sets(part: pa.RecordBatch, words_in: int) -> Iterator[np.ndarray]:
@@ -133,10 +143,11 @@ class Prefixes:
 
 
 def _posting_rows(words_in: int, prefixes):
-    names = ["shingle", "salt", "key", "pos"]
+    """(shingle, salt, key, pos, known): postings that find a partner in their task are known to be shared and dealt at random; one delegate of each shingle meets the rest of the corpus."""
+    names = ["shingle", "salt", "key", "pos", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = prefixes.value
+        cut, sent = prefixes.value, np.empty(0, np.uint64)
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = part.column("key").to_numpy(zero_copy_only=False)
@@ -155,13 +166,15 @@ def _posting_rows(words_in: int, prefixes):
                 order = np.lexsort((keys, shingles))
                 shingles, keys, pos = shingles[order], keys[order], pos[order]
                 new = np.concatenate(([True], shingles[1:] != shingles[:-1]))
+                before = np.isin(shingles[new], sent)
                 group = np.cumsum(new) - 1
-                many = np.bincount(group)[group] > 1
-                delegate = keys[np.flatnonzero(new)][group]
-                salt = np.where(many, (mix(delegate.view(np.uint64)) | np.uint64(1)).view(np.int64), 0)
-                both = new & many  # delegates go to both groups
-                columns = ((shingles.view(np.int64), None), (salt, 0), (keys, None), (pos, None))
-                columns = [np.concatenate((x, x[both] if other is None else np.full(int(both.sum()), other, x.dtype))) for x, other in columns]
+                many = np.bincount(group) > 1
+                known = (many | before)[group]
+                salt = np.where(known & ~(new & ~before[group]), (mix(keys.view(np.uint64)) | np.uint64(1)).view(np.int64), 0)
+                if len(sent) > REMEMBERED:
+                    sent = np.empty(0, np.uint64)
+                sent = np.union1d(sent, shingles[new][many])
+                columns = shingles.view(np.int64), salt, keys, pos, known
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
     return run
@@ -204,6 +217,94 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
+def _shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of x shares with each set of y (sets are arrays without repeats)."""
+    xs, ys = np.concatenate(x), np.concatenate(y)
+    xi, yi = np.repeat(np.arange(len(x)), [len(a) for a in x]), np.repeat(np.arange(len(y)), [len(a) for a in y])
+    both = np.intersect1d(xs, ys)
+    xc, yc = np.minimum(np.searchsorted(both, xs), max(0, len(both) - 1)), np.minimum(np.searchsorted(both, ys), max(0, len(both) - 1))
+    out = np.zeros((len(x), len(y)), np.float32)
+    if not len(both):
+        return out
+    keep, kept = both[xc] == xs, both[yc] == ys
+    (xi, xc), (yi, yc) = (xi[keep], xc[keep]), (yi[kept], yc[kept])
+    nx, ny = np.bincount(xc, minlength=len(both)), np.bincount(yc, minlength=len(both))
+    # what most sets hold goes into matrices, some columns at a time; for the others their pairs are counted one by one
+    dense = np.flatnonzero(nx * ny > 0.01 * len(x) * len(y))
+    column = np.full(len(both), -1)
+    column[dense] = np.arange(len(dense))
+    for a in range(0, len(dense), 4096):
+        left, right = (np.zeros((n, min(4096, len(dense) - a)), np.float32) for n in (len(x), len(y)))
+        for m, i, c in ((left, xi, column[xc] - a), (right, yi, column[yc] - a)):
+            own = (c >= 0) & (c < m.shape[1])
+            m[i[own], c[own]] = 1
+        out += left @ right.T
+    own, other = np.flatnonzero(column[xc] < 0), np.flatnonzero(column[yc] < 0)
+    own = own[np.argsort(xc[own], kind="stable")]
+    other = other[np.argsort(yc[other], kind="stable")]
+    begin = np.searchsorted(yc[other], xc[own])
+    many = ny[xc[own]]
+    at = np.repeat(np.arange(len(own)), many)
+    partner = other[begin[at] + np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)]
+    return out + np.bincount(xi[own[at]] * len(y) + yi[partner], minlength=out.size).reshape(out.shape)
+
+
+def _joining(links: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Few of the links (i, j) that join the same components as all of them; left and right: the components of i and j."""
+    while True:
+        links = links[left[links[:, 0]] != right[links[:, 1]]]
+        if not len(links):
+            return
+        a, b = left[links[:, 0]], right[links[:, 1]]
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        order = np.lexsort((low, high))  # each component joins the least one it is linked with
+        one = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]
+        yield from links[one].tolist()
+        to = dict(zip(high[one].tolist(), low[one].tolist(), strict=True))
+        for labels in (left, right):
+            for i, c in enumerate(labels.tolist()):
+                while c in to:
+                    c = to[c]
+                labels[i] = c
+
+
+def _block_links(percent: int):
+    """The links (a, b) between the sets of two blocks, or within one, that join components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        side, reps, components = (group.column(c).to_numpy() for c in ("side", "rep", "component"))
+        sets = [x.values.to_numpy() for x in group.column("set")]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if (side == 0).all() else 1))
+        n = np.array([len(s) for s in sets], np.float64)
+        shared = _shared_counts([sets[i] for i in x], [sets[i] for i in y])
+        links = np.argwhere((components[x][:, None] != components[y][None, :]) & ((100 + percent) * shared >= percent * (n[x][:, None] + n[y][None, :])))
+        found = [(int(reps[x[i]]), int(reps[y[j]])) for i, j in _joining(links, components[x].copy(), components[y].copy())]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _blocks(hot: DataFrame, nodes: DataFrame, percent: int, n_live: int) -> DataFrame:
+    """Links (a, b) between sets of different components that share a posting of hot (shingle, rep, n, component, all)."""
+    homes = hot.groupBy("rep", "n", "component").agg(F.max(F.struct("all", "shingle"))["shingle"].alias("home"))
+    # a component that fills blocks of its own need not be compared with itself
+    sizes = homes.groupBy("home", "component").agg(F.sum("n").alias("size")).withColumn("own", F.when(F.col("size") >= BLOCK // 4, F.col("component")))
+    chunks = sizes.groupBy("home", "own").agg(F.ceil(F.sum("size") / BLOCK).alias("chunks"))
+    own = sizes.select("home", "component", "own").join(chunks.withColumnRenamed("home", "h").withColumnRenamed("own", "o"), F.col("home").eqNullSafe(F.col("h")) & F.col("own").eqNullSafe(F.col("o"))).select("home", "component", "own", "chunks")
+    block = F.xxhash64("home", "own", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    members = written(few(homes.join(small(own, n_live), ["home", "component"]).select("rep", "component", "own", block.alias("block")), n_live), "members")
+    holds = written(few(hot.select("shingle", "rep").join(small(members.select("rep", "block", "own"), n_live), "rep").select("shingle", "block", "own").distinct(), n_live * 64), "holds")
+    x, y = holds.alias("x"), holds.alias("y")
+    meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
+    meet = written(meet.select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct(), "meet")
+    sides = meet.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).union(meet.filter("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
+    sets = members.join(nodes.select(F.col("key").alias("rep"), F.concat("head", "tail").alias("set")), "rep")
+    pairs = sets.join(small(sides, 2 * meet.count()), "block").select("a", "b", "side", "rep", "component", "set")
+    return pairs.groupBy("a", "b").applyInArrow(_block_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id): two texts link when 100 * |intersection| >= percent * |union|.
 
@@ -224,8 +325,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = classes.filter("key = rep").select("key", "d1", "d2").distinct()
 
     bucket = Window.partitionBy("shingle", "salt")
-    met = texts.mapInArrow(_posting_rows(words, prefixes), "shingle long, salt long, key long, pos int")
-    met = met.withColumn("first", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket)).filter("first <> last").select("shingle", "key", "pos")
+    met = texts.mapInArrow(_posting_rows(words, prefixes), "shingle long, salt long, key long, pos int, known boolean")
+    met = met.withColumn("first", F.min("key").over(bucket)).withColumn("last", F.max("key").over(bucket)).filter("known or first <> last").select("shingle", "key", "pos")
     postings = met.join(classes.filter("rep is not null").select("key", "rep", "n").distinct(), "key").select("shingle", "rep", "n", "pos").distinct()
     enough = F.greatest(F.lit(1), fewest_matches(F.ceil(F.col("n") * percent / 100)))
     for _ in range(2):  # what can't have a link goes: sets that share too little, then shingles of one set
@@ -254,27 +355,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = written(few(hubs.select(*ordered(F.col("rep"), F.col("hub.rep"))).distinct(), n_postings), "pairs")
     links = written(few(_verified(tested, nodes, percent), n_postings), "links")
     labels = components(links)
-    before = float("inf")
-    for star in range(MOST_STARS + 1):
-        # postings whose shingle still joins different components
-        marked = postings.join(small(labels.withColumnRenamed("node", "rep"), n_live), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        groups = marked.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"), F.count("*").alias("parts"))
-        open_ = written(few(marked.join(groups.filter("parts > 1"), "shingle"), n_postings), "open")
-        # each of a shingle's `all` rows stands for 1 / all of its pairs
-        left = open_.agg(F.sum((F.col("all") - F.col("within") / F.col("all")) / 2)).first()[0] or 0
-        if star == MOST_STARS or left <= PAIRS_A_POSTING * n_postings or left > before / 2:
-            break
-        before = left
-        hub = open_.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("rep", F.lit(star)).alias("by"), "rep", "n", "pos", "before", "component")).alias("hub"))
-        pairs = open_.join(hub, "shingle").filter("component <> hub.component").filter(_may_link(F.col, of_hub, percent))
-        pairs = written(few(pairs.select(*ordered(F.col("rep"), F.col("hub.rep"))).distinct().join(tested, ["a", "b"], "left_anti"), n_postings), "pairs")
-        tested = tested.union(pairs)
-        links = links.union(written(few(_verified(pairs, nodes, percent), n_postings), "links"))
-        labels = components(links)
-    x, y = open_.alias("x"), open_.alias("y")
+    # postings whose shingle still meets in different components
+    marked = postings.join(small(labels.withColumnRenamed("node", "rep"), n_live), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    groups = marked.groupBy("shingle").agg(F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "all")
+    open_ = written(few(marked.join(groups, "shingle"), n_postings), "open")
+    x, y = (open_.filter(F.col("all") <= FEW).alias(side) for side in "xy")
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(few(_verified(pairs, nodes, percent), n_postings), "links")
+    pairs = written(few(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), n_postings), "pairs")
+    more = written(few(_verified(pairs, nodes, percent).union(_blocks(open_.filter(F.col("all") > FEW), nodes, percent, n_live)), n_postings), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 

@@ -49,6 +49,57 @@ def test_near_duplicates(spark, seed):
     assert got == brute.near_duplicates(docs)
 
 
+@pytest.mark.parametrize("few,block", [(32, 100_000), (2, 600)])
+def test_groups_just_below_the_threshold(spark, monkeypatch, few, block):
+    """Hundreds of near copies of one text, most pairs just below 75 %, some above: every link is found, whatever blocks they fall into."""
+    monkeypatch.setattr(nearjoin, "FEW", few)
+    monkeypatch.setattr(nearjoin, "BLOCK", block)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    docs = []
+    for i in range(400):
+        t = list(base)
+        for p in rng.sample(range(120), rng.choice([2, 4, 5])):
+            t[p] = f"x{rng.randrange(10**6)}"
+        docs.append((i * 7 % 400, " ".join(t)))
+    docs += [(1000 + i, t) for i, t in corpus(8, n=40)]
+    want = brute.near_duplicates(docs)
+    groups = {c for i, (_, c) in want.items() if i < 1000}
+    assert 20 < len(groups) < 380  # neither all linked nor all apart
+    assert {r[0]: tuple(r[1:]) for r in nearjoin.near_duplicates(frame(spark, docs)).collect()} == want
+
+
+def test_shared_counts_and_joining_links():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = ([np.unique(rng.integers(0, 10 ** rng.integers(1, 4), 40)) for _ in range(n)] for n in (30, 50))
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert (nearjoin._shared_counts(x, y) == want).all()
+    assert (nearjoin._shared_counts(x[:1], [np.array([10**9])]) == 0).all()
+    links = np.argwhere(rng.random((30, 50)) < 0.03)
+    left, right = np.arange(30), np.arange(30, 80)
+    from collections import defaultdict
+
+    def classes(edges):
+        near = defaultdict(set)
+        for i, j in edges:
+            near[i].add(30 + j)
+            near[30 + j].add(i)
+        out = {}
+        for v in range(80):
+            todo = [v]
+            while todo:
+                u = todo.pop()
+                if u not in out:
+                    out[u] = v
+                    todo += near[u]
+        return out
+
+    few = list(nearjoin._joining(links, left.copy(), right.copy()))
+    assert classes(few) == classes(links.tolist()) and len(few) < 80
+
+
 def test_near_duplicate_groups_keep_the_smallest(spark):
     docs = corpus(3)
     want = brute.near_duplicates(docs)
