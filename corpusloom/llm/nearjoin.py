@@ -373,5 +373,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first_of_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; columns as given. Rows that repeat a doc_id stay or go together."""
     found = near_duplicates(docs, id_col, text_col, words, percent).filter(F.col(id_col) != F.col("component_id"))
-    gone = written(found.select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return exclude(docs, gone, F.col(id_col).cast("long") == F.col("_gone"), gone.count())
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    gone = written(found.select(F.col(id_col).alias(name)).distinct(), "gone")
+    return exclude(docs, gone, F.col(id_col).cast("long") == F.col(name), gone.count())
