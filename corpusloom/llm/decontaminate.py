@@ -4,19 +4,24 @@ An item's windows are its runs of `length` words (an item with fewer words, but
 some, is one window).  Winnowing keeps the smallest k-gram hash of every w
 neighbouring k-grams, with w + k - 1 equal to the window's length, so every
 shared window holds at least one fingerprint that both sides keep, at the same
-place in the window.  Document fingerprints are matched with those of the
-benchmark, each hit is extended to the windows around it, and a window counts
-when all its words agree.
+place in the window.
 
-The benchmark is taken in blocks of a bounded number of words; a block's
-fingerprints and windows go to the tasks as one broadcast and the documents
-stream past it without a shuffle.  A benchmark of several blocks costs one pass
-over the documents each; marks are then united per document.
+1. Fingerprints of the documents are joined with the distinct ones of the benchmark.  Before
+   that, a task drops those whose low bits no benchmark fingerprint has; the table of these
+   bits has a fixed size at any size of the benchmark and can lose no hit.
+2. Each hit is extended to the windows around it, in the texts with a hit alone,
+   and these windows are joined with the benchmark's: a window counts when all its words agree.
+3. Hit words and items are united per text and go back to the rows.
+
+Both joins are between tables; a side is broadcast only when it is counted small.  The benchmark's
+side is unique in its join keys, so a passage in many documents costs a row for each.
+Texts are known by their MD5, so rows with the same text share their marks.
 
 Defined cases: null or empty texts have no words and are clean; repeated items
-count once per item_id; repeated document rows are judged row by row; a null
+count once per item_id; repeated document rows each get their marks; a null
 item_id is not reported among the items but its words are hit; an empty
-benchmark hits nothing.
+benchmark hits nothing; a column of docs that is named like the result gives way to it.
+A very long text is held whole by a task, some 60 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -29,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import written
-from .textbytes import ALNUM, Words, covered, slices, words_of
+from .storage import BROADCAST_ROWS, exclude, small, with_marks, written
+from .textbytes import ALNUM, Words, covered, signed, slices, words_of
 
-#: Benchmark words in one broadcast block: 1M words are about 50 MB of windows and fingerprints.
-BLOCK_WORDS = 1_000_000
+#: Low bits of fingerprints in the table that every task has: at most 4 million numbers.
+BITS = 22
 
 
 def winnow_sizes(length: int) -> tuple[int, int]:
@@ -56,134 +61,132 @@ def winnowed(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     return at[best], grams[best]
 
 
-class BenchmarkBlock:
-    """Fingerprints and windows of some items, sorted for lookups, by window length."""
-
-    def __init__(self, ids: list, texts: list[str | None], length: int):
-        words = words_of(pa.array(texts, pa.string()), ALNUM, lower=True)
-        own = {}
-        for i, n in enumerate(words.counts.tolist()):
-            if n:
-                own.setdefault(min(n, length), []).append(i)
-        self.ids = [None if i is None else str(i) for i in ids]
-        self.lengths = {}
-        for size, items in own.items():
-            some = words_of(pa.array([texts[i] for i in items], pa.string()), ALNUM, lower=True)
-            at, hashes = some.grams(size)
-            item = np.array(items, np.int64)[some.text_of()[at]]
-            order = np.lexsort((item, hashes))
-            hashes, item = hashes[order], item[order]
-            unique, first = np.unique(hashes, return_index=True)
-            self.lengths[size] = (np.unique(winnowed(some, size)[1]), unique, np.append(first, len(hashes)), item)
-
-
-def _isin(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where in the sorted table, whether it is there)."""
-    if not len(table):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return at, table[at] == values
-
-
-def _hits(words: Words, block: BenchmarkBlock) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(marks of words, texts, items): hit words, and the pairs of text and item that share a window."""
-    n, marks = len(words.hashes), np.zeros(len(words.hashes), bool)
-    text = words.text_of()
-    pairs = [np.empty((0, 2), np.int64)]
-    for size, (fingerprints, windows, first, items) in block.lengths.items():
-        at, hashes = winnowed(words, size)
-        at = at[_isin(hashes, fingerprints)[1]]
-        if not len(at):
-            continue
-        k, _ = winnow_sizes(size)
-        starts = np.unique((at[:, None] - np.arange(size - k + 1)).ravel())  # windows that hold the fingerprint
-        starts = starts[(starts >= 0) & (starts + size <= n)]
-        starts = starts[text[starts] == text[starts + size - 1]]
-        where, found = _isin(words.runs(starts, starts + size), windows)
-        starts, where = starts[found], where[found]
-        if not len(starts):
-            continue
-        marks |= covered(starts, size, n)
-        seen = np.unique(np.stack((text[starts], where), 1), axis=0)
-        many = first[seen[:, 1] + 1] - first[seen[:, 1]]
-        places = np.repeat(first[seen[:, 1]] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-        pairs.append(np.unique(np.stack((np.repeat(seen[:, 0], many), items[places]), 1), axis=0))
-    pairs = np.unique(np.concatenate(pairs), axis=0)
-    return marks, pairs[:, 0], pairs[:, 1]
-
-
-def _block_marks(docs: DataFrame, text_col: str, block, out: str, carry: list[str]) -> DataFrame:
-    """Adds the struct `out`: n_words, packed hit marks of the words, and the items."""
-    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_from", T.ArrayType(T.IntegerType())), T.StructField("hit_to", T.ArrayType(T.IntegerType()))])
-    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(out, kind)])
-    arrow_kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hit_from", pa.list_(pa.int32())), ("hit_to", pa.list_(pa.int32()))])
+def _item_rows(length: int, windows: bool):
+    """(size, hash, item): the windows of the items, or their fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                counts = words_of(part.column("text"), ALNUM, lower=True).counts
+                for size in np.unique(np.minimum(counts[counts > 0], length)).tolist():
+                    some = part.filter(pa.array(np.minimum(counts, length) == size))
+                    words = words_of(some.column("text"), ALNUM, lower=True)
+                    at, hashes = words.grams(size) if windows else winnowed(words, size)
+                    item = some.column("item").take(pa.array(words.text_of()[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int32)), signed(hashes), item], names=["size", "hash", "item"])
+
+    return run
+
+
+def _fingerprint_rows(sizes: list[int], low):
+    """(digest, size, hash, place) of the documents' fingerprints that may be some of the benchmark's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(1 << BITS, bool)
+        there[low.value] = True
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = words_of(part.column("text"), ALNUM, lower=True)
+                for size in sizes:
+                    at, hashes = winnowed(words, size)
+                    keep = there[(hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+                    at, hashes = at[keep], hashes[keep]
+                    if len(at):
+                        text = words.text_of()[at]
+                        yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(text)), pa.array(np.full(len(at), size, np.int32)), signed(hashes), pa.array((at - words.first[text]).astype(np.int32))], names=["digest", "size", "hash", "place"])
+
+    return run
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, size, hash, start): the windows around the hits (size, place) of each text."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            words, hits = words_of(part.column("text"), ALNUM, lower=True), part.column("hits")
+            text = np.repeat(np.arange(part.num_rows), np.diff(hits.offsets.to_numpy()))
+            flat = hits.flatten()
+            sizes, places = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("size", "place"))
+            for size in np.unique(sizes).tolist():
+                k, _ = winnow_sizes(size)
+                own = sizes == size
+                at, owner = words.first[text[own]] + places[own], np.repeat(text[own], size - k + 1)
+                starts = (at[:, None] - np.arange(size - k + 1)).ravel()  # windows that hold the fingerprint
+                fits = (starts >= words.first[owner]) & (starts + size <= words.first[owner + 1])
+                starts, first = np.unique(starts[fits], return_index=True)
+                owner = owner[fits][first]
+                yield pa.RecordBatch.from_arrays([part.column("digest").take(pa.array(owner)), pa.array(np.full(len(starts), size, np.int32)), signed(words.runs(starts, starts + size)), pa.array((starts - words.first[owner]).astype(np.int32))], names=["digest", "size", "hash", "start"])
+
+
+def shared_windows(texts: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", length: int = 10, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """texts (digest, text) -> (digest, starts array<struct<start, size>>, items): windows that benchmark items hold too, and the sorted ids of these. Written to the shared folder."""
+    spark = texts.sparkSession
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    windows = written(items.mapInArrow(_item_rows(length, True), "size int, hash long, item string").distinct(), "windows")
+    prints = written(items.mapInArrow(_item_rows(length, False), "size int, hash long, item string").select("size", "hash").distinct(), "prints")
+    sizes = sorted(r.size_ for r in prints.select(F.col("size").alias("size_")).distinct().collect())  # at most `length`
+    low = prints.select(F.col("hash").bitwiseAND((1 << BITS) - 1).alias("low")).distinct().toPandas()["low"].to_numpy(np.int64)  # at most 2^BITS
+    known = spark.sparkContext.broadcast(low)
+
+    def side(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= broadcast_rows else df
+
+    found = texts.mapInArrow(_fingerprint_rows(sizes, known), "digest string, size int, hash long, place int").join(side(prints, prints.count()), ["size", "hash"])
+    hits = written(found.groupBy("digest").agg(F.collect_set(F.struct("size", "place")).alias("hits")), "hits")
+    n_hits = hits.count()
+    # texts with a hit, each once
+    some = texts.join(small(hits.select("digest"), n_hits), "digest", "left_semi").dropDuplicates(["digest"]).join(hits, "digest")
+    around = written(some.mapInArrow(_window_rows, "digest string, size int, hash long, start int"), "around")
+    distinct = windows.select("size", "hash").distinct()
+    n_windows = windows.count()
+    real = written(around.join(side(distinct, n_windows), ["size", "hash"]), "real")
+    starts = real.groupBy("digest").agg(F.collect_set(F.struct("start", "size")).alias("starts"))
+    named = real.select("digest", "size", "hash").distinct().join(side(windows.filter("item is not null"), n_windows), ["size", "hash"])
+    ids = named.groupBy("digest").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return written(starts.join(ids, "digest", "left"), "shared")
+
+
+_KIND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_from", T.ArrayType(T.IntegerType())), T.StructField("hit_to", T.ArrayType(T.IntegerType()))])
+
+
+def _mark_rows(text_col: str, carry: list[str], out: str):
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("hit_from", pa.list_(pa.int32())), ("hit_to", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = block.value
         for batch in batches:
             for part in slices(batch, text_col):
-                words = words_of(part.column(text_col), ALNUM, lower=True)
-                marks, texts, items = _hits(words, known)
-                first, m = words.first, part.num_rows
-                sums = np.concatenate(([0], np.cumsum(marks)))
-                n_hit = sums[first[1:]] - sums[first[:-1]]
-                own: list[list[str]] = [[] for _ in range(m)]
-                for t, i in zip(texts.tolist(), items.tolist(), strict=True):
-                    if known.ids[i] is not None:
-                        own[t].append(known.ids[i])
-                spans: list[tuple[list, list]] = [([], []) for _ in range(m)]
-                for t in np.flatnonzero(n_hit).tolist():
-                    edge = np.diff(np.concatenate(([0], marks[first[t] : first[t + 1]].astype(np.int8), [0])))
-                    spans[t] = (np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist())
-                rows = pa.StructArray.from_arrays([pa.array(words.counts), pa.array(n_hit), pa.array([sorted(set(x)) for x in own], pa.list_(pa.string())), pa.array([s[0] for s in spans], pa.list_(pa.int32())), pa.array([s[1] for s in spans], pa.list_(pa.int32()))], fields=list(arrow_kind))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), rows], names=[*carry, out])
-
-    return docs.mapInArrow(run, schema)
-
-
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10, block_words: int = BLOCK_WORDS, carry: list[str] | None = None, out: str = "contamination") -> DataFrame:
-    """docs (its columns `carry`, all by default) with a struct column `out`: n_words, n_hit, items (sorted ids) and the hit word spans [hit_from, hit_to).
-
-    Reads the benchmark block by block on the driver, at most `block_words` words (or one item) at a time;
-    documents are never collected.
-    """
-    spark, carry = docs.sparkSession, docs.columns if carry is None else carry
-    items = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("text"))
-    blocks, ids, texts, held = [], [], [], 0
-    for row in items.toLocalIterator():
-        ids.append(row.id)
-        texts.append(row.text)
-        held += len(row.text or "") // 2 + 1
-        if held >= block_words:
-            blocks.append((ids, texts))
-            ids, texts, held = [], [], 0
-    if ids or not blocks:
-        blocks.append((ids, texts))
-    if len(blocks) == 1:
-        return _block_marks(docs, text_col, spark.sparkContext.broadcast(BenchmarkBlock(*blocks[0], length)), out, carry)
-    for b, (ids, texts) in enumerate(blocks):
-        known = spark.sparkContext.broadcast(BenchmarkBlock(ids, texts, length))
-        own = [*docs.columns] if b < len(blocks) - 1 else [*carry, *["_block0"] * bool(b)]
-        docs = written(_block_marks(docs, text_col, known, f"_block{b}", own), "decontaminate")
-        if b:
-            both = [F.arrays_zip(F.col(f"{c}.hit_from").alias("f"), F.col(f"{c}.hit_to").alias("t")) for c in ("_block0", f"_block{b}")]
-            # spans of both blocks in order, then merged where they touch
-            merged = F.aggregate(
-                F.array_sort(F.concat(*both)),
-                F.array().cast("array<struct<f:int,t:int>>"),
-                lambda acc, x: F.when((F.size(acc) > 0) & (x["f"] <= F.element_at(acc, -1)["t"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["f"].alias("f"), F.greatest(F.element_at(acc, -1)["t"], x["t"]).alias("t"))))).otherwise(F.concat(acc, F.array(F.struct(x["f"].alias("f"), x["t"].alias("t"))))),
-            )
-            docs = docs.withColumn("_spans", merged).withColumn(
-                "_block0",
-                F.struct(
-                    F.col("_block0.n_words").alias("n_words"),
-                    F.aggregate("_spans", F.lit(0).cast("long"), lambda acc, x: acc + x["t"] - x["f"]).alias("n_hit"),
-                    F.array_sort(F.array_union(F.col("_block0.items"), F.col(f"_block{b}.items"))).alias("items"),
-                    F.col("_spans.f").alias("hit_from"),
-                    F.col("_spans.t").alias("hit_to"),
-                ),
-            ).drop("_spans", f"_block{b}")
-    return docs.withColumnRenamed("_block0", out)
+                counts = words_of(part.column(text_col), ALNUM, lower=True).counts
+                starts, rows = part.column("_starts"), []
+                items = part.column("_items").to_pylist()
+                for i, n in enumerate(counts.tolist()):
+                    if not starts[i].is_valid:
+                        rows.append((n, 0, [], [], []))
+                        continue
+                    own = starts[i].values
+                    start, size = (own.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "size"))
+                    marks = covered(start, size, n)
+                    edge = np.diff(np.concatenate(([0], marks.astype(np.int8), [0])))
+                    rows.append((n, int(marks.sum()), items[i] or [], np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist()))
+                fields = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.StructArray.from_arrays(fields, fields=list(kind))], names=[*carry, out])
+
+    return run
+
+
+def _digest(text_col: str):
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10, carry: list[str] | None = None, out: str = "contamination", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs (its columns `carry`, all by default) with a struct column `out`: n_words, n_hit, items (sorted ids) and the hit word spans [hit_from, hit_to)."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c != out]
+    texts = docs.select(_digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    marks = shared_windows(texts, benchmark, item_col, item_text_col, length, broadcast_rows).select(F.col("digest").alias("_digest"), F.col("starts").alias("_starts"), F.col("items").alias("_items"))
+    names = {c: f"_own_{i}" for i, c in enumerate(carry)}
+    named = docs.select(*(F.col(c).alias(n) for c, n in names.items()), _digest(text_col).alias("_digest"), F.col(text_col).cast("string").alias("_text"))
+    marked = with_marks(named, marks, "_digest", marks.count())
+    schema = T.StructType([*(T.StructField(n, docs.schema[c].dataType) for c, n in names.items()), T.StructField("_out", _KIND)])
+    rows = marked.mapInArrow(_mark_rows("_text", list(names.values()), "_out"), schema)
+    return rows.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("_out").alias(out))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -202,7 +205,9 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that share no window with the benchmark; columns as given."""
-    out = "_contamination"
-    while out in docs.columns:
-        out += "_"
-    return mark_contamination(docs, benchmark, out=out).filter(F.col(f"{out}.n_hit") == 0).drop(out)
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    texts = docs.select(_digest("text").alias("digest"), F.col("text").cast("string").alias("text"))
+    gone = shared_windows(texts, benchmark).select(F.col("digest").alias("_digest"))
+    named = docs.withColumnsRenamed(names).withColumn("_digest", _digest(names["text"]))
+    kept = exclude(named, gone, "_digest", gone.count())
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))

@@ -145,11 +145,11 @@ def test_repeated_bytes(spark, length, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == brute.drop_byte_spans(docs, length)
 
 
-@pytest.mark.parametrize("block", [60, 1_000_000])
-def test_contamination(spark, block):
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_contamination(spark, rows):
     docs, items = corpus(11), [(i, t) for i, t in corpus(11, n=9, words=40)] + [(100, "two three"), (101, "one"), (102, ""), (103, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.mark_contamination(frame(spark, docs), bench, block_words=block).collect()
+    out = decontaminate.mark_contamination(frame(spark, docs), bench, broadcast_rows=rows).collect()
     want = brute.contamination(docs, items)
     for r in out:
         c = r.contamination
