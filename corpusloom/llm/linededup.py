@@ -12,7 +12,7 @@ by a join on (host, line) that is salted on the page's side.
 Defined cases: a null host is a host of its own; null texts stay null and count as
 pages; lines without a word are never dropped; lines are compared whole; repeats
 of a line in a page count once but all go; every row is a page, and rows that repeat a doc_id lose the lines that any of them loses;
-a host of fewer than `min_pages` pages keeps all lines; columns pass through.
+a line on fewer than `min_holders` pages of its host stays, whatever the size of the host; columns pass through.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .quality import SPACES
 from .storage import NO_ID, with_marks, written
 
 SALTS = 16
-#: Over a tenth of a site's pages; smaller sites than 20 pages say too little.
-RATIO, MIN_PAGES = 0.1, 20
+#: Over a tenth of a site's pages, and three pages at least: two copies of a page make no boilerplate.
+RATIO, MIN_HOLDERS = 0.1, 3
 
 
 def _lines(text: str) -> Column:
@@ -36,20 +36,20 @@ def _has_word(line: Column) -> Column:
     return F.translate(line, SPACES + " ", "") != ""
 
 
-def boilerplate_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, ratio: float, min_pages: int) -> tuple[DataFrame, DataFrame]:
+def boilerplate_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, ratio: float, min_holders: int) -> tuple[DataFrame, DataFrame]:
     """((key, host, lines) of all pages, (host, line) of the boilerplate); lines as 64-bit hashes, hosts never null."""
     host = F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit("none"))
     hashed = F.array_distinct(F.transform(F.filter(_lines(text_col), _has_word), lambda x: F.xxhash64(x)))
     pages = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), host.alias("host"), hashed.alias("lines"))
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     lines = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    found = lines.filter("n > 1").join(totals, "host").filter((F.col("pages") >= min_pages) & (F.col("n") > ratio * F.col("pages")))
+    found = lines.filter(F.col("n") >= min_holders).join(totals, "host").filter(F.col("n") > ratio * F.col("pages"))
     return pages, found.select("host", "line")
 
 
-def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = RATIO, min_holders: int = MIN_HOLDERS) -> DataFrame:
     """docs without the boilerplate lines of their site; columns as given."""
-    pages, found = boilerplate_lines(docs, id_col, text_col, host_col, ratio, min_pages)
+    pages, found = boilerplate_lines(docs, id_col, text_col, host_col, ratio, min_holders)
     spread = written(found, "boilerplate").withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
     own = pages.select("key", "host", F.explode("lines").alias("line")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     marks = own.join(spread, ["host", "line", "salt"], "left_semi").groupBy("key").agg(F.collect_set("line").alias("_gone"))
@@ -74,7 +74,7 @@ CLEAN_SQL = f"""
 p as (select *, row_number() over () as rn, coalesce('h' || source, 'none') as host, string_split(text, chr(10)) as ls from {{docs}}),
 tot as (select host, count(*) as pages from p group by host),
 ln as (select host, x, count(*) as n from (select host, unnest(list_distinct(ls)) as x from p) where not ({_BLANK}) group by host, x),
-bp as (select host, list(x) as xs from ln join tot using (host) where n > 1 and pages >= {MIN_PAGES} and n > {RATIO} * pages group by host),
+bp as (select host, list(x) as xs from ln join tot using (host) where n >= {MIN_HOLDERS} and n > {RATIO} * pages group by host),
 clean as (select p.* exclude (rn, host, ls, text), case when xs is null then text else array_to_string(list_filter(ls, lambda x: not list_contains(xs, x)), chr(10)) end as text
   from p left join bp using (host))"""
 

@@ -30,10 +30,10 @@ def test_rules_of_an_empty_table(spark):
 def test_boilerplate_lines(spark):
     rows = [(i, "s", f"menu\nline {i}\n\nmenu\nend") for i in range(9)] + [(9, "s", None), (10, None, "menu"), (11, None, "menu\nother"), (11, None, "menu\nother"), (None, "s", "menu\nx")]
     df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, source string, text string, _key string")
-    out = linededup.drop_boilerplate(df, ratio=0.5, min_pages=5)
+    out = linededup.drop_boilerplate(df, ratio=0.5)
     got = {(r.doc_id, r.text) for r in out.collect()}
     assert out.columns == df.columns and out.count() == len(rows)
-    assert got == {(i, f"line {i}\n") for i in range(9)} | {(9, None), (10, "menu"), (11, "menu\nother"), (None, "x")}
+    assert got == {(i, f"line {i}\n") for i in range(9)} | {(9, None), (10, ""), (11, "other"), (None, "x")}
     assert "Python" not in plan(out)
     assert linededup.drop_boilerplate(df.limit(0)).count() == 0
 
