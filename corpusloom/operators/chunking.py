@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import stable_id
+from ..sources.checkpoints import checkpointed
 from .parsing import parse_documents
 
 # Boundaries by preference.
@@ -96,7 +97,7 @@ def _chunks(document: str, blocks, size: int, overlap: int) -> list[dict]:
 def chunk_documents(df: DataFrame, chunk_size: int = 800, overlap: int = 120) -> DataFrame:
     """(document_id, blocks) -> chunks; a document without text gives one row with an error_code.
 
-    Narrow: a document's chunks come from its own row, without a shuffle.
+    Narrow: a document's chunks come from its own row, without a shuffle. Rows that come with an error_code keep it and have no chunks.
     """
     if chunk_size <= 0 or overlap < 0 or overlap >= chunk_size:
         raise ValueError(f"invalid chunk settings: size={chunk_size} overlap={overlap}")
@@ -104,21 +105,24 @@ def chunk_documents(df: DataFrame, chunk_size: int = 800, overlap: int = 120) ->
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            rows = [r for d, b in zip(pdf["document_id"], pdf["blocks"], strict=True) for r in _chunks(d, b, chunk_size, overlap)]
+            rows = [r for d, b, e in zip(pdf["document_id"], pdf["blocks"], pdf["error_code"], strict=True) for r in ([{"document_id": d, "error_code": e}] if e else _chunks(d, b, chunk_size, overlap))]
             yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names}).astype({c: "Int64" for c in ("chunk_index", "token_count", "page_start", "page_end")})
 
-    return df.select(F.col("document_id").cast("string").alias("document_id"), "blocks").mapInPandas(run, CHUNK)
+    error = F.col("error_code") if "error_code" in df.columns else F.lit(None)
+    return df.select(F.col("document_id").cast("string").alias("document_id"), "blocks", error.cast("string").alias("error_code")).mapInPandas(run, CHUNK)
 
 
 def index_corpus(files: DataFrame, chunk_size: int = 800, overlap: int = 120, dimension: int = 1024, namespace: str = "6ba7b810-9dad-11d1-80b4-00c04fd430c8", embedder=None) -> tuple[DataFrame, DataFrame]:
-    """files (document_id, knowledge_base_id, filename, content, index_version) -> (chunks with embeddings, one outcome row per document)."""
+    """files (document_id, knowledge_base_id, filename, content, index_version) -> (chunks with embeddings, one outcome row per document).
+
+    Parses and chunks once, by a job of its own; both tables go on from its rows in the checkpoint folder.
+    """
     from .embedding import with_embeddings
     from .lifecycle import document_outcomes
 
-    parsed = parse_documents(files.select("document_id", "filename", "content"))
-    chunks = chunk_documents(parsed.filter("error_code is null"), chunk_size, overlap)
+    chunks = checkpointed(chunk_documents(parse_documents(files.select("document_id", "filename", "content")), chunk_size, overlap))
     good = chunks.filter("error_code is null").drop("error_code")
     keys = files.select(F.col("document_id").cast("string").alias("document_id"), "knowledge_base_id", "index_version")
     good = good.join(keys, "document_id").withColumn("id", stable_id(F.concat_ws(":", "document_id", "index_version", "chunk_index"), namespace))
-    errors = parsed.filter("error_code is not null").select("document_id", "error_code").unionByName(chunks.filter("error_code is not null").select("document_id", "error_code"))
+    errors = chunks.filter("error_code is not null").select("document_id", "error_code")
     return with_embeddings(good, "content", dimension, embedder), document_outcomes(keys, good, errors)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -46,10 +47,12 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
         keys = new.select("document_id", "index_version", "bucket").distinct()
         old = old.join(keys.select("bucket").distinct(), "bucket", "left_semi").join(keys.drop("bucket"), ["document_id", "index_version"], "left_anti")
         both = old.unionByName(new, allowMissingColumns=True)
-        aside = f"{path.rstrip('/')}_next"  # what is read can't be overwritten: the new partitions are made aside first
+        aside = _aside(path)  # what is read can't be overwritten: the new partitions are made aside first
         both.write.mode("overwrite").parquet(aside)
         new = spark.read.parquet(aside)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if old is not None:
+        _drop_folder(spark, aside)
 
 
 def keep_chunks(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> None:
@@ -58,12 +61,12 @@ def keep_chunks(spark: SparkSession, path: str, keep: Callable[[DataFrame], Data
     if old is None:
         return
     gone = old.join(keep(old).select("document_id").distinct(), "document_id", "left_anti").select("document_id", "bucket").distinct()
-    aside = f"{path.rstrip('/')}_gone"  # the keys are settled before the table changes
+    aside = _aside(path)  # the keys are settled before the table changes
     gone.write.mode("overwrite").parquet(aside)
     gone = spark.read.schema(gone.schema).parquet(aside)
     touched = old.join(gone.select("bucket").distinct(), "bucket", "left_semi")
     left = touched.join(gone.select("document_id"), "document_id", "left_anti")
-    next_ = f"{path.rstrip('/')}_next"
+    next_ = _aside(path)
     left.write.mode("overwrite").parquet(next_)
     left = spark.read.schema(left.schema).parquet(next_)
     # a dynamic overwrite leaves partitions that get no rows as they are
@@ -71,6 +74,13 @@ def keep_chunks(spark: SparkSession, path: str, keep: Callable[[DataFrame], Data
     left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     for row in empty.collect():  # at most the 64 buckets
         _drop_folder(spark, f"{path.rstrip('/')}/bucket={row.bucket}")
+    for folder in (aside, next_):
+        _drop_folder(spark, folder)
+
+
+def _aside(path: str) -> str:
+    """A folder beside the table of this run alone, so that two writers never share one."""
+    return f"{path.rstrip('/')}_next-{uuid.uuid4().hex}"
 
 
 def _drop_folder(spark: SparkSession, path: str) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.costs import Pricing
+
 FAILURES_SHOWN = 5
 
 
@@ -30,26 +32,29 @@ def report_json(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.to_json(F.struct(*sorted(metrics.columns))).alias("value"))
 
 
-def report_markdown(configs: DataFrame, metrics: DataFrame, failures: DataFrame) -> DataFrame:
-    """(line_no, line) of a report: configs (ord, strategy, dense_top_k, sparse_top_k, rrf_k, rerank_top_k, final_top_k), metrics (ord, strategy and
-    the columns of retrieval_metrics), failures (ord, strategy, id, first_relevant_rank, error), of which each strategy's first few are shown.
+def report_markdown(configs: DataFrame, metrics: DataFrame, failures: DataFrame, pricing: Pricing | None = None) -> DataFrame:
+    """(line_no, line) of a report: configs (ord, strategy, dense_top_k, sparse_top_k, rrf_k, rerank_enabled, rerank_top_k, final_top_k), metrics (ord, strategy and
+    the columns of retrieval_metrics), failures (ord, strategy, id, first_relevant_rank, citation_hit, error), of which each strategy's first few are shown.
 
     A report has a few rows for each strategy.
     """
-    config = F.format_string("| %s | %d | %d | %d | %d | %d |", "strategy", "dense_top_k", "sparse_top_k", "rrf_k", "rerank_top_k", "final_top_k")
+    yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
+    config = F.format_string("| %s | %d | %d | %d | %s | %d | %d |", "strategy", "dense_top_k", "sparse_top_k", "rrf_k", yes("rerank_enabled"), "rerank_top_k", "final_top_k")
     figures = F.format_string(
-        "| %s | %.4f | %.4f | %.4f | %.4f | %.4f | %.3f | %.3f | %.2f | %.8f |",
-        *("strategy recall_at_1 recall_at_5 recall_at_10 mrr citation_hit_rate avg_retrieval_latency_ms p95_retrieval_latency_ms avg_tokens avg_estimated_cost_usd".split()),
+        "| %s | %.4f | %.4f | %.4f | %.4f | %.4f | %.3f / %.3f | %.3f / %.3f | %.2f | %.8f |",
+        *("strategy recall_at_1 recall_at_5 recall_at_10 mrr citation_hit_rate avg_retrieval_latency_ms p95_retrieval_latency_ms avg_end_to_end_latency_ms p95_end_to_end_latency_ms avg_tokens avg_estimated_cost_usd".split()),
     )
     shown = failures.withColumn("_n", F.row_number().over(Window.partitionBy("strategy").orderBy("id"))).filter(F.col("_n") <= FAILURES_SHOWN)
-    failure = F.format_string("- %s, %s: first relevant rank %d%s", "strategy", "id", "first_relevant_rank", F.when(F.coalesce("error", F.lit("")) != "", F.concat(F.lit(", "), "error")).otherwise(""))
+    error = F.regexp_replace(F.coalesce("error", F.lit("")), r"\|", "/")  # a bar would end the cell
+    failure = F.format_string("| %s | %s | %d | %s | %s |", "strategy", "id", "first_relevant_rank", yes("citation_hit"), error)
     best = F.format_string("Best: %s (Recall@10 %.4f, MRR %.4f).", "strategy", "recall_at_10", "mrr")
+    prices = () if pricing is None else (f"USD per million tokens: prompt {pricing.prompt:.4f}, completion {pricing.completion:.4f}, embedding {pricing.embedding:.4f}, rerank {pricing.rerank:.4f}", "")
     return _numbered(
-        _text(metrics, 1, "# Retrieval evaluation", "", "| Strategy | Dense | Sparse | RRF k | Rerank | Final |", "|---|---:|---:|---:|---:|---:|"),
+        _text(metrics, 1, "# Retrieval evaluation", "", *prices, "| Strategy | Dense | Sparse | RRF k | Reranked | Rerank k | Final |", "|---|---:|---:|---:|---|---:|---:|"),
         _lines(1, configs, ["ord"], config),
-        _text(metrics, 2, "", "| Strategy | Recall@1 | Recall@5 | Recall@10 | MRR | Citation hits | Avg ms | P95 ms | Avg tokens | Avg USD |", "|---|---:|---:|---:|---:|---:|---:|---:|---:|---:|"),
+        _text(metrics, 2, "", "| Strategy | Recall@1 | Recall@5 | Recall@10 | MRR | Citation hits | Retrieval ms, mean / P95 | End to end ms, mean / P95 | Avg tokens | Avg USD |", "|---|---:|---:|---:|---:|---:|---:|---:|---:|---:|"),
         _lines(2, metrics, ["ord"], figures),
-        _text(metrics, 3, "", "## Failures", ""),
+        _text(metrics, 3, "", "## Failures", "", "| Strategy | Case | First relevant | Cited | Error |", "|---|---|---:|---|---|"),
         _lines(3, shown, ["ord", "id"], failure),
         _text(metrics, 4, "", "## Conclusions", ""),
         _lines(4, metrics.orderBy(F.desc("recall_at_10"), F.desc("mrr"), "ord").limit(1), ["ord"], best),

@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.chunking import index_corpus
-from ..operators.lifecycle import apply_document_deletes, apply_kb_deletes, claim_jobs, requeue
+from ..operators.lifecycle import apply_claims, apply_document_deletes, apply_kb_deletes, claim_jobs, requeue
+from ..sources.checkpoints import checkpointed
 from ..sources.io import keep_chunks, read_messages, write_chunks
 
 
@@ -30,6 +31,8 @@ class IndexTables:
     files: Callable[[SparkSession], DataFrame]  # (document_id, knowledge_base_id, filename, content, index_version)
     chunks_path: str
     outcomes_path: str
+    #: Takes the jobs with a batch's claims applied (running, one more attempt), before the batch is indexed; called only with claims.
+    claimed: Callable[[DataFrame], None] | None = None
     #: Takes the tables documents, jobs (and knowledge_bases) after a batch's deletes; called only with deletes.
     deleted: Callable[[dict[str, DataFrame]], None] | None = None
     #: Takes delete messages (JSON strings, column value) that failed and go back to the queue; without it the batch fails and runs again.
@@ -60,6 +63,9 @@ def index_batch(batch: DataFrame, tables: IndexTables, epoch: int, dimension: in
     valid = read_messages(batch).filter("error_code is null")
     messages = valid.filter("type = 'document.index'")
     claims = claim_jobs(messages, tables.jobs(spark), tables.documents(spark), tables.knowledge_bases(spark)).filter("outcome = 'claimed'")
+    claims = checkpointed(claims)  # settled before the jobs change
+    if tables.claimed is not None and not claims.isEmpty():
+        tables.claimed(apply_claims(tables.jobs(spark), claims, F.current_timestamp()))
     wanted = claims.select("document_id", "index_version").distinct()
     files = tables.files(spark).join(wanted, ["document_id", "index_version"], "left_semi")
     chunks, outcomes = index_corpus(files, dimension=dimension)
@@ -89,7 +95,7 @@ def usage_counters(usage: DataFrame) -> DataFrame:
 
 
 def start_usage_stream(source: DataFrame, name: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """usage_counters of a stream, in update mode, into the memory table `name`."""
+    """usage_counters of a stream into the memory table `name`: all counters after each batch, one row for each request type and model."""
     writer = usage_counters(source).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import limits
 from corpusloom.plans import queries
+from corpusloom.functions.costs import Pricing
 from corpusloom.sources import append_usage, load_questions, read_files, read_messages, report_markdown, write_chunks
 from corpusloom.streaming import IndexTables, rate_limit_stream, start_index_stream, start_usage_stream
 from corpusloom.streaming.jobs import index_batch
@@ -36,12 +37,14 @@ def test_files_messages_and_questions(spark, tmp_path):
 
 
 def test_report(spark):
-    names = "ord strategy recall_at_1 recall_at_5 recall_at_10 mrr citation_hit_rate avg_retrieval_latency_ms p95_retrieval_latency_ms avg_tokens avg_estimated_cost_usd".split()
-    metrics = spark.createDataFrame([(0, "dense", *[0.5] * 9), (1, "sparse", *[0.25] * 9)], names)
-    configs = spark.createDataFrame([(0, "dense", 20, 0, 60, 10, 10)], "ord int, strategy string, dense_top_k int, sparse_top_k int, rrf_k int, rerank_top_k int, final_top_k int")
-    failures = spark.createDataFrame([(0, "dense", f"q{i}", 0, "") for i in range(9)], "ord int, strategy string, id string, first_relevant_rank int, error string")
-    lines = [r.line for r in report_markdown(configs, metrics, failures).orderBy("line_no").collect()]
-    assert lines[0].startswith("# ") and "| dense | 20 | 0 | 60 | 10 | 10 |" in lines and sum(x.startswith("- dense") for x in lines) == 5 and lines[-1].startswith("Best: dense")
+    names = "ord strategy recall_at_1 recall_at_5 recall_at_10 mrr citation_hit_rate avg_retrieval_latency_ms p95_retrieval_latency_ms avg_end_to_end_latency_ms p95_end_to_end_latency_ms avg_tokens avg_estimated_cost_usd".split()
+    metrics = spark.createDataFrame([(0, "dense", *[0.5] * 7, 2.0, 3.0, *[0.5] * 2), (1, "sparse", *[0.25] * 11)], names)
+    configs = spark.createDataFrame([(0, "dense", 20, 0, 60, True, 10, 10)], "ord int, strategy string, dense_top_k int, sparse_top_k int, rrf_k int, rerank_enabled boolean, rerank_top_k int, final_top_k int")
+    failures = spark.createDataFrame([(0, "dense", f"q{i}", i % 2, i == 1, "a|b") for i in range(9)], "ord int, strategy string, id string, first_relevant_rank int, citation_hit boolean, error string")
+    lines = [r.line for r in report_markdown(configs, metrics, failures, Pricing(0.15, 0.6, 0.02, 0.05)).orderBy("line_no").collect()]
+    assert lines[0].startswith("# ") and any("0.1500" in x and "0.0500" in x for x in lines) and "| dense | 20 | 0 | 60 | yes | 10 | 10 |" in lines
+    assert any("0.500 / 0.500 | 2.000 / 3.000" in x for x in lines) and lines[-1].startswith("Best: dense")
+    assert sum(x.startswith("| dense | q") for x in lines) == 5 and "| dense | q1 | 1 | yes | a/b |" in lines
 
 
 def stream(spark, df, folder):
@@ -98,6 +101,29 @@ def test_index_stream_routes_deletes(spark, tmp_path):
     assert {json.loads(r.value)["type"] for r in requeued} == {"document.delete", "knowledge_base.delete"} and len(requeued) == 2
 
 
+def test_index_stream_applies_claims(spark, tmp_path):
+    """A message that comes again finds its job running and isn't indexed a second time."""
+    message = json.dumps({"type": "document.index", "owner_id": "o", "job_id": "j", "document_id": "d", "index_version": 1})
+    source = stream(spark, spark.createDataFrame([(message,)], "value string"), str(tmp_path / "queue"))
+    schema = "id string, document_id string, index_version int, status string, stage string, progress int, attempts int, started_at timestamp"
+    state, contents = [("j", "d", 1, "pending", "queued", 0, 0, None)], [b"first"]
+    tables = IndexTables(
+        jobs=lambda s: s.createDataFrame(state, schema),
+        documents=lambda s: s.createDataFrame([("d", "k", 1, "queued", None)], "id string, knowledge_base_id string, index_version int, status string, deleted_at timestamp"),
+        knowledge_bases=lambda s: s.createDataFrame([("k", "o", None)], "id string, owner_id string, deleted_at timestamp"),
+        files=lambda s: s.createDataFrame([("d", "k", "a.txt", contents[-1], 1)], "document_id string, knowledge_base_id string, filename string, content binary, index_version int"),
+        chunks_path=str(tmp_path / "chunks"),
+        outcomes_path=str(tmp_path / "outcomes"),
+        claimed=lambda jobs: state.__setitem__(slice(None), [tuple(r) for r in jobs.select(*(c.split()[0] for c in schema.split(", "))).collect()]),
+    )
+    for n in range(2):
+        start_index_stream(source, tables, str(tmp_path / f"checkpoint{n}"), available_now=True).awaitTermination(60)
+        assert [r[3:7] for r in state] == [("running", "parsing", 10, 1)]
+        assert [r.content for r in spark.read.parquet(tables.chunks_path).collect()] == ["first"]
+        contents.append(b"second")
+    assert not [x for x in tmp_path.iterdir() if "_next" in x.name]
+
+
 def test_usage_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([("chat", "m", "succeeded", 5, 0.5), ("chat", "m", "failed", 1, 0.0)], "request_type string, model string, status string, prompt_tokens int, estimated_cost_usd double")
     q = start_usage_stream(stream(spark, df, str(tmp_path / "u")), "usage_counts", str(tmp_path / "c"), available_now=True)
@@ -122,4 +148,4 @@ def test_every_oracle_has_a_query():
 def test_entry(spark, sf_dir):
     import __spark_entry__
 
-    assert __spark_entry__.queries()["retrieval_metrics"](spark, sf_dir).agg(F.count("*")).first()[0] == 3
+    assert __spark_entry__.queries()["retrieval_metrics"](spark, sf_dir).agg(F.count("*")).first()[0] == 4
