@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,25 +19,33 @@ _WORD = re.compile(r"[^\W_]+")
 REMEMBERED = 500_000
 
 
-def features(text: str) -> list[str]:
-    """Words, characters and character bigrams of the trimmed lower-case text; "empty" for none."""
+def feature_counts(text: str) -> tuple[list, np.ndarray]:
+    """The distinct features of a text and how often each occurs: words as text, a character as its code, a bigram as both codes in one number."""
     text = text.strip().lower()
     if not text:
-        return ["empty"]
-    return _WORD.findall(text) + list(text) + [text[i : i + 2] for i in range(len(text) - 1)]
+        return ["empty"], np.ones(1, np.int64)
+    words = Counter(_WORD.findall(text))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    one, n = np.unique(codes, return_counts=True)
+    two, m = np.unique((codes[:-1] + 1) << 32 | codes[1:], return_counts=True)
+    return [*words, *one.tolist(), *two.tolist()], np.concatenate((np.fromiter(words.values(), np.int64, len(words)), n, m))
 
 
-def hashed_vector(text: str, dimension: int, known: dict[str, int]) -> np.ndarray:
-    """Feature counts by the first 16 bits of the feature's SHA-256, scaled to length 1."""
+def _bucket(feature: str | int) -> int:
+    """The first 16 bits of the feature's SHA-256."""
+    if isinstance(feature, int):
+        feature = chr(feature) if feature < 1 << 32 else chr((feature >> 32) - 1) + chr(feature & 0xFFFFFFFF)
+    return int.from_bytes(hashlib.sha256(feature.encode("utf-8", "surrogatepass")).digest()[:2], "big")
+
+
+def hashed_vector(text: str, dimension: int, known: dict[str | int, int]) -> np.ndarray:
+    """Counts of features (words, characters and character bigrams) by their hash, scaled to length 1."""
     if len(known) > REMEMBERED:
         known.clear()
-    buckets = []
-    for f in features(text):
-        b = known.get(f)
-        if b is None:
-            b = known[f] = int.from_bytes(hashlib.sha256(f.encode()).digest()[:2], "big")
-        buckets.append(b % dimension)
-    v = np.bincount(buckets, minlength=dimension).astype(np.float64)
+    names, counts = feature_counts(text)
+    for f in set(names).difference(known):
+        known[f] = _bucket(f)
+    v = np.bincount(np.fromiter(map(known.__getitem__, names), np.int64, len(names)) % dimension, counts, dimension)
     return (v / np.linalg.norm(v)).astype(np.float32)
 
 

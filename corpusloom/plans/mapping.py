@@ -63,19 +63,19 @@ PIECES_SQL = """pieces as (select id || '-' || (i - 1) as chunk_id, id as docume
 
 
 def jobs(spark, sf_dir) -> DataFrame:
-    """Index jobs: one for each event; the document is the event's number modulo the number of documents of the smallest table."""
-    e = table(spark, sf_dir, "events")
+    """Index jobs: one for each event, dealt in turn to all documents."""
+    e, n = table(spark, sf_dir, "events"), max(1, table(spark, sf_dir, "documents").count())
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "pending").when(F.col("event_type") == "view", "running").otherwise("succeeded")
     return e.select(
         F.col("event_id").cast("string").alias("id"),
-        (F.col("event_id") % 200).cast("string").alias("document_id"),
+        (F.col("event_id") % n).cast("string").alias("document_id"),
         F.when(F.col("event_id") % 5 == 0, 2).otherwise(1).alias("index_version"),
         status.alias("status"),
         F.col("ts").alias("created_at"),
     )
 
 
-JOBS_SQL = """jobs as (select event_id::varchar as id, (event_id % 200)::varchar as document_id, case when event_id % 5 = 0 then 2 else 1 end as index_version,
+JOBS_SQL = """jobs as (select event_id::varchar as id, (event_id % (select count(*) from documents))::varchar as document_id, case when event_id % 5 = 0 then 2 else 1 end as index_version,
   case event_type when 'error' then 'failed' when 'signup' then 'pending' when 'view' then 'running' else 'succeeded' end as status, ts as created_at from events)"""
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.costs import Pricing
-from ..operators import chat, evaluation, governance, lifecycle, limits, retrieval
+from ..operators import chat, embedding, evaluation, governance, lifecycle, limits, retrieval
+from ..sources.checkpoints import checkpointed
 from .mapping import DOCUMENTS_SQL, JOBS_SQL, KBS_SQL, MESSAGES_SQL, PIECES_SQL, USAGE_SQL, documents, jobs, knowledge_bases, messages, pieces, table, usage
 from .registry import query
 
@@ -85,9 +86,16 @@ def sparse_topk(spark, sf_dir):
     return retrieval.sparse_topk(*_questions(spark, sf_dir), 20).select("query_id", "chunk_id", "sparse_coverage", "sparse_score", "rank")
 
 
-# a second list stands for the dense one: the documents with the largest overlap of tokens with the question among the sparse hits
-_SECOND = """second as (select query_id, chunk_id, round(1 - abs((chunk_id * 7919 + query_id) % 1000) / 1000.0::double, 6) as similarity from sparse where (chunk_id + query_id) % 3 <> 0),
-  dense as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id)::int as rank from second),
+# offline embeddings of all questions and documents, and the 20 nearest documents of each question
+_SECOND = """texts as (select 0 as side, item_id as id, text from benchmark union all select 1, doc_id, text from documents),
+  low as (select side, id, lower(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) as t from texts), chars as (select *, string_split(t, '') as cs from low),
+  fe as (select side, id, unnest(case when t = '' then ['empty'] else list_concat(regexp_extract_all(t, '[\\p{L}\\p{N}]+'), cs, list_transform(range(1, len(cs)), lambda i: cs[i] || cs[i + 1])) end) as f from chars),
+  fc as (select side, id, f, count(*) as n from fe group by 1, 2, 3), hb as (select f, ('0x' || substr(sha256(f), 1, 4))::int % 1024 as bucket from (select distinct f from fc)),
+  bk as (select side, id, bucket, sum(n)::double as n from fc join hb using (f) group by 1, 2, 3), vec as (select side, id, bucket, (n / sqrt(sum(n * n) over (partition by side, id)))::float::double as v from bk),
+  nv as (select side, id, sqrt(sum(v * v)) as z from vec group by 1, 2),
+  near as (select q.id as query_id, c.id as chunk_id, sum(q.v * c.v) as dot from vec q join vec c on q.bucket = c.bucket where q.side = 0 and c.side = 1 group by 1, 2),
+  sims as (select query_id, chunk_id, round(dot / (a.z * b.z), 6) as similarity from near join nv a on a.side = 0 and a.id = query_id join nv b on b.side = 1 and b.id = chunk_id),
+  dense as (select * from (select *, row_number() over (partition by query_id order by similarity desc, chunk_id)::int as rank from sims) where rank <= 20),
   both_lists as (select query_id, chunk_id, rank, 1.0::double as w, similarity, null::double as sparse_score, null::double as sparse_coverage from dense
     union all select query_id, chunk_id, rank, greatest(0.1, least(1, 2 * sparse_coverage))::double, null, sparse_score, sparse_coverage from sparse),
   f as (select query_id, chunk_id, max(similarity) as similarity, max(sparse_score) as sparse_score, max(sparse_coverage) as sparse_coverage, round(sum(w / (60 + rank)), 12) as rrf_score from both_lists group by 1, 2),
@@ -95,10 +103,10 @@ _SECOND = """second as (select query_id, chunk_id, round(1 - abs((chunk_id * 791
 
 
 def _lists(spark, sf_dir):
-    sparse = retrieval.sparse_topk(*_questions(spark, sf_dir), 20)
-    similarity = F.round(1 - F.abs((F.col("chunk_id") * 7919 + F.col("query_id")) % 1000) / 1000.0, 6)
-    second = sparse.filter((F.col("chunk_id") + F.col("query_id")) % 3 != 0).select("query_id", "chunk_id", similarity.alias("similarity"))
-    return retrieval.ranked(second, "dense"), sparse
+    """The 20 best of all documents for each question by vectors and by terms; both are read several times and so computed once."""
+    q, d = _questions(spark, sf_dir)
+    vectors = (embedding.with_embeddings(df, column).select(key, "knowledge_base_id", "embedding") for df, key, column in ((q, "query_id", "question"), (d, "chunk_id", "content")))
+    return checkpointed(retrieval.dense_topk(*vectors, 20)), checkpointed(retrieval.sparse_topk(q, d, 20))
 
 
 @query(f"with {_SPARSE}, {_SECOND} select query_id, chunk_id, similarity, sparse_score, sparse_coverage, rrf_score, rank from fused")
@@ -112,10 +120,14 @@ _RERANK = """txt as (select fused.*, d.text as content, b.text as question from
   reranked as (select query_id, chunk_id, rank as prior, rr, content, question, row_number() over (partition by query_id order by rr is null, rr desc, rank)::int as rank from rs)"""
 
 
+def _with_texts(hits, q, d):
+    return hits.join(d.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "question"), "query_id")
+
+
 @query(f"with {_SPARSE}, {_SECOND}, {_RERANK} select query_id, chunk_id, round(rr, 9) as rerank_score, rank from reranked where rank <= 15")
 def rerank(spark, sf_dir):
     q, d = _questions(spark, sf_dir)
-    fused = retrieval.rrf(*_lists(spark, sf_dir)).join(d.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "question"), "query_id")
+    fused = _with_texts(retrieval.rrf(*_lists(spark, sf_dir)), q, d)
     out = retrieval.final_topk(retrieval.rerank(fused, retrieval.lexical_rerank_scores(fused, 10), 10), 15)
     return out.select("query_id", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "rank")
 
@@ -129,17 +141,19 @@ def rerank_fallback(spark, sf_dir):
 
 
 @query(
-    f"""with {_SPARSE} select item_id as query_id, count(chunk_id) filter (rank <= 5) as n_results, 0::bigint as n_dense, count(chunk_id) as n_sparse, false as rerank_fallback, 'sparse' as strategy
-  from benchmark left join sparse on item_id = query_id group by 1"""
+    f"""with {_SPARSE}, {_SECOND}, n as (select query_id, count(*) filter (rank <= 5) as r from fused group by 1), nd as (select query_id, count(*) as d from dense group by 1), ns as (select query_id, count(*) as s from sparse group by 1)
+  select item_id as query_id, coalesce(r, 0) as n_results, coalesce(d, 0) as n_dense, coalesce(s, 0) as n_sparse, false as rerank_fallback, 'hybrid_rrf' as strategy
+  from benchmark left join n on n.query_id = item_id left join nd on nd.query_id = item_id left join ns on ns.query_id = item_id"""
 )
 def retrieve_responses(spark, sf_dir):
     q, d = _questions(spark, sf_dir)
-    return retrieval.retrieve(q, d, retrieval.RetrievalConfig(dense_top_k=0))[1]
+    return retrieval.retrieve(embedding.with_embeddings(q, "question"), embedding.with_embeddings(d, "content"), retrieval.RetrievalConfig())[1]
 
 
 # evaluation
 
-_CASES = f"""{_SPARSE}, {_SECOND}, lists as (select 0 as ord, 'sparse' as strategy, query_id, chunk_id, rank from sparse union all select 1, 'dense', query_id, chunk_id, rank from dense union all select 2, 'hybrid_rrf', query_id, chunk_id, rank from fused),
+_CASES = f"""{_SPARSE}, {_SECOND}, {_RERANK}, lists as (select 0 as ord, 'sparse' as strategy, query_id, chunk_id, rank from sparse union all select 1, 'dense', query_id, chunk_id, rank from dense union all select 2, 'hybrid_rrf', query_id, chunk_id, rank from fused
+    union all select 3, 'hybrid_rrf+rerank', query_id, chunk_id, rank from reranked),
   marked as (select l.*, contains(d.text, b.text) as relevant from lists l join documents d on chunk_id = doc_id join benchmark b on query_id = item_id),
   cases as (select ord, strategy, query_id, coalesce(min(rank) filter (relevant), 0) as first_relevant_rank, coalesce(bool_or(relevant) filter (rank = 1), false) as citation_hit,
     ((query_id * 37 + ord * 11) % 97)::double as retrieval_latency_ms, ((query_id * 53 + ord * 7) % 199)::double as end_to_end_latency_ms, (query_id * 13 % 50)::int as tokens, (query_id % 7)::double / 1000 as estimated_cost_usd, '' as error from marked group by 1, 2, 3)"""
@@ -148,11 +162,13 @@ _CASES = f"""{_SPARSE}, {_SECOND}, lists as (select 0 as ord, 'sparse' as strate
 def _cases(spark, sf_dir):
     q, d = _questions(spark, sf_dir)
     dense, sparse = _lists(spark, sf_dir)
+    fused = checkpointed(_with_texts(retrieval.rrf(dense, sparse), q, d))
+    reranked = retrieval.rerank(fused, retrieval.lexical_rerank_scores(fused, 10), 10)
     lists = None
-    for ord_, (name, df) in enumerate((("sparse", sparse), ("dense", dense), ("hybrid_rrf", retrieval.rrf(dense, sparse)))):
-        own = df.select(F.lit(ord_).alias("ord"), F.lit(name).alias("strategy"), "query_id", "chunk_id", "rank")
+    for ord_, (name, df) in enumerate((("sparse", _with_texts(sparse, q, d)), ("dense", _with_texts(dense, q, d)), ("hybrid_rrf", fused), ("hybrid_rrf+rerank", reranked))):
+        own = df.select(F.lit(ord_).alias("ord"), F.lit(name).alias("strategy"), "query_id", "chunk_id", "rank", F.contains("content", "question").alias("relevant"))
         lists = own if lists is None else lists.unionByName(own)
-    marked = lists.join(d.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "question"), "query_id").withColumn("relevant", F.contains("content", "question"))
+    marked = lists
     i, o = F.col("query_id"), F.col("ord")
     return marked.groupBy("ord", "strategy", "query_id").agg(F.coalesce(F.min(F.when(F.col("relevant"), F.col("rank"))), F.lit(0)).alias("first_relevant_rank"), F.coalesce(F.bool_or(F.when(F.col("rank") == 1, F.col("relevant"))), F.lit(False)).alias("citation_hit")).withColumns(
         {
@@ -243,14 +259,20 @@ def format_metrics(spark, sf_dir):
     return m.select(*(F.array_join(c, "|").alias(c) if c == "failures" else F.round(c, 9).alias(c) if kind == "double" else c for c, kind in m.dtypes))
 
 
-@query("""with d as (select doc_id, source, string_split(text, chr(10)) as ls from documents), p as (select source, string_agg(replace(replace(replace(text, ' ', ''), chr(10), ''), chr(9), ''), '' order by doc_id) as body from documents where doc_id < 100 group by 1),
-  e as (select item_id as query_id, left(text, 40) as evidence, 'src' || (item_id % 20) as s1, 'src' || ((item_id + 3) % 20) as s2 from benchmark)
-  select query_id, evidence from e where not exists (select 1 from p where source in (s1, s2) and contains(body, replace(evidence, ' ', '')))""")
+_SQUEEZED = "translate({}, ' ' || chr(9) || chr(10) || chr(13) || '`', '')"
+
+
+@query(
+    f"""with e as (select doc_id as query_id, b.text as item, string_split(d.text, chr(10)) as ls from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark) where b.text is not null and d.text is not null),
+  w as (select query_id, unnest([item, ls[len(ls)]]) as evidence, array_to_string(ls[1:100], '') as body from e)
+  select distinct query_id, evidence from w where not contains({_SQUEEZED.format('body')}, {_SQUEEZED.format('evidence')})"""
+)
 def missing_evidence(spark, sf_dir):
-    i = F.col("item_id")
-    src = lambda n: F.concat(F.lit("src"), ((i + n) % 20).cast("string"))
-    q = table(spark, sf_dir, "benchmark").select(i.alias("query_id"), F.array(src(0), src(3)).alias("expected_sources"), F.array(F.substring("text", 1, 40)).alias("expected_evidence"))
-    chunks = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
+    """A question for each document: whether it holds the whole benchmark item of its turn, and its own last line. A document is a source, its lines are the chunks."""
+    d, b = table(spark, sf_dir, "documents").filter("text is not null"), table(spark, sf_dir, "benchmark")
+    asked = d.select("doc_id", F.element_at(F.split("text", "\n", -1), -1).alias("last"), (F.col("doc_id") % b.count()).alias("item_id")).join(b.filter("text is not null").select("item_id", "text"), "item_id")
+    q = asked.select(F.col("doc_id").alias("query_id"), F.array(F.col("doc_id").cast("string")).alias("expected_sources"), F.array("text", "last").alias("expected_evidence"))
+    chunks = d.select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "content"))
     return evaluation.missing_evidence(q, chunks, 100)
 
 
@@ -301,12 +323,12 @@ def limit_context(spark, sf_dir):
 def _evidence(spark, sf_dir):
     q, d = _questions(spark, sf_dir)
     none = F.lit(None).cast("int")
-    r = retrieval.final_topk(retrieval.sparse_topk(q, d, 20), 5).join(d.select("chunk_id", "document_id", "filename", F.substring("content", 1, 100).alias("content")), "chunk_id")
+    r = retrieval.final_topk(retrieval.sparse_topk(q, d, 20), 5).join(d.select("chunk_id", "document_id", "filename", "content"), "chunk_id")
     return q, chat.number_evidence(r).withColumns({"page_start": none, "page_end": none, "heading_path": F.lit(""), "chunk_index": F.col("rank") - 1})
 
 
 @query(
-    f"""with {_SPARSE}, e as (select query_id, rank as number, doc_id, left(text, 100) as content from sparse join documents on chunk_id = doc_id where rank <= 5)
+    f"""with {_SPARSE}, e as (select query_id, rank as number, doc_id, text as content from sparse join documents on chunk_id = doc_id where rank <= 5)
   select item_id as query_id, coalesce(n, 0) as n_evidence, coalesce(ev, '') || text as prompt, case when trim(coalesce(first, '')) <> '' then '根据知识库证据，' || trim(first) || ' [1]' else '当前知识库中没有足够信息。' end as answer from benchmark left join
   (select query_id, count(*) as n, string_agg('[' || number || '] file=doc-' || doc_id || ' location=paragraph/chunk ' || number || chr(10) || content || chr(10) || chr(10), '' order by number) as ev, max(content) filter (number = 1) as first from e group by 1) on item_id = query_id"""
 )
@@ -361,9 +383,9 @@ def kb_counts(spark, sf_dir):
     return governance.kb_counts(knowledge_bases(spark, sf_dir), documents(spark, sf_dir), pieces(spark, sf_dir))
 
 
-@query(f"with {JOBS_SQL} select s.status, count(j.id) as n from (values ('pending'), ('running'), ('succeeded'), ('failed')) s(status) left join jobs j on j.status = s.status and j.index_version = 2 group by 1")
+@query(f"with {JOBS_SQL} select s.status, count(j.id) as n from (values ('pending'), ('running'), ('succeeded'), ('failed')) s(status) left join jobs j on j.status = s.status group by 1")
 def job_status_counts(spark, sf_dir):
-    return governance.job_status_counts(jobs(spark, sf_dir).filter("index_version = 2"))
+    return governance.job_status_counts(jobs(spark, sf_dir))
 
 
 @query(
@@ -518,23 +540,24 @@ def document_outcomes(spark, sf_dir):
 
 @query(
     f"""with {DOCUMENTS_SQL} select id, status = 'failed' and doc_id % 2 = 0 as retryable, case when status = 'failed' and doc_id % 2 = 0 then 'queued' else status end as new_document_status, case when status = 'failed' and doc_id % 2 = 0 then 'pending' when doc_id % 2 = 0 then 'failed' else 'running' end as new_job_status
-  from docs where doc_id % 3 <> 1"""
+  from docs"""
 )
 def prepare_retries(spark, sf_dir):
     d = documents(spark, sf_dir)
     j = d.select(F.col("id").alias("document_id"), "index_version", F.when(d.doc_id % 2 == 0, "failed").otherwise("running").alias("status"))
-    return lifecycle.prepare_retries(d, j, d.filter("doc_id % 3 <> 1").select("id")).select("id", "retryable", "new_document_status", "new_job_status")
+    return lifecycle.prepare_retries(d, j, d.select("id")).select("id", "retryable", "new_document_status", "new_job_status")
 
 
 @query(
-    """with e as (select (event_id % 300)::varchar as job_id, event_id as seq, case event_id % 4 when 0 then 'parsing' when 1 then 'chunking' when 2 then 'embedding' else 'completed' end as stage, case when event_type = 'error' then 'E' end as error_code from events),
+    """with n as (select count(*) as n from documents), e as (select (event_id % n)::varchar as job_id, event_id as seq, case event_id // n % 4 when 0 then 'parsing' when 1 then 'chunking' when 2 then 'embedding' else 'completed' end as stage, case when event_type = 'error' then 'E' end as error_code from events, n),
   f as (select job_id, max_by(coalesce(error_code, ''), seq) as err, max_by(stage, seq) filter (error_code is null) as stage from e where job_id::int % 3 <> 0 group by 1)
   select job_id, case when err <> '' then 'failed' when coalesce(stage, 'parsing') = 'completed' then 'succeeded' else 'running' end as status, coalesce(stage, 'parsing') as stage, case coalesce(stage, 'parsing') when 'parsing' then 10 when 'chunking' then 35 when 'embedding' then 55 else 100 end as progress, nullif(err, '') as error_code from f"""
 )
 def fold_job_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    i = F.col("event_id")
-    events = e.select((i % 300).cast("string").alias("job_id"), F.lit(1).alias("index_version"), i.alias("seq"), F.when(i % 4 == 0, "parsing").when(i % 4 == 1, "chunking").when(i % 4 == 2, "embedding").otherwise("completed").alias("stage"), F.when(F.col("event_type") == "error", "E").alias("error_code"))
+    i, n = F.col("event_id"), table(spark, sf_dir, "documents").count()
+    turn = F.floor(i / n) % 4
+    events = e.select((i % n).cast("string").alias("job_id"), F.lit(1).alias("index_version"), i.alias("seq"), F.when(turn == 0, "parsing").when(turn == 1, "chunking").when(turn == 2, "embedding").otherwise("completed").alias("stage"), F.when(F.col("event_type") == "error", "E").alias("error_code"))
     js = events.select(F.col("job_id").alias("id"), "index_version", F.lit("parsing").alias("stage"), F.when(F.col("job_id").cast("int") % 3 == 0, "pending").otherwise("running").alias("status")).distinct()
     return lifecycle.fold_job_events(events, js)
 

@@ -76,11 +76,14 @@ def search_terms(spark, sf_dir):
 
 
 @query(
-    """with t as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}]+')) as a, list_distinct(regexp_extract_all(lower(left(text, 200)), '[\\p{L}\\p{Nd}]+')) as q from documents)
+    """with t as (select doc_id, list_distinct(regexp_extract_all(lower(d.text), '[\\p{L}\\p{Nd}]+')) as a, list_distinct(regexp_extract_all(lower(coalesce(b.text, '')), '[\\p{L}\\p{Nd}]+')) as q
+    from documents d left join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark))
   select doc_id, len(a)::int as n_tokens, round(case when len(q) > 0 then len(list_intersect(q, a)) / len(q)::double else 0 end, 9) as overlap from t"""
 )
 def lexical_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.lexical_tokens(F.col("text")).alias("a"), text.lexical_tokens(F.substring("text", 1, 200)).alias("q"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", text.lexical_tokens(F.col("text")).alias("q"))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.lexical_tokens(F.col("text")).alias("a"), (F.col("doc_id") % b.count()).alias("item_id"))
+    d = d.join(b, "item_id", "left").withColumn("q", F.coalesce("q", F.array().cast("array<string>")))
     return d.select("doc_id", F.size("a").alias("n_tokens"), F.round(text.token_overlap(F.col("q"), F.col("a")), 9).alias("overlap"))
 
 
@@ -120,18 +123,18 @@ def location(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.location(start, end, F.when(i % 4 == 2, "A > B").otherwise(""), i % 7).alias("location"))
 
 
-_CITED = "left(text, 40) || '[1]' || substr(text, 41, 30) || '[' || (turn + 1) || '][x][9] [2' || substr(text, 71, 20) || ']'"
+_CITED = "left(text, 40) || '[1]' || substr(text, 41, 30) || '[' || (turn + 1) || '][x][9] [2' || substr(text, 71) || ']'"
 
 
 @query(
-    f"""with c as (select conv_id, turn, {_CITED} as t from conversations where text is not null),
+    f"""with c as (select conv_id, turn, {_CITED} as t from conversations),
   p as (select conv_id, turn, regexp_extract_all(t, '(\\[[^\\]]*\\])|([^\\[]+|\\[)') as ps from c),
   k as (select conv_id, turn, list_filter(ps, lambda x: not regexp_full_match(x, '\\[[0-9]+\\]') or try_cast(regexp_extract(x, '[0-9]+') as int) between 1 and 3) as ks from p)
   select conv_id, turn, array_to_string(ks, '') as filtered, (select string_agg(n, ',' order by i) from (select n, min(i) as i from (select unnest(range(1, len(ks) + 1)) as i, regexp_extract(ks[i], '^\\[([0-9]+)\\]$', 1) as n) where n <> '' group by n)) as numbers from k"""
 )
 def filter_citations(spark, sf_dir):
     cited = F.expr(_CITED.replace("left(text, 40)", "substr(text, 1, 40)").replace("(turn + 1)", "cast(turn + 1 as string)"))
-    c = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", text.filter_citations(cited, F.lit(3)).alias("f"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.filter_citations(cited, F.lit(3)).alias("f"))
     return c.select("conv_id", "turn", "f.text", F.nullif(F.array_join("f.numbers", ","), F.lit("")).alias("numbers")).withColumnRenamed("text", "filtered")
 
 
@@ -247,14 +250,14 @@ def index_corpus(spark, sf_dir):
 
 
 @query(
-    """with f as (select doc_id, lower(trim(text)) as t from documents where lang = 'en' and length(text) < 600), x as (select doc_id, unnest(list_concat(regexp_extract_all(t, '[\\p{L}\\p{N}]+'),
-  list_transform(range(1, length(t) + 1), lambda i: substr(t, i, 1)), list_transform(range(1, length(t)), lambda i: substr(t, i, 2)))) as f from f),
-  b as (select doc_id, ('0x' || substr(sha256(f), 1, 4))::int % 64 as bucket, count(*) as n from x group by 1, 2)
-  select doc_id, bucket::int as bucket, round(n / sqrt(sum(n * n) over (partition by doc_id)), 4) as weight from b"""
+    """with low as (select doc_id, lower(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) as t from documents), chars as (select *, string_split(t, '') as cs from low),
+  x as (select doc_id, unnest(case when t = '' then ['empty'] else list_concat(regexp_extract_all(t, '[\\p{L}\\p{N}]+'), cs, list_transform(range(1, len(cs)), lambda i: cs[i] || cs[i + 1])) end) as f from chars),
+  c as (select doc_id, f, count(*) as n from x group by 1, 2), h as (select f, ('0x' || substr(sha256(f), 1, 4))::int % 64 as bucket from (select distinct f from c)),
+  b as (select doc_id, bucket, sum(n)::double as n from c join h using (f) group by 1, 2)
+  select doc_id, bucket::int as bucket, round((n / sqrt(sum(n * n) over (partition by doc_id)))::float::double, 4) as weight from b"""
 )
 def embed_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("lang = 'en' and length(text) < 600")
-    e = d.select("doc_id", F.posexplode(embedding.embed_text(F.col("text"), 64)).alias("bucket", "weight")).filter("weight > 0")
+    e = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(embedding.embed_text(F.col("text"), 64)).alias("bucket", "weight")).filter("weight > 0")
     return e.select("doc_id", "bucket", F.round(F.col("weight").cast("double"), 4).alias("weight"))
 
 
