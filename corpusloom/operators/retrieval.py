@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fallback_terms, lexical_tokens, primary_terms, token_overlap
+from ..functions.text import fallback_terms, lexical_tokens, primary_terms, search_terms, token_overlap
 
 #: Query vectors in one broadcast block: 4096 of 1024 numbers are 16 MB.
 QUERY_BLOCK = 4096
+#: Chunk vectors of a group that meets a block of queries.
+CHUNK_BLOCK = 8192
 #: A query-term table of at most so many rows is broadcast against the chunks.
 BROADCAST_TERMS = 1_000_000
 #: Occurrences of words and bigrams count 1, of single CJK characters 0.1.
@@ -99,52 +101,73 @@ def ranked(df: DataFrame, source: str) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "chunk_id")))
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+def _best(query_ids: list, q: np.ndarray, names: np.ndarray, vectors, k: int, digits: int, best: dict) -> None:
+    """Merges the k most similar of some chunks (names in order) into best: place of the query -> (similarities, chunk ids)."""
+    sims = np.round(q @ _unit(vectors).T, digits)
+    for i in range(len(query_ids)):
+        top = np.argsort(-sims[i], kind="stable")[:k]
+        s, n = best.get(i, (np.empty(0), names[:0]))
+        s, n = np.concatenate((s, sims[i][top])), np.concatenate((n, names[top]))
+        keep = np.lexsort((n.astype(str) if n.dtype == object else n, -s))[:k]
+        best[i] = s[keep], n[keep]
+
+
+def _rows(query_ids: list, best: dict) -> Iterator[pd.DataFrame]:
+    for i, (s, n) in best.items():
+        yield pd.DataFrame({"query_id": [query_ids[i]] * len(n), "chunk_id": n, "similarity": s})
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6, block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
     """queries (query_id, knowledge_base_id, embedding), chunks (chunk_id, knowledge_base_id, embedding) -> (query_id, chunk_id, similarity, rank).
 
-    Query vectors go to the tasks in blocks of a bounded size; chunks stream past as matrices and each task
-    keeps its own top k of every query, so at most k rows a query and task are shuffled. Similarities are
-    rounded, so that ties are the same everywhere. Exact.
+    Up to `block` queries are sent to the tasks, where chunks stream past as matrices and each task keeps its own top k
+    of every query. More queries meet the chunks of their knowledge base in groups of a block of either, without the driver:
+    each group gives its own top k. Similarities are rounded, so that ties are the same everywhere. Exact.
     """
-    spark = queries.sparkSession
     kinds = dict(queries.dtypes), dict(chunks.dtypes)
     schema = f"query_id {kinds[0]['query_id']}, chunk_id {kinds[1]['chunk_id']}, similarity double"
-    out, held = None, []
-
-    def search(rows):
+    asked = queries.filter("embedding is not null").select("query_id", "knowledge_base_id", "embedding")
+    stored = chunks.filter("embedding is not null").select("chunk_id", "knowledge_base_id", "embedding")
+    rows = asked.limit(block + 1).collect()  # some 16 MB for a block of 1024 numbers
+    if len(rows) <= block:
         groups: dict = {}
         for r in rows:
             groups.setdefault(r.knowledge_base_id, []).append(r)
-        sent = spark.sparkContext.broadcast({kb: ([r.query_id for r in rs], _unit([r.embedding for r in rs])) for kb, rs in groups.items()})
+        sent = queries.sparkSession.sparkContext.broadcast({kb: ([r.query_id for r in rs], _unit([r.embedding for r in rs])) for kb, rs in groups.items()})
 
-        def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: dict = {}
+        def stream(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: dict = {kb: {} for kb in sent.value}
             for pdf in pdfs:
                 for kb, part in pdf.groupby("knowledge_base_id"):
-                    if kb not in sent.value:
-                        continue
-                    ids, q = sent.value[kb]
-                    part = part.sort_values("chunk_id")
-                    sims = np.round(q @ _unit(part["embedding"]).T, digits)
-                    names = part["chunk_id"].to_numpy()
-                    for i, query in enumerate(ids):
-                        top = np.argsort(-sims[i], kind="stable")[:k]
-                        own = best.get((kb, i), (query, np.empty(0), names[:0]))
-                        s, n = np.concatenate((own[1], sims[i][top])), np.concatenate((own[2], names[top]))
-                        keep = np.lexsort((n.astype(str) if n.dtype == object else n, -s))[:k]
-                        best[kb, i] = (query, s[keep], n[keep])
-            for query, s, n in best.values():
-                yield pd.DataFrame({"query_id": [query] * len(n), "chunk_id": n, "similarity": s})
-
-        return chunks.filter("embedding is not null").select("chunk_id", "knowledge_base_id", "embedding").mapInPandas(run, schema)
-
-    for row in queries.filter("embedding is not null").select("query_id", "knowledge_base_id", "embedding").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            out, held = (search(held) if out is None else out.union(search(held))), []
-    if held or out is None:
-        out = search(held) if out is None else out.union(search(held))
-    return ranked(out, "dense").filter(F.col("rank") <= k)
+                    if kb in sent.value:
+                        part = part.sort_values("chunk_id")
+                        _best(*sent.value[kb], part["chunk_id"].to_numpy(), part["embedding"], k, digits, best[kb])
+            for kb, own in best.items():
+                yield from _rows(sent.value[kb][0], own)
+
+        return ranked(stored.mapInPandas(stream, schema), "dense").filter(F.col("rank") <= k)
+
+    def sized(df: DataFrame, key: str, most: int, name: str) -> tuple[DataFrame, DataFrame]:
+        """df with its block, and (knowledge_base_id, blocks)."""
+        n = df.groupBy("knowledge_base_id").agg(F.ceil(F.count("*") / most).cast("int").alias(f"{name}s"))
+        return df.join(n, "knowledge_base_id").withColumn(name, F.pmod(F.xxhash64(key), F.col(f"{name}s")).cast("int")).drop(f"{name}s"), n
+
+    (asked, q_blocks), (stored, c_blocks) = sized(asked, "query_id", block, "q_block"), sized(stored, "chunk_id", chunk_block, "c_block")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    asked = asked.join(c_blocks, "knowledge_base_id").select("query_id", "knowledge_base_id", "embedding", "q_block", every("c_blocks", "c_block"))
+    stored = stored.join(q_blocks, "knowledge_base_id").select("chunk_id", "knowledge_base_id", "embedding", "c_block", every("q_blocks", "q_block"))
+    stored = stored.select(*(F.col(c).alias(c) for c in stored.columns))  # columns of its own where both tables come from one
+
+    def meet(own: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        best: dict = {}
+        if len(own) and len(part):
+            part = part.sort_values("chunk_id")
+            _best(own["query_id"].tolist(), _unit(own["embedding"]), part["chunk_id"].to_numpy(), part["embedding"], k, digits, best)
+        return pd.concat([pd.DataFrame({"query_id": own["query_id"].iloc[:0], "chunk_id": part["chunk_id"].iloc[:0], "similarity": np.empty(0)}), *_rows(own["query_id"].tolist(), best)])
+
+    keys = ["knowledge_base_id", "q_block", "c_block"]
+    found = asked.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(meet, schema)
+    return ranked(found, "dense").filter(F.col("rank") <= k)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -166,7 +189,7 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int, broadcast_terms:
     small = asked.limit(broadcast_terms + 1).count() <= broadcast_terms
     hint = F.broadcast if small else (lambda df: df)
     counts = (
-        chunks.select("chunk_id", "knowledge_base_id", F.explode(F.concat(primary_terms(F.col("content")), fallback_terms(F.col("content")))).alias("term"))
+        chunks.select("chunk_id", "knowledge_base_id", F.explode(search_terms(F.col("content"))).alias("term"))  # primary and fallback terms
         .join(hint(wanted), ["knowledge_base_id", "term"], "left_semi")
         .groupBy("chunk_id", "knowledge_base_id", "term")
         .agg(F.count("*").alias("tf"))

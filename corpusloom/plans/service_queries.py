@@ -68,22 +68,22 @@ def dense_topk(spark, sf_dir):
     return retrieval.dense_topk(*_vectors(spark, sf_dir), 10)
 
 
-def _questions(spark, sf_dir):
+def questions(spark, sf_dir):
     """Benchmark items as queries against all documents in one knowledge base."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("knowledge_base_id"), F.col("text").alias("question"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("all").alias("knowledge_base_id"), F.col("text").alias("content"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename"))
     return b, d
 
 
-_SPARSE = """q as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as ts from benchmark), qt as (select query_id, unnest(ts) as term, len(ts) as n from q),
+SPARSE_SQL = """q as (select item_id as query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as ts from benchmark), qt as (select query_id, unnest(ts) as term, len(ts) as n from q),
   ct as (select doc_id as chunk_id, term, count(*) as tf from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents) where term in (select term from qt) group by 1, 2),
   sc as (select query_id, chunk_id, round(count(*) / n::double, 9) as sparse_coverage, round(sum(tf)::double / (sum(tf)::double + 1), 9) as sparse_score from ct join qt using (term) group by query_id, chunk_id, n),
   sparse as (select * from (select *, row_number() over (partition by query_id order by sparse_coverage desc, sparse_score desc, chunk_id)::int as rank from sc) where rank <= 20)"""
 
 
-@query(f"with {_SPARSE} select query_id, chunk_id, sparse_coverage, sparse_score, rank from sparse")
+@query(f"with {SPARSE_SQL} select query_id, chunk_id, sparse_coverage, sparse_score, rank from sparse")
 def sparse_topk(spark, sf_dir):
-    return retrieval.sparse_topk(*_questions(spark, sf_dir), 20).select("query_id", "chunk_id", "sparse_coverage", "sparse_score", "rank")
+    return retrieval.sparse_topk(*questions(spark, sf_dir), 20).select("query_id", "chunk_id", "sparse_coverage", "sparse_score", "rank")
 
 
 # offline embeddings of all questions and documents, and the 20 nearest documents of each question
@@ -104,12 +104,12 @@ _SECOND = """texts as (select 0 as side, item_id as id, text from benchmark unio
 
 def _lists(spark, sf_dir):
     """The 20 best of all documents for each question by vectors and by terms; both are read several times and so computed once."""
-    q, d = _questions(spark, sf_dir)
+    q, d = questions(spark, sf_dir)
     vectors = (embedding.with_embeddings(df, column).select(key, "knowledge_base_id", "embedding") for df, key, column in ((q, "query_id", "question"), (d, "chunk_id", "content")))
     return checkpointed(retrieval.dense_topk(*vectors, 20)), checkpointed(retrieval.sparse_topk(q, d, 20))
 
 
-@query(f"with {_SPARSE}, {_SECOND} select query_id, chunk_id, similarity, sparse_score, sparse_coverage, rrf_score, rank from fused")
+@query(f"with {SPARSE_SQL}, {_SECOND} select query_id, chunk_id, similarity, sparse_score, sparse_coverage, rrf_score, rank from fused")
 def rrf(spark, sf_dir):
     return retrieval.rrf(*_lists(spark, sf_dir)).drop("score")
 
@@ -124,15 +124,15 @@ def _with_texts(hits, q, d):
     return hits.join(d.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "question"), "query_id")
 
 
-@query(f"with {_SPARSE}, {_SECOND}, {_RERANK} select query_id, chunk_id, round(rr, 9) as rerank_score, rank from reranked where rank <= 15")
+@query(f"with {SPARSE_SQL}, {_SECOND}, {_RERANK} select query_id, chunk_id, round(rr, 9) as rerank_score, rank from reranked where rank <= 15")
 def rerank(spark, sf_dir):
-    q, d = _questions(spark, sf_dir)
+    q, d = questions(spark, sf_dir)
     fused = _with_texts(retrieval.rrf(*_lists(spark, sf_dir)), q, d)
     out = retrieval.final_topk(retrieval.rerank(fused, retrieval.lexical_rerank_scores(fused, 10), 10), 15)
     return out.select("query_id", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), "rank")
 
 
-@query(f"with {_SPARSE}, {_SECOND} select query_id, chunk_id, rank, query_id % 2 = 0 as rerank_fallback from fused where query_id % 2 = 0 union all select query_id, chunk_id, row_number() over (partition by query_id order by rank > 10, case when rank <= 10 then chunk_id end desc, rank)::int, false from fused where query_id % 2 = 1")
+@query(f"with {SPARSE_SQL}, {_SECOND} select query_id, chunk_id, rank, query_id % 2 = 0 as rerank_fallback from fused where query_id % 2 = 0 union all select query_id, chunk_id, row_number() over (partition by query_id order by rank > 10, case when rank <= 10 then chunk_id end desc, rank)::int, false from fused where query_id % 2 = 1")
 def rerank_fallback(spark, sf_dir):
     fused = retrieval.rrf(*_lists(spark, sf_dir))
     scores = fused.filter("rank <= 10").select("query_id", "chunk_id", F.when((F.col("query_id") % 2 == 0) & (F.col("rank") == 3), float("nan")).otherwise(F.col("chunk_id").cast("double")).alias("rerank_score"))
@@ -141,18 +141,18 @@ def rerank_fallback(spark, sf_dir):
 
 
 @query(
-    f"""with {_SPARSE}, {_SECOND}, n as (select query_id, count(*) filter (rank <= 5) as r from fused group by 1), nd as (select query_id, count(*) as d from dense group by 1), ns as (select query_id, count(*) as s from sparse group by 1)
+    f"""with {SPARSE_SQL}, {_SECOND}, n as (select query_id, count(*) filter (rank <= 5) as r from fused group by 1), nd as (select query_id, count(*) as d from dense group by 1), ns as (select query_id, count(*) as s from sparse group by 1)
   select item_id as query_id, coalesce(r, 0) as n_results, coalesce(d, 0) as n_dense, coalesce(s, 0) as n_sparse, false as rerank_fallback, 'hybrid_rrf' as strategy
   from benchmark left join n on n.query_id = item_id left join nd on nd.query_id = item_id left join ns on ns.query_id = item_id"""
 )
 def retrieve_responses(spark, sf_dir):
-    q, d = _questions(spark, sf_dir)
+    q, d = questions(spark, sf_dir)
     return retrieval.retrieve(embedding.with_embeddings(q, "question"), embedding.with_embeddings(d, "content"), retrieval.RetrievalConfig())[1]
 
 
 # evaluation
 
-_CASES = f"""{_SPARSE}, {_SECOND}, {_RERANK}, lists as (select 0 as ord, 'sparse' as strategy, query_id, chunk_id, rank from sparse union all select 1, 'dense', query_id, chunk_id, rank from dense union all select 2, 'hybrid_rrf', query_id, chunk_id, rank from fused
+_CASES = f"""{SPARSE_SQL}, {_SECOND}, {_RERANK}, lists as (select 0 as ord, 'sparse' as strategy, query_id, chunk_id, rank from sparse union all select 1, 'dense', query_id, chunk_id, rank from dense union all select 2, 'hybrid_rrf', query_id, chunk_id, rank from fused
     union all select 3, 'hybrid_rrf+rerank', query_id, chunk_id, rank from reranked),
   marked as (select l.*, contains(d.text, b.text) as relevant from lists l join documents d on chunk_id = doc_id join benchmark b on query_id = item_id),
   cases as (select ord, strategy, query_id, coalesce(min(rank) filter (relevant), 0) as first_relevant_rank, coalesce(bool_or(relevant) filter (rank = 1), false) as citation_hit,
@@ -160,7 +160,7 @@ _CASES = f"""{_SPARSE}, {_SECOND}, {_RERANK}, lists as (select 0 as ord, 'sparse
 
 
 def _cases(spark, sf_dir):
-    q, d = _questions(spark, sf_dir)
+    q, d = questions(spark, sf_dir)
     dense, sparse = _lists(spark, sf_dir)
     fused = checkpointed(_with_texts(retrieval.rrf(dense, sparse), q, d))
     reranked = retrieval.rerank(fused, retrieval.lexical_rerank_scores(fused, 10), 10)
@@ -311,24 +311,24 @@ def rewrite_queries(spark, sf_dir):
 
 
 @query(
-    f"""with {_SPARSE}, t as (select s.query_id, s.chunk_id, s.rank, ceil(length(d.text) / 4.0) as tok from sparse s join documents d on chunk_id = doc_id),
+    f"""with {SPARSE_SQL}, t as (select s.query_id, s.chunk_id, s.rank, ceil(length(d.text) / 4.0) as tok from sparse s join documents d on chunk_id = doc_id),
   c as (select *, sum(tok) over (partition by query_id order by rank) as cum from t) select query_id, chunk_id, rank, row_number() over (partition by query_id order by rank)::int as number from c where rank = 1 or cum <= 2000"""
 )
 def limit_context(spark, sf_dir):
-    q, d = _questions(spark, sf_dir)
+    q, d = questions(spark, sf_dir)
     r = retrieval.sparse_topk(q, d, 20).join(d.select("chunk_id", "content"), "chunk_id").withColumn("token_count", F.ceil(F.length("content") / 4))
     return chat.number_evidence(chat.limit_context(r, 2000)).select("query_id", "chunk_id", "rank", "number")
 
 
 def _evidence(spark, sf_dir):
-    q, d = _questions(spark, sf_dir)
+    q, d = questions(spark, sf_dir)
     none = F.lit(None).cast("int")
     r = retrieval.final_topk(retrieval.sparse_topk(q, d, 20), 5).join(d.select("chunk_id", "document_id", "filename", "content"), "chunk_id")
     return q, chat.number_evidence(r).withColumns({"page_start": none, "page_end": none, "heading_path": F.lit(""), "chunk_index": F.col("rank") - 1})
 
 
 @query(
-    f"""with {_SPARSE}, e as (select query_id, rank as number, doc_id, text as content from sparse join documents on chunk_id = doc_id where rank <= 5)
+    f"""with {SPARSE_SQL}, e as (select query_id, rank as number, doc_id, text as content from sparse join documents on chunk_id = doc_id where rank <= 5)
   select item_id as query_id, coalesce(n, 0) as n_evidence, coalesce(ev, '') || text as prompt, case when trim(coalesce(first, '')) <> '' then '根据知识库证据，' || trim(first) || ' [1]' else '当前知识库中没有足够信息。' end as answer from benchmark left join
   (select query_id, count(*) as n, string_agg('[' || number || '] file=doc-' || doc_id || ' location=paragraph/chunk ' || number || chr(10) || content || chr(10) || chr(10), '' order by number) as ev, max(content) filter (number = 1) as first from e group by 1) on item_id = query_id"""
 )
@@ -340,7 +340,7 @@ def prompts_and_answers(spark, sf_dir):
 
 
 @query(
-    f"""with {_SPARSE}, e as (select query_id, rank as number, chunk_id from sparse where rank <= 5), m as (select query_id, max(number) as most from e group by 1),
+    f"""with {SPARSE_SQL}, e as (select query_id, rank as number, chunk_id from sparse where rank <= 5), m as (select query_id, max(number) as most from e group by 1),
   a as (select query_id, unnest([query_id % 5 + 1, 2, 9]) as number, unnest([1, 2, 3]) as pos from m), u as (select query_id, number, min(pos) as pos from a join m using (query_id) where number <= most group by 1, 2)
   select query_id, (row_number() over (partition by query_id order by pos) - 1)::int as ord, number::int as number, chunk_id, 'doc-' || chunk_id as filename, 'paragraph/chunk ' || number as location from u join e using (query_id, number)"""
 )

@@ -90,7 +90,7 @@ def test_dense_in_blocks_is_the_same(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("knowledge_base_id", F.col("label").cast("string"))
     q = e.filter("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), "knowledge_base_id", "embedding")
     c = e.select(F.col("vec_id").alias("chunk_id"), "knowledge_base_id", "embedding")
-    assert set(retrieval.dense_topk(q, c, 5).collect()) == set(retrieval.dense_topk(q, c, 5, block=3).collect())
+    assert set(retrieval.dense_topk(q, c, 5).collect()) == set(retrieval.dense_topk(q, c, 5, block=3, chunk_block=7).collect())
 
 
 def test_sparse_paths_agree(spark, sf_dir):
