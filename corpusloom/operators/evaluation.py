@@ -120,13 +120,17 @@ def answer_metrics(cases: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
+def _by_format(cases: DataFrame, questions: DataFrame, formats) -> DataFrame:
+    df = failure_reason(case_success(cases.join(questions.select("id", "unanswerable", "tags"), "id")))
+    return df.withColumn("format", F.explode(F.array_intersect("tags", F.array(*map(F.lit, formats)))))
+
+
 def format_metrics(cases: DataFrame, questions: DataFrame, formats=FORMATS) -> DataFrame:
-    """One row for each format, in order and 0 where it has no cases: counts, rates and the list `id: reason` of failures."""
+    """One row for each format, in order and 0 where it has no cases: counts and rates. format_failures has the failures."""
     c = F.col
     spark = cases.sparkSession
     rows = spark.createDataFrame([(i, f) for i, f in enumerate(formats)], "ord int, format string")
-    df = failure_reason(case_success(cases.join(questions.select("id", "unanswerable", "tags"), "id")))
-    df = df.withColumn("format", F.explode(F.array_intersect("tags", F.array(*map(F.lit, formats)))))
+    df = _by_format(cases, questions, formats)
     yes = ~c("unanswerable")
     agg = df.groupBy("format").agg(
         F.count("*").alias("cases"),
@@ -136,11 +140,15 @@ def format_metrics(cases: DataFrame, questions: DataFrame, formats=FORMATS) -> D
         _rate(c("evidence_supported"), yes).alias("evidence_support_rate"),
         _rate(c("correct_refusal"), c("unanswerable")).alias("correct_refusal_rate"),
         _rate(c("hallucination"), F.lit(True)).alias("hallucination_rate"),
-        F.array_sort(F.collect_list(F.when(~c("success"), F.concat_ws(": ", "id", "failure_reason")))).alias("failures"),
     )
     out = rows.join(agg, "format", "left")
     zero = {k: F.coalesce(k, F.lit(0)) for k in ("cases", "succeeded")} | {k: F.coalesce(k, F.lit(0.0)) for k in agg.columns if k.endswith(("rate", "accuracy"))}
-    return out.withColumns(zero | {"failures": F.coalesce("failures", F.array().cast("array<string>"))})
+    return out.withColumns(zero)
+
+
+def format_failures(cases: DataFrame, questions: DataFrame, formats=FORMATS) -> DataFrame:
+    """(format, strategy, id, failure_reason), a row for each failed case and format."""
+    return _by_format(cases, questions, formats).filter(~F.col("success")).select("format", "strategy", "id", "failure_reason")
 
 
 def failure_cases(cases: DataFrame) -> DataFrame:

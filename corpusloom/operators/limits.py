@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +21,22 @@ def _fold(key: str, limit: int, window_s: float):
     window = round(window_s * 1_000_000)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows of a partition come sorted by key and time; the state of one key is carried over batches
+        # rows of a partition come sorted by key and time; the state of one key is carried over batches, and a step takes all hits of a window
         last, opened, n = object(), 0, 0
         for pdf in batches:
-            hits, left = [], []
-            for k, t in zip(pdf[key], pdf["_s"], strict=True):
-                if k != last or t >= opened + window:
-                    last, opened, n = k, t, 0
-                n += 1
-                hits.append(n)
-                left.append((opened + window - t) // 1000)
-            yield pdf.drop(columns="_s").assign(hit_no=pd.array(hits, "int32"), allowed=[h <= limit for h in hits], retry_after_ms=left)
+            t, keys = pdf["_s"].to_numpy(np.int64), pdf[key]
+            hits, opens = np.empty(len(t), np.int32), np.empty(len(t), np.int64)
+            starts = np.flatnonzero((keys != keys.shift()).to_numpy()) if len(t) else np.empty(0, int)
+            for a, b in zip(starts, np.append(starts[1:], len(t)), strict=False):
+                if keys.iloc[a] != last:
+                    last, opened, n = keys.iloc[a], t[a], 0
+                while a < b:
+                    if t[a] >= opened + window:
+                        opened, n = t[a], 0
+                    to = a + np.searchsorted(t[a:b], opened + window)
+                    hits[a:to], opens[a:to] = np.arange(n + 1, n + 1 + to - a), opened
+                    n, a = n + to - a, to
+            yield pdf.drop(columns="_s").assign(hit_no=hits, allowed=hits <= limit, retry_after_ms=(opens + window - t) // 1000)
 
     return run
 

@@ -249,14 +249,22 @@ def answer_metrics(spark, sf_dir):
 
 @query(
     f"""with {_JUDGED}, s as (select *, error = '' and not hallucination and case when unanswerable then correct_refusal else answer_correct and evidence_supported end as success from j),
-  g as (select format, count(*) as cases, count(*) filter (success) as succeeded, {_rate_sql('success', 'true')} as success_rate, {_rate_sql('answer_correct', 'not unanswerable')} as answer_accuracy, {_rate_sql('correct_refusal', 'unanswerable')} as correct_refusal_rate, {_rate_sql('hallucination', 'true')} as hallucination_rate,
-    string_agg(id || ': ' || concat_ws('；', case when error <> '' then error end, case when unanswerable and not correct_refusal then '未正确拒答' end, case when not unanswerable and not answer_correct then '答案不正确' end, case when not unanswerable and not evidence_supported then '引用证据不支持' end, case when hallucination then '幻觉' end), '|' order by id || ':') filter (not success) as failures from s group by 1)
-  select ord, f.format, coalesce(cases, 0) as cases, coalesce(succeeded, 0) as succeeded, coalesce(success_rate, 0) as success_rate, coalesce(answer_accuracy, 0) as answer_accuracy, coalesce(correct_refusal_rate, 0) as correct_refusal_rate, coalesce(hallucination_rate, 0) as hallucination_rate, coalesce(failures, '') as failures
+  g as (select format, count(*) as cases, count(*) filter (success) as succeeded, {_rate_sql('success', 'true')} as success_rate, {_rate_sql('answer_correct', 'not unanswerable')} as answer_accuracy, {_rate_sql('correct_refusal', 'unanswerable')} as correct_refusal_rate, {_rate_sql('hallucination', 'true')} as hallucination_rate from s group by 1)
+  select ord, f.format, coalesce(cases, 0) as cases, coalesce(succeeded, 0) as succeeded, coalesce(success_rate, 0) as success_rate, coalesce(answer_accuracy, 0) as answer_accuracy, coalesce(correct_refusal_rate, 0) as correct_refusal_rate, coalesce(hallucination_rate, 0) as hallucination_rate
   from (values (0, 'pdf'), (1, 'docx'), (2, 'markdown'), (3, 'txt')) f(ord, format) left join g using (format)"""
 )
 def format_metrics(spark, sf_dir):
     m = evaluation.format_metrics(*_judged(spark, sf_dir)).drop("evidence_support_rate")
-    return m.select(*(F.array_join(c, "|").alias(c) if c == "failures" else F.round(c, 9).alias(c) if kind == "double" else c for c, kind in m.dtypes))
+    return m.select(*(F.round(c, 9).alias(c) if kind == "double" else c for c, kind in m.dtypes))
+
+
+@query(
+    f"""with {_JUDGED}, s as (select *, error = '' and not hallucination and case when unanswerable then correct_refusal else answer_correct and evidence_supported end as success from j)
+  select format, strategy, id, concat_ws('；', case when error <> '' then error end, case when unanswerable and not correct_refusal then '未正确拒答' end, case when not unanswerable and not answer_correct then '答案不正确' end, case when not unanswerable and not evidence_supported then '引用证据不支持' end, case when hallucination then '幻觉' end) as failure_reason
+  from s where not success and format in ('pdf', 'docx', 'markdown', 'txt')"""
+)
+def format_failures(spark, sf_dir):
+    return evaluation.format_failures(*_judged(spark, sf_dir))
 
 
 _SQUEEZED = "translate({}, ' ' || chr(9) || chr(10) || chr(13) || '`', '')"
