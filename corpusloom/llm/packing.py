@@ -175,15 +175,16 @@ def _pack_group(length: int, final: bool):
 
 def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece's sequence and place in it."""
-    pieces = written(tokenised_pieces(docs, path, length, end_id, id_col, text_col), "pieces")
+    # a number of its own for each row, so that equal rows are dealt apart; written, so it stays when a task runs again
+    pieces = tokenised_pieces(docs, path, length, end_id, id_col, text_col)
     columns = pieces.columns
+    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     left, out, level, opened = pieces, None, 0, None
     while True:
         n = left.count()
         groups = max(1, -(-n // group))
         last = groups == 1 or level == 31  # sequence_id has room for so many
-        # dealt by content, so that a task that runs again deals alike
-        dealt = left.withColumn("group", F.pmod(F.xxhash64(*columns, F.lit(level)), F.lit(groups)))
+        dealt = left.withColumn("group", F.pmod(F.xxhash64(*columns, "_row", F.lit(level)), F.lit(groups)))
         schema = T.StructType([*dealt.schema.fields, T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("final", T.BooleanType())])
         packed = written(dealt.groupBy("group").applyInPandas(_pack_group(length, last), schema), "packed")
         number = F.lit(level).cast("long") * F.lit(2**58) + F.col("group") * F.lit(2**24) + F.col("bin")
@@ -195,4 +196,4 @@ def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 1, id_col
         out = done if out is None else out.unionByName(done)
         if last:
             return out
-        left, level = packed.filter("not final").select(*columns), level + 1
+        left, level = packed.filter("not final").select(*columns, "_row"), level + 1
