@@ -17,8 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import written
+
 #: The rules of the check.
 DEFAULT_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Distinct urls with a rule of which so many (some 400 bytes each) may be broadcast.
+BROADCAST_URLS = 100_000
 #: The verdict where no rule fits.
 DEFAULT_VERDICT = "allow"
 
@@ -59,9 +63,13 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", defau
         F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), (F.col("verdict") == "block").alias("blocks"), F.concat("host", "path").alias("rule"), "verdict").alias("found"),
     )
     met = asked.join(known, _short("digest") == _short("full")).filter("digest = full")
-    best = met.groupBy("host", "path").agg(F.max("found").alias("_best"))
+    best = written(met.groupBy("host", "path").agg(F.max("found").alias("_best")), "best")
     named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    out = named.join(best, ["host", "path"], "left")
+    if best.count() <= BROADCAST_URLS:
+        out = named.join(F.broadcast(best), ["host", "path"], "left")
+    else:  # rows without a host fit no rule and need not meet in one task
+        none = named.filter("host = ''").withColumn("_best", F.lit(None).cast(best.schema["_best"].dataType))
+        out = named.filter("host <> ''").join(best, ["host", "path"], "left").unionByName(none)
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return out.select(*own, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
 
