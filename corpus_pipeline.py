@@ -2,6 +2,12 @@
 
 Each stage gets what its predecessor kept as `docs` (with the columns of
 documents) and returns what it keeps; the last returns the packed pieces.
+
+Defined cases, for every stage: an empty table gives an empty table with the same
+columns (the last stage: with those of pieces).  Null and empty texts fail the quality rules; stages
+that meet them elsewhere let them pass, unlinked, clean, and packed as one end token.  Of rows
+that repeat a text one document stays, the one with the smallest id; rows that repeat a doc_id stay or go
+together.  A null source is a site of its own.  Further columns pass through up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
