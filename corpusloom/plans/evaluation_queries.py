@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.costs import Pricing
-from ..operators import chat, embedding, evaluation, lifecycle, retrieval
+from ..operators import chat, embedding, evaluation, lifecycle, providers, retrieval
 from .mapping import table
 from .registry import query
 from .service_queries import SPARSE_SQL, questions
@@ -153,3 +153,42 @@ def embed_with(spark, sf_dir):
     """A user's embedder, called for batches of whole texts."""
     v = table(spark, sf_dir, "documents").select("doc_id", embedding.embed_with(F.col("text"), _two_numbers).alias("v"))
     return v.select("doc_id", F.element_at("v", 1).cast("double").alias("size"), F.element_at("v", 2).cast("double").alias("n_a"))
+
+
+def _echo(request: dict) -> dict:
+    text = request.get("content") or ""
+    return {"text": "re: " + text, "prompt_tokens": max(1, len(text) // 4), "completion_tokens": len(text.split(" "))}
+
+
+@query("select conv_id, turn, 're: ' || coalesce(text, '') as answer, greatest(1, length(coalesce(text, '')) // 4)::int as prompt_tokens, len(string_split(coalesce(text, ''), ' '))::int as completion_tokens from conversations")
+def chat_answers(spark, sf_dir):
+    """A user's chat model, called for every turn."""
+    c = table(spark, sf_dir, "conversations")
+    a = c.select("conv_id", "turn", providers.chat_answers(F.struct(F.col("role"), F.col("text").alias("content")), _echo).alias("a"))
+    return a.select("conv_id", "turn", F.col("a.text").alias("answer"), "a.prompt_tokens", "a.completion_tokens")
+
+
+def _judge(case: dict) -> dict:
+    good, toxic = case.get("quality") == 1, case.get("toxic") == 1
+    return {"answer_correct": good, "evidence_supported": good and not toxic, "correct_refusal": not good, "hallucination": toxic, "rationale": f"quality {case.get('quality', 0)}"}
+
+
+@query(
+    """select doc_id, coalesce(quality, 0) = 1 as answer_correct, coalesce(quality, 0) = 1 and coalesce(toxic, 0) <> 1 as evidence_supported, coalesce(quality, 0) <> 1 as correct_refusal, coalesce(toxic, 0) = 1 as hallucination,
+  'quality ' || coalesce(quality, 0) as rationale from labels"""
+)
+def judged(spark, sf_dir):
+    """A user's judge, called for every labelled document."""
+    v = table(spark, sf_dir, "labels").select("doc_id", providers.judged(F.struct("quality", "toxic"), _judge).alias("v"))
+    return v.select("doc_id", "v.*")
+
+
+def _shorten(history: list[dict], question: str) -> str:
+    return " ".join(question.split(" ")[:3])
+
+
+@query("select item_id as query_id, case when trim(q) = '' then text else trim(q) end as query, trim(q) <> '' and trim(q) <> text as rewrite_applied, trim(q) = '' as rewrite_fallback from (select *, array_to_string(string_split(text, ' ')[1:3], ' ') as q from benchmark where text is not null)")
+def rewrite_by_model(spark, sf_dir):
+    """A user's rewriter, which falls back to the question where it gives nothing."""
+    b = table(spark, sf_dir, "benchmark").filter("text is not null").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.array().cast("array<struct<role:string,status:string,content:string>>").alias("history"))
+    return chat.rewrite_queries(b, _shorten).select("query_id", "query", "rewrite_applied", "rewrite_fallback")
