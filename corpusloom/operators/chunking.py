@@ -126,3 +126,22 @@ def index_corpus(files: DataFrame, chunk_size: int = 800, overlap: int = 120, di
     good = good.join(keys, "document_id").withColumn("id", stable_id(F.concat_ws(":", "document_id", "index_version", "chunk_index"), namespace))
     errors = chunks.filter("error_code is not null").select("document_id", "error_code")
     return with_embeddings(good, "content", dimension, embedder), document_outcomes(keys, good, errors)
+
+
+def index_uploads(files: DataFrame, existing: DataFrame, max_bytes: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """files (document_id, knowledge_base_id, filename, declared_mime, content, index_version) and the documents there are (id, knowledge_base_id, sha256, deleted_at)
+    -> (chunks, outcomes) as index_corpus, which gets the uploads that are valid and new.
+
+    Rejected uploads have failed outcomes with their code; copies of an active document, or of an upload before them, have the status duplicate and duplicate_of.
+    """
+    from .uploads import MAX_BYTES, dedupe_uploads, validate_uploads
+
+    checked = validate_uploads(files.withColumn("document_id", F.col("document_id").cast("string")), MAX_BYTES if max_bytes is None else max_bytes)
+    accepted = checked.filter("reject_code is null")
+    seen = checkpointed(dedupe_uploads(accepted.select("document_id", "knowledge_base_id", "sha256"), existing).select("document_id", "duplicate_of"))
+    fresh = accepted.join(seen.filter("duplicate_of is null"), "document_id", "left_semi")
+    chunks, outcomes = index_corpus(fresh.select("document_id", "knowledge_base_id", "filename", "content", "index_version"), **options)
+    none = F.lit(None).cast("string")
+    rejected = checked.filter("reject_code is not null").select("document_id", F.lit(0).alias("chunk_count"), F.lit("failed").alias("status"), F.col("reject_code").alias("error_code"), F.lit(False).alias("retryable"), none.alias("duplicate_of"))
+    copies = seen.filter("duplicate_of is not null").select("document_id", F.lit(0).alias("chunk_count"), F.lit("duplicate").alias("status"), none.alias("error_code"), F.lit(None).cast("boolean").alias("retryable"), "duplicate_of")
+    return chunks, outcomes.withColumn("duplicate_of", none).unionByName(rejected).unionByName(copies)

@@ -272,3 +272,27 @@ def validate_vectors(spark, sf_dir):
 def embedding_progress(spark, sf_dir):
     c = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "line"))
     return embedding.embedding_progress(c, 4).select("document_id", "chunk_index", "batch", "progress")
+
+
+@query(
+    f"""with {DOCUMENTS_SQL}, a as (select *, case when doc_id % 9 = 1 then 'UNSUPPORTED_FILE_EXTENSION' when length(text) = 0 then 'EMPTY_FILE' end as code from docs where doc_id % 3 <> 0),
+  b as (select knowledge_base_id, sha256, min(id) as old from docs where doc_id % 3 = 0 and deleted_at is null group by 1, 2), f as (select knowledge_base_id, sha256, min(id) as first from a where code is null group by 1, 2),
+  d as (select a.id, a.code, coalesce(old, case when first <> a.id then first end) as dup from a left join f using (knowledge_base_id, sha256) left join b using (knowledge_base_id, sha256))
+  select id as document_id, case when code is not null then 'failed' when dup is not null then 'duplicate' else 'ready' end as status, code as error_code, case when code is null then dup end as duplicate_of from d"""
+)
+def index_uploads(spark, sf_dir):
+    """Two thirds of the documents come as uploads beside the others."""
+    d = documents(spark, sf_dir)
+    name = F.when(d.doc_id % 9 == 1, "run.exe").otherwise("a.txt")
+    new = d.filter("doc_id % 3 <> 0").select(d.id.alias("document_id"), "knowledge_base_id", "index_version", name.alias("filename"), F.lit("text/plain").alias("declared_mime"), F.encode("text", "UTF-8").alias("content"))
+    return chunking.index_uploads(new, d.filter("doc_id % 3 = 0").select("id", "knowledge_base_id", "sha256", "deleted_at"), dimension=64)[1].select("document_id", "status", "error_code", "duplicate_of")
+
+
+@query(
+    f"""with c as (select doc_id, list_filter(string_split({_CLEAN_SQL.format(c=f"coalesce({_MESSY_SQL}, '')")}, chr(10) || chr(10)), lambda p: p <> '') as ps from documents)
+  select doc_id::varchar as document_id, len(ps)::int as n_blocks, sha256(array_to_string(ps, '|')) as content_sha, case when len(ps) > 0 then len(ps) end::int as last_paragraph, case when len(ps) = 0 then 'EMPTY_DOCUMENT' end as error_code from c"""
+)
+def parse_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), _messy().alias("content"))
+    last = F.when(F.size("blocks") > 0, F.element_at("blocks", -1)["para_to"])
+    return parsing.parse_text(d).select("document_id", F.size("blocks").alias("n_blocks"), F.sha2(F.array_join(F.transform("blocks", lambda b: b["content"]), "|"), 256).alias("content_sha"), last.alias("last_paragraph"), "error_code")
