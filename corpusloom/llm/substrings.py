@@ -8,7 +8,8 @@ and counted, a small share of all windows.  Anchors met twice are then extended
 to the full windows around them, and of each window all occurrences but the
 first (by document id, then place) are repeats.
 
-Hot anchors and windows are met by delegates of slices (see meetings.py).
+Hot anchors and windows are met by delegates of tasks (see meetings.py).
+A very long text is held whole by a task, some 60 bytes for each of its own.
 
 Defined cases: null and empty texts have no words; a null doc_id comes before
 all others; rows that repeat a doc_id are one document, in which a place
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .meetings import SCHEMA, live_hashes, meeting_rows, salts, shared_anchors
+from .meetings import SCHEMA, Earliest, Meetings, live_hashes, salts, shared_anchors
 from .storage import keyed, restrict, unkeyed, with_marks, written
 from .textbytes import NON_SPACE, Words, covered, slices, words_of
 
-#: Larger slices find more partners before anything is shuffled.
-SLICE = 4 << 20
+#: A task remembers what repeats over its slices, so their size decides about memory alone: some 60 bytes for each of theirs.
+SLICE = 2 << 20
 #: Smallest known difference covers (perfect difference sets) by their period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
@@ -52,13 +53,14 @@ def _anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meetings = Meetings()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 words = words_of(part.column("text"), NON_SPACE)
                 at, hashes = _anchors(words, window)
                 if not len(at):
                     continue
-                yield meeting_rows(hashes, part.column("key").to_numpy(zero_copy_only=False)[words.text_of()[at]])
+                yield meetings.rows(hashes, part.column("key").to_numpy(zero_copy_only=False)[words.text_of()[at]])
 
     return run
 
@@ -68,6 +70,7 @@ def _window_rows(window: int):
     names = ["window", "salt", "key", "place", "repeat"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = Earliest()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 words = words_of(part.column("text"), NON_SPACE)
@@ -88,9 +91,12 @@ def _window_rows(window: int):
                 order = np.lexsort((places, keys, hashes))
                 hashes, keys, places = hashes[order], keys[order], places[order]
                 earliest = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-                first = np.flatnonzero(earliest)[np.cumsum(earliest) - 1]
-                repeat = (keys != keys[first]) | (places != places[first])
-                columns = hashes.view(np.int64), salts(repeat, earliest, keys), keys, places.astype(np.int32), repeat
+                group = np.cumsum(earliest) - 1
+                first = np.flatnonzero(earliest)
+                later = met.later(hashes[first], keys[first], places[first], np.bincount(group) > 1)[group]
+                first = first[group]
+                repeat = later | (keys != keys[first]) | (places != places[first])
+                columns = hashes.view(np.int64), salts(repeat, earliest & ~later, keys), keys, places.astype(np.int32), repeat
                 text_order = np.argsort(order)  # neighbours in a text compress well together
                 yield pa.RecordBatch.from_arrays([pa.array(c[text_order]) for c in columns], names=names)
 

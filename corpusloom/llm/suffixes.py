@@ -21,6 +21,8 @@ suffixes with some bytes to their left finds every repeat.
    distances, and window by window only where that leaves it open.
 5. Repeated windows return to the places of their contexts and are united per document.
 
+A very long text is held whole by a task, some 60 bytes for each of its own.
+
 Defined cases: null and empty texts have no bytes; texts shorter than `length`
 lose nothing; repeated rows and rows that repeat a doc_id are separate
 occurrences, and rows of one doc_id lose what any of them loses at that place; a
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .meetings import SCHEMA, live_hashes, meeting_rows, shared_anchors
+from .meetings import SCHEMA, Meetings, live_hashes, shared_anchors
 from .storage import BROADCAST_ROWS, keyed, restrict, unkeyed, with_marks, written
 from .textbytes import BYTE_CODES, RunHashes, bytes_of, mix, run_hashes, slices
 
@@ -87,12 +89,13 @@ def _lead_hashes(data: np.ndarray, place: np.ndarray, length: int) -> np.ndarray
 
 def _lead_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meetings = Meetings()
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 data, offsets = bytes_of(part.column("text"))
                 place, _, _, text = sampled(data, offsets, length)
                 if len(place):
-                    yield meeting_rows(_lead_hashes(data, place, length), part.column("key").to_numpy(zero_copy_only=False)[text])
+                    yield meetings.rows(_lead_hashes(data, place, length), part.column("key").to_numpy(zero_copy_only=False)[text])
 
     return run
 

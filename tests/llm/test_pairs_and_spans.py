@@ -169,3 +169,70 @@ def test_empty_tables(spark):
     assert decontaminate.contamination_report(docs, bench).collect() == []
     some = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert decontaminate.contamination_report(some, bench).select(F.sum("n_hit")).first()[0] == 0
+
+
+def test_delegates_across_slices_and_tasks(monkeypatch):
+    """Anchors and windows over many small slices in three tasks: each repeat is found, and a hot one sends few rows to its common group."""
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "SLICE", 300)
+    docs = corpus(4, n=200, words=50)
+    docs = [(i, "hot " * 25 + (t or "") if i % 3 else t) for i, t in docs]
+    random.Random(3).shuffle(docs)
+    tasks = [docs[:80], docs[80:150], docs[150:]]
+
+    def rows(function, parts):
+        out = []
+        for part in parts:
+            for b in function(iter([part])):
+                out += [tuple(r.values()) for r in b.to_pylist()]
+        return out
+
+    batch = lambda part, **more: pa.RecordBatch.from_pydict({"key": pa.array([i for i, _ in part], pa.int64()), "text": pa.array([t for _, t in part], pa.string()), **more})
+    met = rows(substrings._anchor_rows(7), [batch(p) for p in tasks])
+    total = Counter()
+    for anchor, salt, _, n in met:
+        total[anchor, salt] += n
+    live = defaultdict(set)
+    for anchor, salt, key, _ in met:
+        if total[anchor, salt] > 1:
+            live[key].add(anchor)
+    hot = [batch(p, anchors=pa.array([sorted(live[i]) for i, _ in p], pa.list_(pa.int64()))) for p in ([d for d in p if d[0] in live] for p in tasks)]
+    found = rows(substrings._window_rows(7), hot)
+    first = {}
+    for window, salt, key, place, _ in found:
+        first[window, salt] = min(first.get((window, salt), (key, place)), (key, place))
+    repeats = {(key, place) for window, salt, key, place, repeat in found if repeat or first[window, salt] != (key, place)}
+    seen, want = set(), set()
+    for i, t in sorted(docs, key=lambda d: d[0]):
+        w = brute.NON_SPACE.findall(t or "")
+        for s in range(len(w) - 6):
+            if tuple(w[s : s + 7]) in seen:
+                want.add((i, s))
+            seen.add(tuple(w[s : s + 7]))
+    assert repeats == want
+    common = Counter(anchor for anchor, salt, _, _ in met if salt == 0)
+    assert max(common.values()) < max(Counter(anchor for anchor, *_ in met).values()) / 4
+
+
+def test_repeated_bytes_at_the_length_of_the_query(spark, monkeypatch):
+    """Strings of 400 bytes: one passage in every document, long ones in some (their contexts fill several buckets), one that is a byte too short."""
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 20_000)
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choices("abcdefgh é", k=n))
+    everywhere, longs, short = some(430), [some(rng.randint(700, 3000)) for _ in range(6)], "x" + "".join(rng.choices("stuvw", k=398))
+    docs = []
+    for i in range(90):
+        parts = [some(rng.randint(50, 600)), everywhere, some(rng.randint(1, 200))]
+        if i % 4 == 0:
+            parts.insert(rng.randint(0, 3), rng.choice(longs))
+        if i % 5 == 0:
+            parts.append(chr(65 + i // 5) + short + chr(65 + i // 5))
+        docs.append((i, "".join(parts)))
+    out = suffixes.drop_repeated_bytes(frame(spark, docs)).collect()
+    want = brute.drop_byte_spans(docs)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == want
+    assert all(w[1] >= len(everywhere.encode()) for w in want.values()) and sum(w[2] > 1 for w in want.values()) > 5
+    assert all(short.encode() in bytes(r.kept) for r in out if r.doc_id % 5 == 0)
