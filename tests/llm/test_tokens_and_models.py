@@ -194,3 +194,49 @@ def test_local_search_goes_on_after_bins_that_stay():
     start = np.concatenate((np.arange(30), 30 + np.arange(40) // 8))
     out = packing.local_search(sizes, start, 100)
     assert np.bincount(out, sizes).max() <= 100 and len(np.unique(out)) <= 34
+
+
+def test_scores_equal_a_plain_forward_pass():
+    """Word by word, with the state carried through whole documents that are longer than a window."""
+    rng = np.random.default_rng(6)
+    layout = Classes((0, 2, 5), 2)
+    model = Model.fresh(layout, 3, np.array([5, 4, 3, 2]), np.arange(5)[::-1] + 1)
+    model.values = v = {k: (x + rng.normal(0, 0.4, x.shape)).astype(np.float32) for k, x in model.values.items()}
+    ids, sizes = rng.integers(0, 7, 130), np.array([70, 1, 40, 19])
+    want, at = [], 0
+    soft = lambda x, i: float(x[i] - np.log(np.exp(x).sum()))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for n in sizes:
+        h, before, total = np.zeros(3), layout.start, 0.0
+        for w in ids[at : at + n].tolist():
+            g, own = v["inputs"][before], h @ v["state"]
+            z, r = sigmoid(g[:3] + own[:3]), sigmoid(g[3:6] + own[3:6])
+            new = np.tanh(g[6:] + r * own[6:])
+            h = new + z * (h - new)
+            c = 0 if w < 2 else 1 if w < 5 else 2 + w - 5
+            total += soft(h @ v["class_out"] + v["class_bias"], c)
+            if c < 2:
+                a, b = layout.bounds[c : c + 2]
+                total += soft(v["word_out"][a:b] @ h + v["word_bias"][a:b], w - a)
+            before = w
+        want.append(total)
+        at += n
+    for lanes in (1, 2, 4):
+        assert np.allclose(model.scores(deal(ids, sizes, lanes), 4), want, rtol=1e-4)
+
+
+def test_lanes_hold_every_word_once_whatever_the_longest_text():
+    sizes = np.array([100_000, *[3] * 511])
+    ids = np.arange(sizes.sum())
+    lanes = deal(ids, sizes, 512)
+    assert sum(x.nbytes for x in (lanes.ids, lanes.begins, lanes.owner)) < 10 * len(ids)
+    seen = [(i, o) for _, i, _, live, owner in lanes.windows(7) for i, o in zip(i[live].tolist(), owner[live].tolist(), strict=True)]
+    assert sorted(seen) == list(zip(ids.tolist(), np.repeat(np.arange(512), sizes).tolist(), strict=True))
+
+
+def test_the_head_is_found_by_a_histogram(spark):
+    rows = [(w, n) for w, n in enumerate([1000, 1000, 500, 7, 7, 7, 1, 1])]
+    df = spark.createDataFrame(rows, "word long, n long")
+    for most, want in ((8, 8), (7, 6), (6, 6), (5, 3), (2, 2), (1, 0)):
+        assert lmscore.frequent(df, most).count() == want
+    assert lmscore.frequent(df.limit(0), 3).count() == 0
