@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, linededup, lmscore, nearjoin, packing, quality, substrings, suffixes, tokens, urlfilter
+from . import decontaminate, linededup, lmscore, nearjoin, packing, prefixtrie, quality, substrings, suffixes, tokens, urlfilter, whitening
 from .storage import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -50,7 +50,15 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_line_dedup, op7_packing, op8_substring_dedup, op9_jaccard_join, op10_decontamination)}
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefixtrie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_line_dedup, op7_packing, op8_substring_dedup, op9_jaccard_join, op10_decontamination, op11_whitening, op12_prefix_trie)}
 
 _WORDS = "list_filter(string_split(translate({t}, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> '')"
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,7 +102,24 @@ OP10_SQL = (
   coalesce(n_hit, 0) > 0 as contaminated from dw left join cov using (doc_id) left join its using (doc_id)"""
 )
 
+OP12_SQL = r"""
+with ct as (select list_transform(range(0, 256), lambda b: list_reduce(list_prepend(b, range(0, 8)), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) as t),
+h as (select c, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, x: xor(a // 256, t[xor(a, x) % 256 + 1])), 4294967295) % 4 as h
+  from (select distinct conv_id as c from conversations where conv_id is not null), ct),
+own as (select conv_id as c, list({'r': role, 'x': txt} order by turn nulls first, md5(length(role) || ':' || role || txt)) as s
+  from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as txt from conversations where conv_id is not null) group by conv_id),
+b as (select o.c, coalesce(list_slice(f.s, 1, h.h), []) || coalesce(list_slice(o.s, h.h + 1, len(o.s)), []) as s from own o join h using (c) left join own f on f.c = o.c - o.c % 20),
+p as (select c, d, list_slice(s, 1, d) as pre, d = len(s) as is_end from (select c, s, unnest(range(0, len(s) + 1)) as d from b)),
+n as (select pre, d, min(c) as conv_id, count(*) as n_convs, string_agg(c::varchar, ',' order by c) filter (is_end) as ends,
+  case when d = 0 then 0 else len(list_filter(string_split(translate(pre[d].x, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda w: w <> '')) end as words from p group by pre, d),
+k as (select n.*, q.conv_id as parent_conv_id, coalesce(m, 0) as n_children from n left join n q on q.d = n.d - 1 and q.pre = list_slice(n.pre, 1, n.d - 1)
+  left join (select list_slice(pre, 1, d - 1) as pre, d - 1 as d, count(*) as m from n where d > 0 group by all) x on x.d = n.d and x.pre = n.pre),
+a as (select list_slice(pre, 1, i) as pre, i as d, sum((n_children = 0)::int) as n_leaves, sum((n_convs - 1) * words) as saved from (select *, unnest(range(0, d + 1)) as i from k) group by all)
+select conv_id, k.d::bigint as depth, parent_conv_id, n_convs, n_children::bigint as n_children, n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from k join a on a.d = k.d and a.pre = k.pre"""
+
 ORACLES = {
+    "op12_prefix_trie": OP12_SQL,
     "op2_url_filters": urlfilter.REPORT_SQL,
     "op3_quality_rules": quality.REPORT_SQL,
     "op6_line_dedup": linededup.REPORT_SQL,

@@ -92,3 +92,41 @@ def drop_byte_spans(docs, length=400):
         spans = sum(1 for j in range(len(b)) if gone[j] and (j == 0 or not gone[j - 1]))
         out[i] = (len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g)))
     return out
+
+
+def prefix_nodes(rows):
+    """rows: (conv_id, turn, role, text); the trie's nodes."""
+    import zlib
+
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            own[c].append((turn is not None, turn or 0, digest, (role, text)))
+    own = {c: [x[3] for x in sorted(v)] for c, v in own.items()}
+    members = defaultdict(list)
+    for c in own:
+        base = c - remainder(c, 20)
+        h = zlib.crc32(str(c).encode()) % 4
+        seq = tuple(own.get(base, [])[:h] + own[c][h:])
+        for d in range(len(seq) + 1):
+            members[seq[:d]].append((c, d == len(seq)))
+    children = defaultdict(list)
+    for p in members:
+        if p:
+            children[p[:-1]].append(p)
+    sums = {}
+    for p in sorted(members, key=len, reverse=True):
+        words = len(NON_SPACE.findall(p[-1][1])) if p else 0
+        leaves = sum(sums[q][0] for q in children[p]) if children[p] else 1
+        sums[p] = leaves, (len(members[p]) - 1) * words + sum(sums[q][1] for q in children[p])
+    low = {p: min(c for c, _ in m) for p, m in members.items()}
+    for p, m in members.items():
+        ends = ",".join(map(str, sorted(c for c, e in m if e)))
+        yield low[p], len(p), low[p[:-1]] if p else None, len(m), len(children[p]), sums[p][0], sums[p][1], sha(ends)
+
+
+def remainder(a, b):
+    """The remainder with the sign of a, as in SQL."""
+    return abs(a) % b * (1 if a >= 0 else -1)
