@@ -55,6 +55,8 @@ CELLS, BLOCKS = 1 << 18, 16
 LEAST_SHARE, VERIFY_COST = 12, 8.0
 #: Open shingles of at most so many sets make pairs as rows; shingles that a block holds for the sets of other shingles.
 FEW, BLOCK = 32, 100_000
+#: Pairs of a hub for which its set travels once.
+PARTNERS = 512
 #: Shared shingles that a task remembers, so that it sends a delegate for each only once.
 REMEMBERED = 1 << 18
 
@@ -208,13 +210,24 @@ def _may_link(x, y, percent: int):
     return (100 + percent) * F.least(most, x("n"), y("n")) >= percent * (x("n") + y("n"))
 
 
+def _passing(pairs: DataFrame, nodes: DataFrame, columns: list[str], test) -> DataFrame:
+    """The pairs (a, b) of which `test` holds, given the nodes' columns by name with an a or b behind.
+
+    What belongs to b travels once a pair, what belongs to a once for PARTNERS pairs: of an a with more, the partners are dealt
+    over salts, so that a hub of any size takes many tasks.
+    """
+    heavy = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("salts")).filter("salts > 1"), "hubs")
+    salted = pairs.join(small(heavy, heavy.count()), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).alias("salt"))
+    side = lambda x: nodes.select(F.col("key").alias(x), *(F.col(c).alias(c + x) for c in columns))
+    hubs = salted.select("a", "salt").distinct().join(side("a"), "a")
+    return salted.join(side("b"), "b").join(hubs, ["a", "salt"]).filter(test).select("a", "b")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share enough of their prefixes and are similar enough."""
-    sides = [nodes.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("head").alias(f"head{x}"), F.concat("head", "tail").alias(f"set{x}")) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    both = both.filter(F.size(F.array_intersect("heada", "headb")) >= F.least("ma", "mb"))
+    """The pairs (a, b) whose heads share enough and whose sets are similar enough; whole sets travel only for pairs that the heads let pass."""
+    close = _passing(pairs, nodes, ["m", "head"], F.size(F.array_intersect("heada", "headb")) >= F.least("ma", "mb"))
     shared = F.size(F.array_intersect("seta", "setb"))
-    return both.filter(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    return _passing(written(close, "close"), nodes, ["n", "set"], 100 * shared >= percent * (F.col("na") + F.col("nb") - shared))
 
 
 def _shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -300,11 +313,41 @@ def _blocks(hot: DataFrame, nodes: DataFrame, percent: int, n_live: int) -> Data
     meet = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.block") <= F.col("y.block")) & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
     meet = written(meet.select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct(), "meet")
     sides = meet.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).union(meet.filter("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
-    sets = members.join(nodes.select(F.col("key").alias("rep"), F.concat("head", "tail").alias("set")), "rep")
+    sets = members.join(nodes.select(F.col("key").alias("rep"), "set"), "rep")
     pairs = sets.join(small(sides, 2 * meet.count()), "block").select("a", "b", "side", "rep", "component", "set")
     return pairs.groupBy("a", "b").applyInArrow(_block_links(percent), "a long, b long")
 
 
+def linked_components(postings: DataFrame, nodes: DataFrame, percent: int, may_link, n_postings: int, n_live: int) -> DataFrame:
+    """(node, component) of the sets that link with others, each pair of sets that share a shingle in postings being compared unless links join it already.
+
+    postings (shingle, rep, n, ...), shingles of two sets at least; may_link(x, y) says of two postings of a
+    shingle, given by their columns, whether their sets may link.  nodes (key, n, m, head, set): sets link only
+    if their heads share the smaller m.
+    """
+
+    def ordered(a, b):
+        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+    def of_hub(c):
+        return F.col(f"hub.{c}")
+
+    fields = [c for c in postings.columns if c != "shingle"]
+    hubs = postings.join(postings.groupBy("shingle").agg(F.min(F.struct(*fields)).alias("hub")), "shingle").filter("rep <> hub.rep").filter(may_link(F.col, of_hub))
+    tested = written(few(hubs.select(*ordered(F.col("rep"), F.col("hub.rep"))).distinct(), n_postings), "pairs")
+    links = written(few(_verified(tested, nodes, percent), n_postings), "links")
+    labels = components(links)
+    # postings whose shingle still meets in different components
+    marked = postings.join(small(labels.withColumnRenamed("node", "rep"), n_live), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    groups = marked.groupBy("shingle").agg(F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "all")
+    open_ = written(few(marked.join(groups, "shingle"), n_postings), "open")
+    x, y = (open_.filter(F.col("all") <= FEW).alias(side) for side in "xy")
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    pairs = written(few(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), n_postings), "pairs")
+    more = written(few(_verified(pairs, nodes, percent).union(_blocks(open_.filter(F.col("all") > FEW), nodes, percent, n_live)), n_postings), "links")
+    return labels if more.isEmpty() else components(links.union(more))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id): two texts link when 100 * |intersection| >= percent * |union|.
 
@@ -345,27 +388,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = restrict(texts, live, "key", n_live).mapInArrow(_node_rows(words, prefixes), "key long, d1 long, d2 long, n long, m int, head array<long>, tail array<long>")
     nodes = written(nodes.join(reps.join(live, "key", "left_semi"), ["key", "d1", "d2"], "left_semi").dropDuplicates(["key"]).drop("d1", "d2"), "nodes")
 
-    def ordered(a, b):
-        return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-
-    def of_hub(c):
-        return F.col(f"hub.{c}")
-
-    hubs = postings.join(postings.groupBy("shingle").agg(F.min(F.struct("rep", "n", "pos", "before")).alias("hub")), "shingle").filter("rep <> hub.rep").filter(_may_link(F.col, of_hub, percent))
-    tested = written(few(hubs.select(*ordered(F.col("rep"), F.col("hub.rep"))).distinct(), n_postings), "pairs")
-    links = written(few(_verified(tested, nodes, percent), n_postings), "links")
-    labels = components(links)
-    # postings whose shingle still meets in different components
-    marked = postings.join(small(labels.withColumnRenamed("node", "rep"), n_live), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    groups = marked.groupBy("shingle").agg(F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "all")
-    open_ = written(few(marked.join(groups, "shingle"), n_postings), "open")
-    x, y = (open_.filter(F.col("all") <= FEW).alias(side) for side in "xy")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
-    pairs = written(few(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), n_postings), "pairs")
-    more = written(few(_verified(pairs, nodes, percent).union(_blocks(open_.filter(F.col("all") > FEW), nodes, percent, n_live)), n_postings), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
-
+    nodes = nodes.withColumn("set", F.concat("head", "tail")).drop("tail")
+    labels = linked_components(postings, nodes, percent, lambda x, y: _may_link(x, y, percent), n_postings, n_live)
     out = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("key_out", F.coalesce("component", "rep", "key"))
     return out.select(unkeyed().alias(id_col), F.col("n").alias("n_shingles"), unkeyed("key_out").alias("component_id"))
 

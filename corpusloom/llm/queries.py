@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import decontaminate, linededup, lmscore, nearjoin, packing, prefixtrie, quality, substrings, suffixes, tokens, urlfilter, whitening
+from . import decontaminate, hammingjoin, linededup, lmscore, nearjoin, packing, prefixtrie, quality, substrings, suffixes, tokens, urlfilter, whitening
 from .storage import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -58,7 +58,11 @@ def op12_prefix_trie(spark, sf_dir):
     return prefixtrie.prefix_nodes(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_line_dedup, op7_packing, op8_substring_dedup, op9_jaccard_join, op10_decontamination, op11_whitening, op12_prefix_trie)}
+def op13_hamming_join(spark, sf_dir):
+    return hammingjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_url_filters, op3_quality_rules, op4_suffix_dedup, op5_token_counts, op6_line_dedup, op7_packing, op8_substring_dedup, op9_jaccard_join, op10_decontamination, op11_whitening, op12_prefix_trie, op13_hamming_join)}
 
 _WORDS = "list_filter(string_split(translate({t}, chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '     '), ' '), lambda x: x <> '')"
 _LOWER = "translate(coalesce({t}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -72,18 +76,25 @@ select doc_id, len(ws)::bigint as n_words, coalesce(len(ps), 0)::bigint as n_rem
   sha256(array_to_string(case when ps is null then ws else list_filter(ws, lambda x, i: not list_contains(ps, i)) end, ' ')) as kept_sha256
 from d left join g using (doc_id)"""
 
-OP9_SQL = f"""
+
+def _near_sql(k: int, percent: int, more: str = "") -> str:
+    """Documents linked by shingles of k words at a similarity of `percent`; more: further columns, from doc_id and m."""
+    return f"""
 with recursive d as (select doc_id, {_WORDS.format(t=_LOWER.format(t="text"))} as ws from documents),
-s as materialized (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
-  else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) end) as xs from d),
+s as materialized (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < {k} then [array_to_string(ws, ' ')]
+  else list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(list_slice(ws, i, i + {k - 1}), ' ')) end) as xs from d),
 e as (select doc_id, len(xs) as n, unnest(xs) as x from s),
 p as materialized (select a.doc_id as a, b.doc_id as b from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n
-  having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+  having 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
 u as materialized (select a, b from p union select b, a from p),
 r(doc_id, c) as (select a, a from u union select u.b, r.c from r join u on r.doc_id = u.a where r.c < u.b)
-select doc_id, len(xs)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
+select doc_id, len(xs)::bigint as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id{more}
 from s left join (select doc_id, min(c) as m from r group by doc_id) using (doc_id)"""
 
+
+OP9_SQL = _near_sql(5, 75)
+OP13_SQL = _near_sql(4, 80, ", doc_id <= coalesce(m, doc_id) as kept")
+
 _ALNUM = "regexp_extract_all({t}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 HITS_SQL = f"""
 dw as (select doc_id, {_ALNUM.format(t=_LOWER.format(t="text"))} as ws from {{docs}}),
@@ -119,6 +130,7 @@ select conv_id, k.d::bigint as depth, parent_conv_id, n_convs, n_children::bigin
 from k join a on a.d = k.d and a.pre = k.pre"""
 
 ORACLES = {
+    "op13_hamming_join": OP13_SQL,
     "op12_prefix_trie": OP12_SQL,
     "op2_url_filters": urlfilter.REPORT_SQL,
     "op3_quality_rules": quality.REPORT_SQL,
