@@ -83,10 +83,15 @@ def apply_document_deletes(messages: DataFrame, docs: DataFrame, kbs: DataFrame,
     return _cascade(deleted_documents(messages, docs, kbs), docs, chunks, jobs, now, "DOCUMENT_DELETED")
 
 
+def deleted_knowledge_bases(messages: DataFrame, kbs: DataFrame) -> DataFrame:
+    """(id) of knowledge bases that valid knowledge_base.delete messages of their owners name."""
+    asked = messages.filter("type = 'knowledge_base.delete'").select(F.col("knowledge_base_id").alias("id"), "owner_id").distinct()
+    return kbs.join(asked, ["id", "owner_id"], "left_semi").select("id")
+
+
 def apply_kb_deletes(messages: DataFrame, docs: DataFrame, kbs: DataFrame, chunks: DataFrame, jobs: DataFrame, now: Column) -> dict[str, DataFrame]:
     """As apply_document_deletes for whole knowledge bases, + the knowledge bases with deleted_at."""
-    asked = messages.filter("type = 'knowledge_base.delete'").select(F.col("knowledge_base_id").alias("id"), "owner_id").distinct()
-    gone = kbs.join(asked, ["id", "owner_id"], "left_semi").select("id")
+    gone = deleted_knowledge_bases(messages, kbs)
     keys = docs.join(gone.withColumnRenamed("id", "knowledge_base_id"), "knowledge_base_id", "left_semi").select("id")
     out = _cascade(keys, docs, chunks, jobs, now, "KNOWLEDGE_BASE_DELETED")
     k = kbs.join(gone.withColumn("_hit", F.lit(True)), "id", "left").withColumn("deleted_at", F.when(F.col("_hit"), F.coalesce("deleted_at", now)).otherwise(F.col("deleted_at")))

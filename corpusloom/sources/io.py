@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lifecycle import validate_messages
 from ..schemas import ANSWER_QUESTIONS, QUESTIONS, QUEUE_MESSAGE
+from .snapshots import SnapshotTable
 
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -34,67 +31,27 @@ def read_messages(df: DataFrame, column: str = "value") -> DataFrame:
     return validate_messages(df.select(F.from_json(F.col(column).cast("string"), QUEUE_MESSAGE).alias("m")).select("m.*"))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replaces the chunks of every (document_id, index_version) in `chunks`; writing the same twice changes nothing.
+def chunk_table(spark: SparkSession, path: str) -> SnapshotTable:
+    """The chunk index at a path: replaced by (document_id, index_version), a whole state at a time."""
+    return SnapshotTable(spark, path, ["document_id", "index_version"])
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame | None:
+    """The chunks of the newest state, None where none were written; a write that goes on meanwhile isn't seen."""
+    return chunk_table(spark, path).read()
+
 
-    The table is partitioned by a hash of the document, and only partitions that hold one of the documents are
-    rewritten (dynamic partition overwrite), so a small change doesn't rewrite a large index.
+def write_chunks(chunks: DataFrame, path: str, writer: str | None = None, batch: int | None = None) -> bool:
+    """Replaces the chunks of every (document_id, index_version) in `chunks` at once; writing the same twice changes nothing.
+
+    Only the buckets of these documents are rewritten. False if this batch of this writer was written before.
     """
-    spark = chunks.sparkSession
-    new = chunks.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(64)).cast("int"))
-    old = _old(spark, path)
-    if old is not None:
-        keys = new.select("document_id", "index_version", "bucket").distinct()
-        old = old.join(keys.select("bucket").distinct(), "bucket", "left_semi").join(keys.drop("bucket"), ["document_id", "index_version"], "left_anti")
-        both = old.unionByName(new, allowMissingColumns=True)
-        aside = _aside(path)  # what is read can't be overwritten: the new partitions are made aside first
-        both.write.mode("overwrite").parquet(aside)
-        new = spark.read.parquet(aside)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    if old is not None:
-        _drop_folder(spark, aside)
-
-
-def keep_chunks(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> None:
-    """Replaces the chunk table by the rows that `keep` leaves of it; only partitions that lose rows are rewritten, and a second run changes nothing."""
-    old = _old(spark, path)
-    if old is None:
-        return
-    gone = old.join(keep(old).select("document_id").distinct(), "document_id", "left_anti").select("document_id", "bucket").distinct()
-    aside = _aside(path)  # the keys are settled before the table changes
-    gone.write.mode("overwrite").parquet(aside)
-    gone = spark.read.schema(gone.schema).parquet(aside)
-    touched = old.join(gone.select("bucket").distinct(), "bucket", "left_semi")
-    left = touched.join(gone.select("document_id"), "document_id", "left_anti")
-    next_ = _aside(path)
-    left.write.mode("overwrite").parquet(next_)
-    left = spark.read.schema(left.schema).parquet(next_)
-    # a dynamic overwrite leaves partitions that get no rows as they are
-    empty = gone.select("bucket").distinct().join(left.select("bucket").distinct(), "bucket", "left_anti")
-    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for row in empty.collect():  # at most the 64 buckets
-        _drop_folder(spark, f"{path.rstrip('/')}/bucket={row.bucket}")
-    for folder in (aside, next_):
-        _drop_folder(spark, folder)
-
-
-def _aside(path: str) -> str:
-    """A folder beside the table of this run alone, so that two writers never share one."""
-    return f"{path.rstrip('/')}_next-{uuid.uuid4().hex}"
-
-
-def _drop_folder(spark: SparkSession, path: str) -> None:
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-
-def _old(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    return chunk_table(chunks.sparkSession, path).replace(chunks, writer=writer, batch=batch)
+
+
+def drop_chunks(documents: DataFrame, path: str, writer: str | None = None, batch: int | None = None) -> bool:
+    """Removes the chunks of documents (document_id), all versions; a second run changes nothing."""
+    return chunk_table(documents.sparkSession, path).replace(None, documents.select("document_id"), writer, batch)
 
 
 def append_usage(df: DataFrame, path: str, ts: str = "created_at") -> None:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators import limits
 from corpusloom.plans import queries
 from corpusloom.functions.costs import Pricing
-from corpusloom.sources import append_usage, load_questions, read_files, read_messages, report_markdown, write_chunks
-from corpusloom.streaming import IndexTables, rate_limit_stream, start_index_stream, start_usage_stream
+from corpusloom.sources import append_usage, load_questions, read_chunks, read_files, read_messages, report_markdown, write_chunks
+from corpusloom.streaming import IndexTables, counter_table, outcome_table, rate_limit_stream, start_index_stream, start_usage_stream
 from corpusloom.streaming.jobs import index_batch
 
 
@@ -18,7 +18,7 @@ def test_chunk_writes_replace_by_key(spark, tmp_path):
     write_chunks(make([("a", 1, "x"), ("b", 1, "y")]), path)
     for _ in range(2):
         write_chunks(make([("a", 1, "new"), ("a", 2, "z")]), path)
-    got = {(r.document_id, r.index_version, r.content) for r in spark.read.parquet(path).collect()}
+    got = {(r.document_id, r.index_version, r.content) for r in read_chunks(spark, path).collect()}
     assert got == {("a", 1, "new"), ("a", 2, "z"), ("b", 1, "y")}
 
 
@@ -65,8 +65,8 @@ def test_index_stream_is_idempotent(spark, tmp_path):
     )
     for n in range(2):  # a second stream replays everything
         start_index_stream(source, tables, str(tmp_path / f"checkpoint{n}"), available_now=True).awaitTermination(60)
-    assert spark.read.parquet(tables.chunks_path).count() == 1
-    assert {(r.document_id, r.status, r.chunk_count) for r in spark.read.parquet(tables.outcomes_path).collect()} == {("d", "ready", 1)}
+    assert read_chunks(spark, tables.chunks_path).count() == 1
+    assert {(r.document_id, r.status, r.chunk_count) for r in outcome_table(spark, tables.outcomes_path).read().collect()} == {("d", "ready", 1)}
 
 
 def test_index_stream_routes_deletes(spark, tmp_path):
@@ -90,7 +90,7 @@ def test_index_stream_routes_deletes(spark, tmp_path):
     write_chunks(spark.createDataFrame([(d[0], 1, "x") for d in docs[:3]], "document_id string, index_version int, content string"), tables.chunks_path)
     for n in range(2):
         start_index_stream(source, tables, str(tmp_path / f"checkpoint{n}"), available_now=True).awaitTermination(60)
-        assert {r.document_id for r in spark.read.parquet(tables.chunks_path).collect()} == {ids["e"], "new"}
+        assert {r.document_id for r in read_chunks(spark, tables.chunks_path).collect()} == {ids["e"], "new"}
     assert seen["gone"] == {ids["d"], "in-x"} and not requeued
     assert {r.id for r in seen["knowledge_bases"] if r.deleted_at} == {ids["x"]}
 
@@ -119,16 +119,16 @@ def test_index_stream_applies_claims(spark, tmp_path):
     for n in range(2):
         start_index_stream(source, tables, str(tmp_path / f"checkpoint{n}"), available_now=True).awaitTermination(60)
         assert [r[3:7] for r in state] == [("running", "parsing", 10, 1)]
-        assert [r.content for r in spark.read.parquet(tables.chunks_path).collect()] == ["first"]
+        assert [r.content for r in read_chunks(spark, tables.chunks_path).collect()] == ["first"]
         contents.append(b"second")
-    assert not [x for x in tmp_path.iterdir() if "_next" in x.name]
+    assert not list((tmp_path / "chunks" / "aside").iterdir())
 
 
 def test_usage_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame([("chat", "m", "succeeded", 5, 0.5), ("chat", "m", "failed", 1, 0.0)], "request_type string, model string, status string, prompt_tokens int, estimated_cost_usd double")
-    q = start_usage_stream(stream(spark, df, str(tmp_path / "u")), "usage_counts", str(tmp_path / "c"), available_now=True)
+    q = start_usage_stream(stream(spark, df, str(tmp_path / "u")), str(tmp_path / "counts"), str(tmp_path / "c"), available_now=True)
     q.awaitTermination(60)
-    assert [tuple(r) for r in spark.table("usage_counts").collect()] == [("chat", "m", 2, 1, 6, 0.5)]
+    assert [tuple(r) for r in counter_table(spark, str(tmp_path / "counts")).read().drop("counter_key").collect()] == [("chat", "m", 2, 1, 6, 0.5)]
 
 
 def test_rate_limit_stream_equals_replay(spark, tmp_path):
