@@ -3,11 +3,15 @@
 A rule fits its host and all subdomains if the url's path starts with the rule's
 path; the longest rule wins.  Each distinct (host, path) of the table is expanded
 into every host suffix with every path prefix of a length that some rule has.
-Expressions and rules meet in an equi-join on the first 32 bits of their SHA-256;
-the full digests then confirm, and the longest confirmed rule is taken.  Of rules
+Expressions and rules meet in an equi-join on the first 32 bits of their SHA-256 as a number;
+what a url has met is then confirmed by the full digests, and the longest confirmed rule is taken.  Of rules
 of the same length the one with the longer host wins, then block before allow.
 
-Defined cases: a null url or one without "://" has empty host and path; no rule
+Few rules are broadcast.  More are shuffled: expressions whose prefix falls into no cell of the rules' (a table of
+CELLS numbers at most) go before that, and of a prefix that many urls have, rule or false hit, the
+expressions are dealt over salts and the rule is copied to each.
+
+Defined cases: an empty table gives an empty one; a url of any length is one row, of as many expressions as its host has labels times the rules' lengths; a null url or one without "://" has empty host and path; no rule
 fits an empty host (a rule with an empty host fits nothing); repeated urls are judged once and joined back, so
 repeated rows stay; other columns pass through unless named like a result column.
 """
@@ -17,10 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import small, written
 
 #: The rules of the check.
 DEFAULT_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: Rules (some 300 bytes each) of which so many may be broadcast; cells that rules' prefixes fall into.
+BROADCAST_RULES, CELLS = 100_000, 1 << 20
+#: Expressions of a prefix that a task should get.
+HOT = 100_000
 #: Distinct urls with a rule of which so many (some 400 bytes each) may be broadcast.
 BROADCAST_URLS = 100_000
 #: The verdict where no rule fits.
@@ -40,11 +48,26 @@ def rules_table(spark: SparkSession, rules=DEFAULT_RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), "host string, path string, verdict string")
 
 
-def _short(digest: str) -> Column:
-    return F.substring(digest, 1, 8)
+def _short(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def _met(asked: DataFrame, known: DataFrame, broadcast_rules: int, hot: int) -> DataFrame:
+    """asked (.., short, digest) beside the rules known (short, full, found) of the same short prefix, confirmed or not."""
+    if known.count() <= broadcast_rules:
+        return asked.join(F.broadcast(known), "short")
+    cell = F.pmod("short", F.lit(CELLS))
+    asked = asked.withColumn("cell", cell).join(F.broadcast(known.select(cell.alias("cell")).distinct()), "cell", "left_semi").drop("cell")
+    asked = written(asked, "expressions")
+    heavy = written(asked.groupBy("short").agg(F.ceil(F.count("*") / hot).cast("int").alias("salts")).filter("salts > 1"), "hot")
+    mark = small(heavy, heavy.count())
+    salts = F.coalesce("salts", F.lit(1))
+    asked = asked.join(mark, "short", "left").withColumn("salt", F.pmod(F.xxhash64("host", "path"), salts).cast("int")).drop("salts")
+    known = known.join(mark, "short", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return asked.join(known, ["short", "salt"])
 
 
-def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = DEFAULT_VERDICT, broadcast_rules: int = BROADCAST_RULES, hot: int = HOT) -> DataFrame:
     """pages with host, path, rule (null where none fits) and verdict.
 
     The distinct lengths of rule paths are read on the driver: at most as many as the longest path has characters.
@@ -58,12 +81,15 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url_col: str = "url", defau
 
     urls = pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).filter("host <> ''").distinct()
     asked = urls.select("host", "path", expression.alias("e")).select("host", "path", F.sha2(F.concat_ws("\0", "e.h", "e.p"), 256).alias("digest"))
+    asked = asked.withColumn("short", _short(F.col("digest")))
     known = rules.select(
         F.sha2(F.concat_ws("\0", "host", "path"), 256).alias("full"),
         F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), (F.col("verdict") == "block").alias("blocks"), F.concat("host", "path").alias("rule"), "verdict").alias("found"),
     )
-    met = asked.join(known, _short("digest") == _short("full")).filter("digest = full")
-    best = written(met.groupBy("host", "path").agg(F.max("found").alias("_best")), "best")
+    known = known.withColumn("short", _short(F.col("full")))
+    # confirmed where the hits of a url are gathered: a filter would be taken into the join's key
+    confirmed = F.max(F.when(F.col("digest") == F.col("full"), F.col("found")))
+    best = written(_met(asked, known, broadcast_rules, hot).groupBy("host", "path").agg(confirmed.alias("_best")).filter("_best is not null"), "best")
     named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     if best.count() <= BROADCAST_URLS:
         out = named.join(F.broadcast(best), ["host", "path"], "left")

@@ -1,6 +1,7 @@
 """Quality rules, line dedup and URL filters: small cases, and plans without Python."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import linededup, quality, urlfilter
 
@@ -64,3 +65,32 @@ def test_rule_order(spark):
     out = {r.page_id: (r.rule, r.verdict) for r in urlfilter.url_verdicts(df, rules).collect()}
     assert out == {1: ("a.b/x", "allow"), 2: ("c/", "block"), 3: (None, "allow"), 4: ("d", "block")}
     assert urlfilter.url_verdicts(df, rules.limit(0)).count() == 4
+
+
+@pytest.mark.parametrize("few,hot", [(100_000, 100_000), (0, 100_000), (0, 3)])
+def test_urls_with_broadcast_and_shuffled_rules(spark, few, hot):
+    """All three ways of the join give the same, for hosts and paths of any length."""
+    long_host, long_path = ".".join(["label"] * 200) + ".example.net", "/en/" + "x" * 50_000
+    urls = [f"http://h{i}.example.net/en/{i}" for i in range(40)] + [f"http://h{i}.com/de/" for i in range(40)] + [f"http://{long_host}{long_path}", "http://" + "a" * 50_000, None, "", "http://example.com/de/x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = urlfilter.rules_table(spark, [*urlfilter.DEFAULT_RULES, *((f"h{i}.com", "/de/", "block") for i in range(20))])
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.url_verdicts(df, rules, broadcast_rules=few, hot=hot).collect()}
+    assert [got[i] for i in range(40)] == [("example.net/en/", "allow")] * 40
+    assert [got[40 + i] for i in range(40)] == [(f"h{i}.com/de/", "block") if i < 20 else (None, "allow") for i in range(40)]
+    assert [got[i] for i in range(80, 85)] == [("example.net/en/", "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("example.com/de/", "block")]
+
+
+def test_urls_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "page_id long, url string")
+    assert urlfilter.url_verdicts(df, urlfilter.rules_table(spark)).collect() == []
+
+
+def test_urls_meet_rules_by_the_short_prefix_alone(spark):
+    """The join's only key is the number of 32 bits; the digests are compared after it."""
+    asked = spark.createDataFrame([("h", "/p", "aa", 7), ("h", "/p", "bb", 7)], "host string, path string, digest string, short long")
+    known = spark.createDataFrame([(7, "aa", "rule")], "short long, full string, found string")
+    met = urlfilter._met(asked, known, 10, 10)
+    best = met.groupBy("host", "path").agg(F.max(F.when(F.col("digest") == F.col("full"), F.col("found"))).alias("best"))
+    join = next(line for line in plan(best).splitlines() if "Join" in line)
+    assert "short" in join and "digest" not in join and "full" not in join
+    assert met.count() == 2 and best.first().best == "rule"
