@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.costs import Pricing
-from ..operators import chat, embedding, evaluation, governance, lifecycle, limits, retrieval
+from ..operators import chat, embedding, evaluation, governance, inverted, lifecycle, limits, retrieval
 from ..sources.checkpoints import checkpointed
 from .mapping import DOCUMENTS_SQL, JOBS_SQL, KBS_SQL, MESSAGES_SQL, PIECES_SQL, USAGE_SQL, documents, jobs, knowledge_bases, messages, pieces, table, usage
 from .registry import query
@@ -86,6 +86,15 @@ def sparse_topk(spark, sf_dir):
     return retrieval.sparse_topk(*questions(spark, sf_dir), 20).select("query_id", "chunk_id", "sparse_coverage", "sparse_score", "rank")
 
 
+@query(f"with {SPARSE_SQL} select query_id, chunk_id, sparse_coverage, sparse_score, rank from sparse")
+def indexed_topk(spark, sf_dir):
+    """The search by an inverted index of all documents, built first."""
+    q, d = questions(spark, sf_dir)
+    index = inverted.build_index(d)
+    index = inverted.InvertedIndex(checkpointed(index.postings), index.blocks)
+    return inverted.topk(q, index, 20).select("query_id", "chunk_id", "sparse_coverage", "sparse_score", "rank")
+
+
 # offline embeddings of all questions and documents, and the 20 nearest documents of each question
 _SECOND = """texts as (select 0 as side, item_id as id, text from benchmark union all select 1, doc_id, text from documents),
   low as (select side, id, lower(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) as t from texts), chars as (select *, string_split(t, '') as cs from low),
