@@ -342,9 +342,9 @@ def linked_components(postings: DataFrame, nodes: DataFrame, percent: int, may_l
         first = rows.groupBy("shingle").agg(F.min(F.struct(order, *fields, *more)).alias("hub"))
         return rows.join(first, "shingle").filter("rep <> hub.rep").filter(may_link(F.col, of_hub))
 
-    def still_open(labels):
-        """Postings whose shingle still meets in different components, with their component and the number of all."""
-        marked = postings.join(small(labels.withColumnRenamed("node", "rep"), n_live), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    def still_open(rows, labels):
+        """Those postings of rows whose shingle still meets in different components, with their component and the number of all; a shingle that is closed stays so."""
+        marked = rows.join(small(labels.withColumnRenamed("node", "rep"), n_live), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         groups = marked.groupBy("shingle").agg(F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "all")
         return written(few(marked.join(groups, "shingle"), n_postings), "open")
 
@@ -352,7 +352,7 @@ def linked_components(postings: DataFrame, nodes: DataFrame, percent: int, may_l
     tested = written(few(hubs.select(*ordered(F.col("rep"), F.col("hub.rep"))).distinct(), n_postings), "pairs")
     links = written(few(_verified(tested, nodes, percent), n_postings), "links")
     labels = components(links)
-    open_ = still_open(labels)
+    open_ = still_open(postings, labels)
     # frequent shingles are met with other hubs, so that few components are left for the blocks
     for i in range(ROUNDS):
         often = open_.filter(F.col("all") > FEW)
@@ -366,7 +366,7 @@ def linked_components(postings: DataFrame, nodes: DataFrame, percent: int, may_l
             break
         links = links.union(found)
         labels = components(links)
-        open_ = still_open(labels)
+        open_ = still_open(open_.select(postings.columns), labels)
     x, y = (open_.filter(F.col("all") <= FEW).alias(side) for side in "xy")
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
     pairs = written(few(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), n_postings), "pairs")
