@@ -2,7 +2,8 @@
 
 Such a window is neither aligned to the clock (window()) nor extended by hits
 (session_window()), so keys are folded in time order.  A fold keeps two numbers for
-each key, so a hot key is a sorted scan in constant memory.
+each key.  Keys with more than HOT_ROWS rows are counted first and not folded: they are spread over
+tasks, and their windows found by pointers (chains.py).
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import chains
+
+#: Rows of a key that one task folds.
+HOT_ROWS = 1_000_000
 EXEMPT_PATHS = ("/health", "/ready", "/metrics")
 
 
@@ -41,17 +46,36 @@ def _fold(key: str, limit: int, window_s: float):
     return run
 
 
-def rate_limit_replay(events: DataFrame, key: str, ts: str, limit: int, window_s: float) -> DataFrame:
+def _split(df: DataFrame, key: str, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of keys that a task folds, rows of keys with more than hot_rows; None where there is no such key)."""
+    hot = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key)
+    n = hot.count()  # at most all rows / hot_rows
+    if not n:
+        return df, None
+    mark = F.broadcast(hot) if n <= 100_000 else hot
+    return df.join(mark, key, "left_anti"), df.join(mark, key, "left_semi")
+
+
+def rate_limit_replay(events: DataFrame, key: str, ts: str, limit: int, window_s: float, hot_rows: int = HOT_ROWS) -> DataFrame:
     """events + hit_no, allowed, retry_after_ms (till the window ends). Denied hits count; equal times are taken in the order of all columns.
 
-    Keys are hash-partitioned and sorted by Spark; a task streams over its rows, so a hot key needs no memory of its own.
+    Keys are hash-partitioned and sorted by Spark, and a task streams over its rows; keys of more than hot_rows rows are spread over tasks.
     Null keys are not limited and left out.
     """
     names = events.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", hit_no int, allowed boolean, retry_after_ms long"
     df = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_s", F.unix_micros(ts))
     rest = [c for c in names if c not in (key, ts)]
-    return df.repartition(key).sortWithinPartitions(key, "_s", *rest).mapInPandas(_fold(key, limit, window_s), schema)
+    cold, hot = _split(df, key, hot_rows)
+    out = cold.repartition(key).sortWithinPartitions(key, "_s", *rest).mapInPandas(_fold(key, limit, window_s), schema)
+    if hot is None:
+        return out
+    window = round(window_s * 1_000_000)
+
+    def outputs(t: np.ndarray, n: chains.Numbered) -> dict:
+        return {"hit_no": (n.hits_before + 1).astype(np.int32), "allowed": n.hits_before < limit, "retry_after_ms": (np.where(n.hits_before > 0, n.opened, t) + window - t) // 1000}
+
+    return out.unionByName(chains.replay(hot, key, "_s", None, rest, limit, window, outputs, schema))
 
 
 def login_key(ip, email):
@@ -59,8 +83,11 @@ def login_key(ip, email):
     return F.substring(F.sha2(F.concat_ws("\0", ip, F.lower(F.trim(email))), 256), 1, 24)
 
 
-def login_lock_replay(attempts: DataFrame, key: str = "key", ts: str = "ts", success: str = "success", limit: int = 5, window_s: float = 900) -> DataFrame:
-    """attempts + failures (in the window, before this attempt), blocked. Blocked attempts aren't recorded; a success that isn't blocked resets."""
+def login_lock_replay(attempts: DataFrame, key: str = "key", ts: str = "ts", success: str = "success", limit: int = 5, window_s: float = 900, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """attempts + failures (in the window, before this attempt), blocked. Blocked attempts aren't recorded; a success that isn't blocked resets.
+
+    Keys are folded as in rate_limit_replay, those of more than hot_rows rows spread over tasks.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in attempts.schema) + ", failures int, blocked boolean"
     window = round(window_s * 1_000_000)
 
@@ -83,7 +110,16 @@ def login_lock_replay(attempts: DataFrame, key: str = "key", ts: str = "ts", suc
 
     rest = [c for c in attempts.columns if c not in (key, ts)]
     df = attempts.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_s", F.unix_micros(ts))
-    return df.repartition(key).sortWithinPartitions(key, "_s", *rest).mapInPandas(run, schema)
+    cold, hot = _split(df, key, hot_rows)
+    out = cold.repartition(key).sortWithinPartitions(key, "_s", *rest).mapInPandas(run, schema)
+    if hot is None:
+        return out
+
+    def outputs(t: np.ndarray, n: chains.Numbered) -> dict:
+        failures = np.minimum(n.hits_before, limit).astype(np.int32)
+        return {"failures": failures, "blocked": failures >= limit}
+
+    return out.unionByName(chains.replay(hot, key, "_s", success, rest, limit, window, outputs, schema))
 
 
 def denied_keys(events: DataFrame, key: str, limit: int) -> DataFrame:

@@ -582,29 +582,45 @@ def fold_job_events(spark, sf_dir):
 # limits
 
 
-@query(
-    """with recursive e as (select event_id, user_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+_RATE_SQL = """with recursive e as (select event_id, user_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as rn from events),
   f as (select event_id, user_id, rn, us, us as opened, 1 as n from e where rn = 1 union all select e.event_id, e.user_id, e.rn, e.us, case when e.us >= f.opened + 86400000000 then e.us else f.opened end, case when e.us >= f.opened + 86400000000 then 1 else f.n + 1 end from f join e on e.user_id = f.user_id and e.rn = f.rn + 1)
   select event_id, n as hit_no, n <= 3 as allowed, ((opened + 86400000000 - us) // 1000)::bigint as retry_after_ms from f"""
-)
+
+
+@query(_RATE_SQL)
 def rate_limit_replay(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     return limits.rate_limit_replay(e, "user_id", "ts", 3, 86_400).select("event_id", "hit_no", "allowed", "retry_after_ms")
 
 
-@query(
-    """with recursive e as (select event_id, user_id, epoch_us(ts) as us, event_type = 'purchase' as ok, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+@query(_RATE_SQL)
+def rate_limit_replay_spread(spark, sf_dir):
+    """As rate_limit_replay, with every key as if it were hot."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return limits.rate_limit_replay(e, "user_id", "ts", 3, 86_400, hot_rows=0).select("event_id", "hit_no", "allowed", "retry_after_ms")
+
+
+_LOCK_SQL = """with recursive e as (select event_id, user_id, epoch_us(ts) as us, event_type = 'purchase' as ok, row_number() over (partition by user_id order by ts, event_id) as rn from events),
   f as (select event_id, user_id, rn, us, ok, 0 as before, false as blocked, case when ok then 0 else 1 end as n, us as opened from e where rn = 1
   union all select e.event_id, e.user_id, e.rn, e.us, e.ok, case when f.n > 0 and e.us >= f.opened + 345600000000 then 0 else f.n end, case when f.n > 0 and e.us >= f.opened + 345600000000 then 0 else f.n end >= 4,
     case when case when f.n > 0 and e.us >= f.opened + 345600000000 then 0 else f.n end >= 4 then f.n when e.ok then 0 else case when f.n > 0 and e.us >= f.opened + 345600000000 then 0 else f.n end + 1 end,
     case when case when f.n > 0 and e.us >= f.opened + 345600000000 then 0 else f.n end = 0 then e.us else f.opened end from f join e on e.user_id = f.user_id and e.rn = f.rn + 1)
   select event_id, before as failures, blocked from f"""
-)
+
+
+@query(_LOCK_SQL)
 def login_lock_replay(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("success"))
     return limits.login_lock_replay(e, limit=4, window_s=345_600).select("event_id", "failures", "blocked")
 
 
+@query(_LOCK_SQL)
+def login_lock_replay_spread(spark, sf_dir):
+    """As login_lock_replay, with every key as if it were hot."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("success"))
+    return limits.login_lock_replay(e, limit=4, window_s=345_600, hot_rows=0).select("event_id", "failures", "blocked")
+
+
 @query("select user_id from events group by 1 having count(*) > 60")
 def denied_keys(spark, sf_dir):
     return limits.denied_keys(table(spark, sf_dir, "events"), "user_id", 60)
