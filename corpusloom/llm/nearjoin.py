@@ -16,11 +16,11 @@ and m only and cannot lose a link.
 Equal sets are one class, found by a 128-bit digest, and only one of them
 takes part.  Classes that share a prefix shingle are first compared with one of
 them (a star), which joins groups of near copies around their first member.
-Frequent shingles are then met with up to ROUNDS other members, while that joins components.  What is left are shingles that still meet in different components:
+What is left are shingles that still meet in different components:
 
 * of at most FEW sets: their pairs are rows, at most (FEW - 1) / 2 for each posting;
 * of more sets: the sets are dealt into blocks of bounded size, near copies
-  (those whose most frequent open shingle is the same) side by side, and
+  (those whose most frequent open shingle is the same, or few and near such ones) side by side, and
   each pair of blocks that shares such a shingle is one group.  It intersects its
   sets by a matrix product and gives back only links that join components.
 
@@ -55,9 +55,9 @@ CELLS, BLOCKS = 1 << 18, 16
 #: A set takes m >= n / LEAST_SHARE matches at least; what verifying a pair costs in postings.
 LEAST_SHARE, VERIFY_COST = 12, 8.0
 #: Open shingles of at most so many sets make pairs as rows; shingles that a block holds for the sets of other shingles.
-FEW, BLOCK = 32, 250_000
-#: Further hubs that a frequent open shingle is met with before blocks are made.
-ROUNDS = 3
+FEW, BLOCK = 32, 100_000
+#: What a set adds to its block besides its shingles, so that a block has at most BLOCK / SET sets.
+SET = 32
 #: Pairs of a hub for which its set travels once.
 PARTNERS = 512
 #: Shared shingles that a task remembers, so that it sends a delegate for each only once.
@@ -304,7 +304,15 @@ def _block_links(percent: int):
 
 def _blocks(hot: DataFrame, nodes: DataFrame, percent: int, n_live: int) -> DataFrame:
     """Links (a, b) between sets of different components that share a posting of hot (shingle, rep, n, component, all)."""
-    homes = hot.groupBy("rep", "n", "component").agg(F.max(F.struct("all", "shingle"))["shingle"].alias("home"))
+    first = F.max(F.struct("all", "shingle"))
+    homes = written(few(hot.groupBy("rep", "n", "component").agg(first.alias("home")), n_live), "homes")
+    # a home of few sets joins the most frequent one that its sets' shingles lead to, so that blocks are full
+    full = homes.groupBy("home").agg((F.sum(F.col("n") + SET) >= BLOCK // 2).alias("full"))
+    held = hot.select("shingle", "rep").join(small(homes.select("rep", "home"), n_live), "rep")
+    led = held.groupBy("shingle").agg(F.max("home").alias("led"))
+    led = held.join(led, "shingle").groupBy("rep").agg(F.max("led").alias("led"))
+    homes = homes.join(small(full, n_live), "home").join(small(led, n_live), "rep").select("rep", (F.col("n") + SET).alias("n"), "component", F.when(F.col("full"), F.col("home")).otherwise(F.col("led"))["shingle"].alias("home"))
+    homes = written(few(homes, n_live), "homes")
     # a component that fills blocks of its own need not be compared with itself
     sizes = homes.groupBy("home", "component").agg(F.sum("n").alias("size")).withColumn("own", F.when(F.col("size") >= BLOCK // 4, F.col("component")))
     chunks = sizes.groupBy("home", "own").agg(F.ceil(F.sum("size") / BLOCK).alias("chunks"))
@@ -337,36 +345,14 @@ def linked_components(postings: DataFrame, nodes: DataFrame, percent: int, may_l
 
     fields = [c for c in postings.columns if c != "shingle"]
 
-    def with_hub(rows, order, *more):
-        """rows beside the posting of their shingle that comes first, where the two may link."""
-        first = rows.groupBy("shingle").agg(F.min(F.struct(order, *fields, *more)).alias("hub"))
-        return rows.join(first, "shingle").filter("rep <> hub.rep").filter(may_link(F.col, of_hub))
-
-    def still_open(rows, labels):
-        """Those postings of rows whose shingle still meets in different components, with their component and the number of all; a shingle that is closed stays so."""
-        marked = rows.join(small(labels.withColumnRenamed("node", "rep"), n_live), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        groups = marked.groupBy("shingle").agg(F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "all")
-        return written(few(marked.join(groups, "shingle"), n_postings), "open")
-
-    hubs = with_hub(postings, F.col("rep").alias("at"))
+    hubs = postings.join(postings.groupBy("shingle").agg(F.min(F.struct(*fields)).alias("hub")), "shingle").filter("rep <> hub.rep").filter(may_link(F.col, of_hub))
     tested = written(few(hubs.select(*ordered(F.col("rep"), F.col("hub.rep"))).distinct(), n_postings), "pairs")
     links = written(few(_verified(tested, nodes, percent), n_postings), "links")
     labels = components(links)
-    open_ = still_open(postings, labels)
-    # frequent shingles are met with other hubs, so that few components are left for the blocks
-    for i in range(ROUNDS):
-        often = open_.filter(F.col("all") > FEW)
-        if often.isEmpty():
-            break
-        hubs = with_hub(often, F.xxhash64("rep", F.lit(i)).alias("at"), "component").filter("component <> hub.component")
-        asked = written(few(hubs.select(*ordered(F.col("rep"), F.col("hub.rep"))).distinct().join(tested, ["a", "b"], "left_anti"), n_postings), "pairs")
-        found = written(few(_verified(asked, nodes, percent), n_postings), "links")
-        tested = tested.union(asked)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        labels = components(links)
-        open_ = still_open(open_.select(postings.columns), labels)
+    # postings whose shingle still meets in different components
+    marked = postings.join(small(labels.withColumnRenamed("node", "rep"), n_live), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    groups = marked.groupBy("shingle").agg(F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "all")
+    open_ = written(few(marked.join(groups, "shingle"), n_postings), "open")
     x, y = (open_.filter(F.col("all") <= FEW).alias(side) for side in "xy")
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
     pairs = written(few(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), n_postings), "pairs")
