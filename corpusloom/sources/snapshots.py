@@ -176,6 +176,8 @@ class SnapshotTable:
         touched = out[0].select(_DEPTH, _BITS)
         for keys in out[1:]:
             touched = touched.union(keys.select(_DEPTH, _BITS))
+        if manifest is None:  # the first bucket holds all keys, also where there are no rows yet
+            touched = touched.union(self.spark.createDataFrame([(0, 0)], f"{_DEPTH} int, {_BITS} long"))
         touched = settled(touched.distinct(), "touched")
         many = touched.count()
         in_touched = (F.col("depth") == F.col(_DEPTH)) & (F.col("bits") == F.col(_BITS))
