@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fallback_terms, lexical_tokens, primary_terms, search_terms, token_overlap
+from ..sources.checkpoints import checkpointed
+from .embedding import hashed_vector, with_embeddings
 
 #: Query vectors in one broadcast block: 4096 of 1024 numbers are 16 MB.
 QUERY_BLOCK = 4096
 #: Chunk vectors of a group that meets a block of queries.
 CHUNK_BLOCK = 8192
+#: Texts that are embedded and compared at a time.
+TEXT_BLOCK = 1024
 #: A query-term table of at most so many rows is broadcast against the chunks.
 BROADCAST_TERMS = 1_000_000
 #: Occurrences of words and bigrams count 1, of single CJK characters 0.1.
@@ -170,6 +174,43 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6, b
     return ranked(found, "dense").filter(F.col("rank") <= k)
 
 
+def dense_text_topk(queries: DataFrame, chunks: DataFrame, k: int, dimension: int = 1024, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """dense_topk of chunks (chunk_id, knowledge_base_id, content) by their offline embeddings, which no task gives away: texts are embedded and compared where they are read.
+
+    queries as for dense_topk, up to `block` of them; more go by embedded chunks and dense_topk's blocks.
+    """
+    kinds = dict(queries.dtypes), dict(chunks.dtypes)
+    asked = queries.filter("embedding is not null").select("query_id", "knowledge_base_id", "embedding")
+    rows = asked.limit(block + 1).collect()
+    if len(rows) > block:
+        return dense_topk(queries, with_embeddings(chunks, "content", dimension), k, digits, block)
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r.knowledge_base_id, []).append(r)
+    sent = queries.sparkSession.sparkContext.broadcast({kb: ([r.query_id for r in rs], _unit([r.embedding for r in rs])) for kb, rs in groups.items()})
+
+    def stream(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict = {kb: {} for kb in sent.value}
+        known: dict = {}
+        for pdf in pdfs:
+            for kb, part in pdf.groupby("knowledge_base_id"):
+                for a in range(0, len(part) if kb in sent.value else 0, TEXT_BLOCK):
+                    own = part.iloc[a : a + TEXT_BLOCK].sort_values("chunk_id")
+                    vectors = [hashed_vector(t or "", dimension, known) for t in own["content"]]
+                    _best(*sent.value[kb], own["chunk_id"].to_numpy(), vectors, k, digits, best[kb])
+        for kb, own in best.items():
+            yield from _rows(sent.value[kb][0], own)
+
+    texts = chunks.select("chunk_id", "knowledge_base_id", "content")
+    return ranked(over_all_cores(texts).mapInPandas(stream, f"query_id {kinds[0]['query_id']}, chunk_id {kinds[1]['chunk_id']}, similarity double"), "dense").filter(F.col("rank") <= k)
+
+
+def over_all_cores(df: DataFrame) -> DataFrame:
+    """df in a partition for each core at least: work in Python on a small file would else be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, knowledge_base_id, term, is_primary), distinct, of queries (query_id, knowledge_base_id, question)."""
     terms = lambda c, flag: F.transform(F.array_distinct(c), lambda t: F.struct(t.alias("term"), F.lit(flag).alias("is_primary")))
@@ -275,12 +316,14 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: RetrievalConfig = Re
 
     results: one row a query and hit with content and scores; responses: one row a query with strategy, counts and flags.
     """
-    dense = dense_topk(queries, chunks, config.dense_top_k) if config.dense_top_k else None
-    sparse = sparse_topk(queries, chunks, config.sparse_top_k) if config.sparse_top_k else None
+    # both lists and the hits are read several times: computed once
+    dense = checkpointed(dense_topk(queries, chunks, config.dense_top_k)) if config.dense_top_k else None
+    sparse = checkpointed(sparse_topk(queries, chunks, config.sparse_top_k)) if config.sparse_top_k else None
     found = min_score(strategy_results(dense, sparse, config), config.minimum_score)
     body = chunks.select("chunk_id", "document_id", "content")
     found = found.join(body, "chunk_id").join(queries.select("query_id", "question"), "query_id")
     if config.rerank_enabled:
+        found = checkpointed(found)
         scores = scores if scores is not None else lexical_rerank_scores(found, config.rerank_top_k)
         found = rerank_with_fallback(found, scores, config.rerank_top_k)
     else:

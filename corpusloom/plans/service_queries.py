@@ -83,7 +83,8 @@ SPARSE_SQL = """q as (select item_id as query_id, list_distinct(regexp_extract_a
 
 @query(f"with {SPARSE_SQL} select query_id, chunk_id, sparse_coverage, sparse_score, rank from sparse")
 def sparse_topk(spark, sf_dir):
-    return retrieval.sparse_topk(*questions(spark, sf_dir), 20).select("query_id", "chunk_id", "sparse_coverage", "sparse_score", "rank")
+    q, d = questions(spark, sf_dir)
+    return retrieval.sparse_topk(q, retrieval.over_all_cores(d), 20).select("query_id", "chunk_id", "sparse_coverage", "sparse_score", "rank")
 
 
 @query(f"with {SPARSE_SQL} select query_id, chunk_id, sparse_coverage, sparse_score, rank from sparse")
@@ -114,8 +115,8 @@ _SECOND = """texts as (select 0 as side, item_id as id, text from benchmark unio
 def _lists(spark, sf_dir):
     """The 20 best of all documents for each question by vectors and by terms; both are read several times and so computed once."""
     q, d = questions(spark, sf_dir)
-    vectors = (embedding.with_embeddings(df, column).select(key, "knowledge_base_id", "embedding") for df, key, column in ((q, "query_id", "question"), (d, "chunk_id", "content")))
-    return checkpointed(retrieval.dense_topk(*vectors, 20)), checkpointed(retrieval.sparse_topk(q, d, 20))
+    asked = embedding.with_embeddings(q, "question").select("query_id", "knowledge_base_id", "embedding")
+    return checkpointed(retrieval.dense_text_topk(asked, d, 20)), checkpointed(retrieval.sparse_topk(q, retrieval.over_all_cores(d), 20))
 
 
 @query(f"with {SPARSE_SQL}, {_SECOND} select query_id, chunk_id, similarity, sparse_score, sparse_coverage, rrf_score, rank from fused")
@@ -159,6 +160,32 @@ def retrieve_responses(spark, sf_dir):
     return retrieval.retrieve(embedding.with_embeddings(q, "question"), embedding.with_embeddings(d, "content"), retrieval.RetrievalConfig())[1]
 
 
+@query(f"with {SPARSE_SQL}, {_SECOND} select query_id, chunk_id, rrf_score as score from fused where rrf_score >= 0.02")
+def min_score(spark, sf_dir):
+    """Fused hits with a score of 0.02 at least."""
+    return retrieval.min_score(retrieval.rrf(*_lists(spark, sf_dir)), 0.02).select("query_id", "chunk_id", "score")
+
+
+@query(f"with {SPARSE_SQL}, {_SECOND} select query_id, chunk_id, similarity as score, rank from dense where similarity >= 0.5")
+def dense_strategy(spark, sf_dir):
+    """Hits of the dense strategy alone, scored by similarity, 0.5 at least."""
+    dense, sparse = _lists(spark, sf_dir)
+    found = retrieval.strategy_results(dense, sparse, retrieval.RetrievalConfig(sparse_top_k=0))
+    return retrieval.min_score(found, 0.5).select("query_id", "chunk_id", "score", "rank")
+
+
+@query(
+    f"""with {SPARSE_SQL}, {_SECOND}, {_RERANK}, n as (select query_id, count(*) as r from reranked where rank <= 5 group by 1), nd as (select query_id, count(*) as d from dense group by 1), ns as (select query_id, count(*) as s from sparse group by 1)
+  select item_id as query_id, coalesce(r, 0) as n_results, coalesce(d, 0) as n_dense, coalesce(s, 0) as n_sparse, false as rerank_fallback, 'hybrid_rrf+rerank' as strategy
+  from benchmark left join n on n.query_id = item_id left join nd on nd.query_id = item_id left join ns on ns.query_id = item_id"""
+)
+def retrieve_reranked(spark, sf_dir):
+    """retrieve() with the reranker on."""
+    q, d = questions(spark, sf_dir)
+    config = retrieval.RetrievalConfig(rerank_enabled=True)
+    return retrieval.retrieve(embedding.with_embeddings(q, "question"), embedding.with_embeddings(retrieval.over_all_cores(d), "content"), config)[1]
+
+
 # evaluation
 
 _CASES = f"""{SPARSE_SQL}, {_SECOND}, {_RERANK}, lists as (select 0 as ord, 'sparse' as strategy, query_id, chunk_id, rank from sparse union all select 1, 'dense', query_id, chunk_id, rank from dense union all select 2, 'hybrid_rrf', query_id, chunk_id, rank from fused

@@ -222,7 +222,7 @@ def valid_messages(spark, sf_dir):
 def _files(spark, sf_dir):
     """Documents as Markdown files: every 5th line a heading, blank lines between lines; as text for odd ids."""
     lines = F.split("text", "\n", -1)
-    marked = F.transform(lines, lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), (i % 3 + 1).cast("int")), F.lit(" "), F.substring(x, 1, 30))).otherwise(x))
+    marked = F.transform(lines, lambda x, i: F.when(i % 5 == 0, F.concat(F.repeat(F.lit("#"), (i % 3 + 1).cast("int")), F.lit(" "), x)).otherwise(x))
     d = documents(spark, sf_dir)
     body = F.when(d.doc_id % 2 == 0, F.array_join(marked, "\n\n")).otherwise(F.array_join(lines, "\n\n"))
     name = F.when(d.doc_id % 2 == 0, "a.md").otherwise("a.txt")

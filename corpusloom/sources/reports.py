@@ -6,25 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.costs import Pricing
+from ..operators.order import numbered
 
 FAILURES_SHOWN = 5
 
 
 def _lines(section: int, df: DataFrame, order: list, line: Column) -> DataFrame:
     """(section, ord, line) of df's rows in an order."""
-    return df.select(F.lit(section).alias("section"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("ord"), line.alias("line"))
+    return numbered(df.withColumn("_line", line), order, "ord").select(F.lit(section).alias("section"), "ord", F.col("_line").alias("line"))
 
 
 def _text(df: DataFrame, section: int, *lines: str) -> DataFrame:
     rows = [(section, i - len(lines), x) for i, x in enumerate(lines)]
-    return df.sparkSession.createDataFrame(rows, "section int, ord int, line string")
+    return df.sparkSession.createDataFrame(rows, "section int, ord long, line string")
 
 
 def _numbered(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.row_number().over(Window.orderBy("section", "ord")).alias("line_no"), "line")
+    return numbered(out, ["section", "ord"], "line_no").select("line_no", "line")
 
 
 def report_json(metrics: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def report_markdown(configs: DataFrame, metrics: DataFrame, failures: DataFrame,
     """(line_no, line) of a report: configs (ord, strategy, dense_top_k, sparse_top_k, rrf_k, rerank_enabled, rerank_top_k, final_top_k), metrics (ord, strategy and
     the columns of retrieval_metrics), failures (ord, strategy, id, first_relevant_rank, citation_hit, error), of which each strategy's first few are shown.
 
-    A report has a few rows for each strategy.
+    Lines are numbered by ranges of their order, so that a report of any length is made by many tasks.
     """
     yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
     config = F.format_string("| %s | %d | %d | %d | %s | %d | %d |", "strategy", "dense_top_k", "sparse_top_k", "rrf_k", yes("rerank_enabled"), "rerank_top_k", "final_top_k")
