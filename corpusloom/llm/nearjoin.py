@@ -304,13 +304,13 @@ def _block_links(percent: int):
 
 def _blocks(hot: DataFrame, nodes: DataFrame, percent: int, n_live: int) -> DataFrame:
     """Links (a, b) between sets of different components that share a posting of hot (shingle, rep, n, component, all)."""
-    first = F.max(F.struct("all", "shingle"))
-    homes = written(few(hot.groupBy("rep", "n", "component").agg(first.alias("home")), n_live), "homes")
+    home = F.max(F.struct("all", "shingle")).over(Window.partitionBy("rep"))
+    held = written(few(hot.select("shingle", "rep", "n", "component", home.alias("home")), n_live * 64), "held")
+    homes = written(few(held.select("rep", "n", "component", "home").distinct(), n_live), "homes")
     # a home of few sets joins the most frequent one that its sets' shingles lead to, so that blocks are full
     full = homes.groupBy("home").agg((F.sum(F.col("n") + SET) >= BLOCK // 2).alias("full"))
-    held = hot.select("shingle", "rep").join(small(homes.select("rep", "home"), n_live), "rep")
     led = held.groupBy("shingle").agg(F.max("home").alias("led"))
-    led = held.join(led, "shingle").groupBy("rep").agg(F.max("led").alias("led"))
+    led = held.select("shingle", "rep").join(led, "shingle").groupBy("rep").agg(F.max("led").alias("led"))
     homes = homes.join(small(full, n_live), "home").join(small(led, n_live), "rep").select("rep", (F.col("n") + SET).alias("n"), "component", F.when(F.col("full"), F.col("home")).otherwise(F.col("led"))["shingle"].alias("home"))
     homes = written(few(homes, n_live), "homes")
     # a component that fills blocks of its own need not be compared with itself
