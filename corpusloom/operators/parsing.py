@@ -185,14 +185,20 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("int")
     text = pages.select(F.col("document_id").cast("string").alias("document_id"), F.col("page").cast("int").alias("page"), clean_text(F.col("text")).alias("content"))
-    block = F.struct(
-        "content",
-        F.col("page").alias("page_start"),
-        F.col("page").alias("page_end"),
-        none.alias("para_from"),
-        none.alias("para_to"),
-        F.lit("").alias("heading_path"),
-        F.create_map(F.lit("page_start"), F.col("page").cast("string"), F.lit("page_end"), F.col("page").cast("string")).alias("metadata"),
-    )
-    grouped = text.groupBy("document_id").agg(F.array_sort(F.collect_list(F.when(F.col("content") != "", F.struct(F.col("page").alias("at"), block.alias("block"))))).alias("found"))
-    return grouped.select("document_id", F.transform("found", lambda x: x["block"]).alias("blocks")).withColumn("error_code", F.when(F.size("blocks") == 0, "EMPTY_DOCUMENT"))
+    found = F.array_sort(F.collect_list(F.when(F.col("content") != "", F.struct("page", "content"))))
+    # blocks are made of sorted rows: their maps have no order
+
+    def block(p):
+        number = p["page"].cast("string")
+        return F.struct(
+            p["content"].alias("content"),
+            p["page"].alias("page_start"),
+            p["page"].alias("page_end"),
+            none.alias("para_from"),
+            none.alias("para_to"),
+            F.lit("").alias("heading_path"),
+            F.create_map(F.lit("page_start"), number, F.lit("page_end"), number).alias("metadata"),
+        )
+
+    grouped = text.groupBy("document_id").agg(found.alias("found"))
+    return grouped.select("document_id", F.transform("found", block).alias("blocks")).withColumn("error_code", F.when(F.size("blocks") == 0, "EMPTY_DOCUMENT"))
