@@ -16,7 +16,7 @@ for each key, then what still meets in different components.
 
 Defined cases: null or empty texts have the empty set and link with nothing; texts shorter than
 a shingle have their whole word sequence as one; a null doc_id takes part like a document before all
-others; rows that repeat a doc_id share its links and are kept or not together; a class is kept once by the smallest id; other columns are not
+others; rows that repeat a doc_id and a text share its links and are kept or not together (of different texts under one doc_id the links of one count); a class is kept once by the smallest id; other columns are not
 read.  A very long text is one row of a task; its signature is as short as any.
 """
 

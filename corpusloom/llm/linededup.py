@@ -9,7 +9,7 @@ host or line costs one partial row for each task.  The boilerplate lines of a
 host number at most its lines a page over the ratio; they go back to the pages
 by a join on (host, line) that is salted on the page's side.
 
-Defined cases: a null host is a host of its own; null texts stay null and count as
+Defined cases: a very long text is taken whole, as one row of a task; a null host is a host of its own; null texts stay null and count as
 pages; lines without a word are never dropped; lines are compared whole; repeats
 of a line in a page count once but all go; every row is a page, and rows that repeat a doc_id lose the lines that any of them loses;
 a line on fewer than `min_holders` pages of its host stays, whatever the size of the host; columns pass through.

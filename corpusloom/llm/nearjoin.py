@@ -33,7 +33,7 @@ quadratic in that group, at the cost of a product of two numbers each.
 Defined cases: null or empty texts have the empty set and link with nothing;
 texts shorter than a shingle have their whole word sequence as one shingle;
 a null doc_id takes part like a document before all others; rows that repeat
-a doc_id share its links.
+a doc_id and a text share its links (of different texts under one doc_id those of one count).
 """
 
 from __future__ import annotations

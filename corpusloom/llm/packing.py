@@ -8,7 +8,7 @@ or exchanging one or two of its documents for a smaller one there, each step mov
 tokens from the emptier to the fuller bin, which raises the sum of squared fills.
 Bins that stay underfull are opened and dealt into new, fewer groups, until one group is left or a level saves no bin.
 
-Defined cases: null and empty texts are one piece with the end token alone; repeated
+Defined cases: a very long text is taken whole, as one row of a task; null and empty texts are one piece with the end token alone; repeated
 rows are packed row by row; a null doc_id stays null; all pieces of a document may be in different sequences.
 """
 

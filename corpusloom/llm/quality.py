@@ -4,7 +4,7 @@ Words are runs without white space.  All counts come from the whole text; no
 user function and no shuffle is involved.  Repeated 8-word windows are found by
 64-bit hashes within one text, sorted there, and only in texts whose window hashes aren't all distinct.
 
-Defined cases: null and empty texts have no words, fail the base rule and are
+Defined cases: a very long text is taken whole, as one row of a task; null and empty texts have no words, fail the base rule and are
 not kept; ratios of an empty text are 0; repeated rows are judged row by row;
 other columns pass through, and one that has the name of a result column is replaced.
 """

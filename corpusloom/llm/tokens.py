@@ -11,7 +11,7 @@ Texts of common Latin characters are split by a pattern over explicit
 ranges; any other text goes through the tokenizer file's own normalizer and
 pre-tokenizer, so both give the library's pre-tokens.
 
-Defined cases: a null or empty text has 0 tokens; the strings of special tokens
+Defined cases: a very long text is taken whole, as one row of a task; a null or empty text has 0 tokens; the strings of special tokens
 inside a text are found as the library finds them, and count one each; repeated
 rows are counted row by row; other columns pass through.
 """
