@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.costs import Pricing, embedding_cost, rerank_cost
 from ..functions.ids import content_hash, stable_id
-from ..functions.text import estimate_tokens, normalize_evidence
+from ..functions.text import estimate_tokens
 from ..sources.checkpoints import checkpointed
 from .order import nearest_ranks
 
@@ -49,17 +49,6 @@ def first_relevant_rank(marked: DataFrame) -> DataFrame:
     return marked.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("relevant"), F.col("rank"))), F.lit(0)).alias("first_relevant_rank"))
 
 
-def missing_evidence(questions: DataFrame, chunks: DataFrame, most_chunks: int = 100) -> DataFrame:
-    """(query_id, evidence) that is in none of the expected sources' texts, white space and backticks aside. chunks: (source, chunk_index, content); a source counts with its first most_chunks."""
-    wanted = questions.select("query_id", "expected_sources", F.explode("expected_evidence").alias("evidence"))
-    pairs = wanted.select("query_id", "evidence", F.explode_outer("expected_sources").alias("source"))
-    need = pairs.select("source").distinct()
-    texts = chunks.filter(F.col("chunk_index") < most_chunks).join(need, "source", "left_semi").groupBy("source")
-    texts = texts.agg(normalize_evidence(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "")).alias("body"))
-    found = pairs.join(texts, "source", "left").groupBy("query_id", "evidence").agg(F.coalesce(F.bool_or(F.contains("body", normalize_evidence(F.col("evidence")))), F.lit(False)).alias("found"))
-    return found.filter(~F.col("found")).select("query_id", "evidence")
-
-
 def _rank_measures() -> list[Column]:
     r = F.col("first_relevant_rank")
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))

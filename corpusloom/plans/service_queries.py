@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.costs import Pricing
-from ..operators import chat, embedding, evaluation, governance, inverted, lifecycle, limits, retrieval
+from ..operators import chat, embedding, evaluation, evidence, governance, inverted, lifecycle, limits, quantised, retrieval
 from ..sources.checkpoints import checkpointed
 from .mapping import DOCUMENTS_SQL, JOBS_SQL, KBS_SQL, MESSAGES_SQL, PIECES_SQL, USAGE_SQL, documents, jobs, knowledge_bases, messages, pieces, table, usage
 from .registry import query
@@ -68,6 +68,12 @@ def dense_topk(spark, sf_dir):
     return retrieval.dense_topk(*_vectors(spark, sf_dir), 10)
 
 
+@query(f"with {_DENSE}, r as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id)::int as rank from s) select * from r where rank <= 10")
+def pruned_dense_topk(spark, sf_dir):
+    """The same rows by a first pass in eight bits."""
+    return quantised.pruned_dense_topk(*_vectors(spark, sf_dir), 10)
+
+
 def questions(spark, sf_dir):
     """Benchmark items as queries against all documents in one knowledge base."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("knowledge_base_id"), F.col("text").alias("question"))
@@ -317,7 +323,7 @@ def missing_evidence(spark, sf_dir):
     asked = d.select("doc_id", F.element_at(F.split("text", "\n", -1), -1).alias("last"), (F.col("doc_id") % b.count()).alias("item_id")).join(b.filter("text is not null").select("item_id", "text"), "item_id")
     q = asked.select(F.col("doc_id").alias("query_id"), F.array(F.col("doc_id").cast("string")).alias("expected_sources"), F.array("text", "last").alias("expected_evidence"))
     chunks = d.select(F.col("doc_id").cast("string").alias("source"), F.posexplode(F.split("text", "\n", -1)).alias("chunk_index", "content"))
-    return evaluation.missing_evidence(q, chunks, 100)
+    return evidence.missing_evidence(q, chunks, 100)
 
 
 @query("select distinct e.item_id as id, s.strategy from benchmark e, (values ('a'), ('b')) s(strategy) where not (e.item_id % 3 = 0 and s.strategy = 'a') ")
