@@ -69,7 +69,8 @@ def looks_like_text(content: Column) -> Column:
     text = F.upper(F.regexp_replace(F.decode(head, "ISO-8859-1"), r"^[\t\n\f\r ]+", ""))
     markup = text.rlike(r"^<(!DOCTYPE HTML|HTML|HEAD|SCRIPT|IFRAME|H1|DIV|FONT|TABLE|A|STYLE|TITLE|B|BODY|BR|P|!--)[ >]") | text.startswith("<?XML")
     binary = code.rlike("^(..)*(0[0-8BEF]|1[0-9A]|1[C-F])") & ~code.rlike("^(FEFF|FFFE|EFBBBF)")
-    magic = code.rlike("^(25504446|504B0304|25215053|1F8B08|526172|474946|89504E47|FFD8FF)")
+    # whole signatures: %PDF-, PK\3\4, %!PS-Adobe-, gzip, Rar!\x1a\7, GIF87a and GIF89a, PNG, JPEG; words may begin like them
+    magic = code.rlike("^(255044462D|504B0304|252150532D41646F62652D|1F8B08|526172211A07|474946383[79]61|89504E470D0A1A0A|FFD8FF)")
     return ~(markup | binary | magic)
 
 
