@@ -38,7 +38,9 @@ def markdown_heading(c: Column) -> Column:
 def search_terms(c: Column) -> Column:
     """Lower-case ASCII words, single CJK characters and bigrams of neighbours, with repeats."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9]+|[一-龥]"), F.lit(0)), F.regexp_extract_all(low, F.lit("(?=([一-龥]{2}))"), F.lit(1)))
+    # the search for bigrams stops at every character: only for texts that have one
+    bigrams = F.when(low.rlike("[一-龥]{2}"), F.regexp_extract_all(low, F.lit("(?=([一-龥]{2}))"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9]+|[一-龥]"), F.lit(0)), bigrams)
 
 
 def primary_terms(c: Column) -> Column:

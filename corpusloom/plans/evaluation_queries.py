@@ -28,7 +28,7 @@ def _expected(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     q, d = questions(spark, sf_dir)
-    return retrieval.sparse_topk(q, d, 20).join(d.select("chunk_id", "document_id", "filename"), "chunk_id")
+    return retrieval.few_hits(retrieval.sparse_topk(q, retrieval.over_all_cores(d), 20)).join(d.select("chunk_id", "document_id", "filename"), "chunk_id")
 
 
 _RELEVANT = f"""{SPARSE_SQL}, rel as (select query_id, chunk_id, rank, chunk_id in (query_id * 3, query_id * 3 + 1) or (chunk_id % 40 = query_id % 40 and chunk_id between query_id and query_id + 360) as relevant,
@@ -131,7 +131,7 @@ def complete_strategies(spark, sf_dir):
 )
 def retrieval_trace(spark, sf_dir):
     q, d = questions(spark, sf_dir)
-    return chat.retrieval_trace(*retrieval.retrieve(q, d, retrieval.RetrievalConfig(dense_top_k=0, final_top_k=20)))
+    return chat.retrieval_trace(*retrieval.retrieve(q, retrieval.over_all_cores(d), retrieval.RetrievalConfig(dense_top_k=0, final_top_k=20)))
 
 
 @query(

@@ -137,7 +137,7 @@ _RERANK = """txt as (select fused.*, d.text as content, b.text as question from
 
 
 def _with_texts(hits, q, d):
-    return hits.join(d.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "question"), "query_id")
+    return retrieval.few_hits(hits).join(d.select("chunk_id", "content"), "chunk_id").join(q.select("query_id", "question"), "query_id")
 
 
 @query(f"with {SPARSE_SQL}, {_SECOND}, {_RERANK} select query_id, chunk_id, round(rr, 9) as rerank_score, rank from reranked where rank <= 15")
@@ -163,7 +163,7 @@ def rerank_fallback(spark, sf_dir):
 )
 def retrieve_responses(spark, sf_dir):
     q, d = questions(spark, sf_dir)
-    return retrieval.retrieve(embedding.with_embeddings(q, "question"), embedding.with_embeddings(d, "content"), retrieval.RetrievalConfig())[1]
+    return retrieval.retrieve(embedding.with_embeddings(q, "question"), retrieval.over_all_cores(d), retrieval.RetrievalConfig())[1]
 
 
 @query(f"with {SPARSE_SQL}, {_SECOND} select query_id, chunk_id, rrf_score as score from fused where rrf_score >= 0.02")
@@ -189,7 +189,7 @@ def retrieve_reranked(spark, sf_dir):
     """retrieve() with the reranker on."""
     q, d = questions(spark, sf_dir)
     config = retrieval.RetrievalConfig(rerank_enabled=True)
-    return retrieval.retrieve(embedding.with_embeddings(q, "question"), embedding.with_embeddings(retrieval.over_all_cores(d), "content"), config)[1]
+    return retrieval.retrieve(embedding.with_embeddings(q, "question"), retrieval.over_all_cores(d), config)[1]
 
 
 # evaluation
@@ -366,14 +366,14 @@ def rewrite_queries(spark, sf_dir):
 )
 def limit_context(spark, sf_dir):
     q, d = questions(spark, sf_dir)
-    r = retrieval.sparse_topk(q, d, 20).join(d.select("chunk_id", "content"), "chunk_id").withColumn("token_count", F.ceil(F.length("content") / 4))
+    r = retrieval.few_hits(retrieval.sparse_topk(q, retrieval.over_all_cores(d), 20)).join(d.select("chunk_id", "content"), "chunk_id").withColumn("token_count", F.ceil(F.length("content") / 4))
     return chat.number_evidence(chat.limit_context(r, 2000)).select("query_id", "chunk_id", "rank", "number")
 
 
 def _evidence(spark, sf_dir):
     q, d = questions(spark, sf_dir)
     none = F.lit(None).cast("int")
-    r = retrieval.final_topk(retrieval.sparse_topk(q, d, 20), 5).join(d.select("chunk_id", "document_id", "filename", "content"), "chunk_id")
+    r = retrieval.few_hits(retrieval.final_topk(retrieval.sparse_topk(q, retrieval.over_all_cores(d), 20), 5)).join(d.select("chunk_id", "document_id", "filename", "content"), "chunk_id")
     return q, chat.number_evidence(r).withColumns({"page_start": none, "page_end": none, "heading_path": F.lit(""), "chunk_index": F.col("rank") - 1})
 
 
