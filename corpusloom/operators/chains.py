@@ -6,7 +6,7 @@ came before it: the hit that would open the next window if this one opened a win
 from the key's first hit, and is found without a fold:
 
 1. Rows are sorted by ranges of (key, time), so a key spreads over blocks, one a partition.
-2. A few numbers of each block (hits, last hit, first success) tell every block in which other block a
+2. A few numbers of each block (hits, last hit, first success) and of its first and last key, as others lie in it alone, tell every block in which other block a
    successor lies.
 3. In a block all successors are found at once by binary search, and by pointer doubling the last hit of the path
    through the block from any of its hits, its exit.  Exits whose successor lies in another block are sent there and come
@@ -15,7 +15,7 @@ from the key's first hit, and is found without a fold:
    the first on; after log2(blocks) rounds all are.
 5. Each block gets the window that is open when it begins, walks from window to window, and numbers its rows.
 
-Tasks hold a block; the driver holds the numbers of step 2 and a window for each block and key.
+Tasks hold a block of some BLOCK_ROWS rows; the driver and tasks hold the numbers of step 2 and a window, for two keys of each block.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from ..sources.checkpoints import checkpointed
 
 NEVER = 2**62
+#: Rows of a block, on average: what a task holds.
+BLOCK_ROWS = 100_000
 
 
 @dataclass
@@ -140,30 +142,44 @@ def _whole(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
 
 
 def spread(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """rows sorted by ranges of (key, order), kept as they are now: + _pid, the block of a row."""
-    return checkpointed(rows.repartitionByRange(key, *order).sortWithinPartitions(key, *order).withColumn("_pid", F.spark_partition_id()))
+    """rows sorted by ranges of (key, order), kept as they are now: + _pid, the block of a row.
+
+    There are as many blocks as keep them at BLOCK_ROWS, and two for each core at least; sizes in bytes, by which Spark would merge them, say little of rows.
+    """
+    rows = checkpointed(rows)  # counted, sampled and dealt
+    blocks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BLOCK_ROWS))
+    return checkpointed(rows.repartitionByRange(blocks, key, *order).sortWithinPartitions(key, *order).withColumn("_pid", F.spark_partition_id()))
+
+
+def _summary(k, pid: int, t: np.ndarray, ok: np.ndarray) -> tuple:
+    hits, good = np.flatnonzero(~ok), np.flatnonzero(ok)
+    return str(k), pid, len(hits), int(t[hits[-1]]) if len(hits) else -NEVER, int(t[good[0]]) if len(good) else NEVER, int(good[0]) if len(good) else len(hits)
+
+
+def _joined(found) -> dict[object, KeyBlocks]:
+    out: dict[object, KeyBlocks] = {}
+    for k, *values in found:
+        own = out.setdefault(k, KeyBlocks())
+        for name, value in zip(("pids", "hits", "last", "success", "before"), values, strict=True):
+            getattr(own, name).append(value)
+    return {k: v.settle() for k, v in out.items()}
 
 
 def _summaries(rows: DataFrame) -> dict[object, KeyBlocks]:
+    """Of the first and the last key of each block: only these can lie in others too."""
+
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = _whole(pdfs)
-        out = []
-        for k, part in _parts(pdf) if pdf is not None else ():
-            t, ok = pdf["_t"].to_numpy()[part], pdf["_ok"].to_numpy()[part]
-            hits, good = np.flatnonzero(~ok), np.flatnonzero(ok)
-            out.append((str(k), int(pdf["_pid"].iloc[0]), len(hits), int(t[hits[-1]]) if len(hits) else -NEVER, int(t[good[0]]) if len(good) else NEVER, int(good[0]) if len(good) else len(hits)))
+        parts = list(_parts(pdf)) if pdf is not None else []
+        out = [_summary(k, int(pdf["_pid"].iloc[0]), pdf["_t"].to_numpy()[part], pdf["_ok"].to_numpy()[part]) for k, part in parts[:1] + parts[1:][-1:]]
         yield pd.DataFrame(out, columns=["k", "pid", "hits", "last", "success", "before"])
 
-    found: dict[object, KeyBlocks] = {}
-    for r in sorted(rows.select("_k", "_t", "_ok", "_pid").mapInPandas(run, "k string, pid int, hits long, last long, success long, before long").collect(), key=lambda r: r.pid):  # one for each block and key
-        own = found.setdefault(r.k, KeyBlocks())
-        for name, value in (("pids", r.pid), ("hits", r.hits), ("last", r.last), ("success", r.success), ("before", r.before)):
-            getattr(own, name).append(value)
-    return {k: v.settle() for k, v in found.items()}
+    found = rows.select("_k", "_t", "_ok", "_pid").mapInPandas(run, "k string, pid int, hits long, last long, success long, before long").collect()  # two for each block
+    return _joined(sorted(found, key=lambda r: r.pid))
 
 
 def open_windows(rows: DataFrame, known, rule: Rule) -> dict[object, dict[int, tuple]]:
-    """For each key the exits on its path, at most one for each block: rank -> (time, pid, whether the successor goes by rank, its rank or time, block of the next success).
+    """For each key that may lie in several blocks the exits on its path, at most one for each block: rank -> (time, pid, whether the successor goes by rank, its rank or time, block of the next success).
 
     rows: _k, _t, _ok, _pid as made by spread(); known: broadcast _summaries.
     """
@@ -171,6 +187,8 @@ def open_windows(rows: DataFrame, known, rule: Rule) -> dict[object, dict[int, t
     def leave(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf, out = _whole(pdfs), []
         for k, part in _parts(pdf) if pdf is not None else ():
+            if str(k) not in known.value:
+                continue
             blocks, pid = known.value[str(k)], int(pdf["_pid"].iloc[0])
             block = Block(pdf["_t"].to_numpy()[part], pdf["_ok"].to_numpy()[part], blocks, pid, rule)
             if not len(block.t):
@@ -189,8 +207,9 @@ def open_windows(rows: DataFrame, known, rule: Rule) -> dict[object, dict[int, t
     def arrive(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"k": pd.Series([], dtype=object), "rank": pd.Series([], dtype="int64"), "next": pd.Series([], dtype="int64")})]
         right = right.sort_values(["_k", "_at"], kind="stable").reset_index(drop=True)
+        wanted = dict(list(left.groupby("k")))
         for k, part in _parts(right):
-            asked = left[left["k"] == str(k)]
+            asked = wanted.get(str(k), left.iloc[:0])
             if len(asked):
                 block = Block(right["_t"].to_numpy()[part], right["_ok"].to_numpy()[part], known.value[str(k)], int(right["_pid"].iloc[0]), rule)
                 to = block.exits()[block.entry(asked["by_rank"].to_numpy(bool), asked["value"].to_numpy())]
@@ -261,8 +280,9 @@ def replay(rows: DataFrame, key: str, t: str, ok: str | None, order: list[str],
             return
         parts = []
         for k, part in _parts(pdf):
-            times = pdf["_t"].to_numpy()[part]
-            numbered = Numbered(times, pdf["_ok"].to_numpy()[part], known.value[str(k)], int(pdf["_pid"].iloc[0]), rule, paths.value.get(str(k), {}))
+            times, ok, pid = pdf["_t"].to_numpy()[part], pdf["_ok"].to_numpy()[part], int(pdf["_pid"].iloc[0])
+            blocks = known.value.get(str(k)) or _joined([_summary(k, pid, times, ok)])[str(k)]
+            numbered = Numbered(times, ok, blocks, pid, rule, paths.value.get(str(k), {}))
             parts.append(pdf.iloc[part][names].assign(**outputs(times, numbered)))
         yield pd.concat(parts)
 
