@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from .parsing import parse_documents
 # Boundaries by preference.
 BOUNDARIES = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ", "，", ", ", " ")
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Documents whose blocks a task holds as Python objects at a time.
+DOCUMENTS = 128
 CHUNK = "document_id string, chunk_index int, content string, token_count int, content_hash string, page_start int, page_end int, heading_path string, metadata map<string,string>, error_code string"
 
 
@@ -101,15 +103,19 @@ def chunk_documents(df: DataFrame, chunk_size: int = 800, overlap: int = 120) ->
     """
     if chunk_size <= 0 or overlap < 0 or overlap >= chunk_size:
         raise ValueError(f"invalid chunk settings: size={chunk_size} overlap={overlap}")
-    names = [x.split()[0] for x in CHUNK.split(", ")]
+    text, number = pa.string(), pa.int32()
+    kinds = {"chunk_index": number, "token_count": number, "page_start": number, "page_end": number, "metadata": pa.map_(text, text)}
+    schema = pa.schema([(c, kinds.get(c, text)) for c in (x.split()[0] for x in CHUNK.split(", "))])
 
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = [r for d, b, e in zip(pdf["document_id"], pdf["blocks"], pdf["error_code"], strict=True) for r in ([{"document_id": d, "error_code": e}] if e else _chunks(d, b, chunk_size, overlap))]
-            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in names}).astype({c: "Int64" for c in ("chunk_index", "token_count", "page_start", "page_end")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), DOCUMENTS):  # Arrow's batch is compact, the objects made of it are not
+                own = batch.slice(a, DOCUMENTS).to_pylist()
+                rows = [r for x in own for r in ([{"document_id": x["document_id"], "error_code": x["error_code"]}] if x["error_code"] else _chunks(x["document_id"], x["blocks"], chunk_size, overlap))]
+                yield pa.RecordBatch.from_pylist([r | {"metadata": list(r["metadata"].items()) if r.get("metadata") is not None else None} for r in rows], schema)
 
     error = F.col("error_code") if "error_code" in df.columns else F.lit(None)
-    return df.select(F.col("document_id").cast("string").alias("document_id"), "blocks", error.cast("string").alias("error_code")).mapInPandas(run, CHUNK)
+    return df.select(F.col("document_id").cast("string").alias("document_id"), "blocks", error.cast("string").alias("error_code")).mapInArrow(run, CHUNK)
 
 
 def index_corpus(files: DataFrame, chunk_size: int = 800, overlap: int = 120, dimension: int = 1024, namespace: str = "6ba7b810-9dad-11d1-80b4-00c04fd430c8", embedder=None) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from ..functions.text import split_paragraphs
 from ..schemas import BLOCK
 
 BLOCKS = f"array<{BLOCK}>"
+#: Documents that a task parses before it hands their blocks on.
+DOCUMENTS = 128
 PARSED = f"document_id string, blocks {BLOCKS}, error_code string"
 _SPACES = re.compile("[^\\S\n]+")
 _CONTROL = regex.compile(r"[\p{Cc}\p{Cf}--[\n\t]]", regex.V1)
@@ -123,16 +125,22 @@ def docx_blocks(content: bytes) -> list[dict]:
 
 
 def _helper(one):
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = []
-            for document, content in zip(pdf["document_id"], pdf["content"], strict=True):
-                try:
-                    blocks = one(content) if content is not None else []
-                    rows.append((document, blocks, None if blocks else "EMPTY_DOCUMENT"))
-                except ValueError:
-                    rows.append((document, None, "DOCUMENT_PARSE_FAILED"))
-            yield pd.DataFrame(rows, columns=["document_id", "blocks", "error_code"])
+    text, number = pa.string(), pa.int32()
+    kinds = {"page_start": number, "page_end": number, "para_from": number, "para_to": number, "metadata": pa.map_(text, text)}
+    block = pa.struct([(c, kinds.get(c, text)) for c in ("content", "page_start", "page_end", "para_from", "para_to", "heading_path", "metadata")])
+    schema = pa.schema([("document_id", text), ("blocks", pa.list_(block)), ("error_code", text)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), DOCUMENTS):  # few documents are objects at a time
+                rows = []
+                for x in batch.slice(a, DOCUMENTS).to_pylist():
+                    try:
+                        blocks = one(x["content"]) if x["content"] is not None else []
+                        rows.append({"document_id": x["document_id"], "blocks": [b | {"metadata": list(b["metadata"].items())} for b in blocks], "error_code": None if blocks else "EMPTY_DOCUMENT"})
+                    except ValueError:
+                        rows.append({"document_id": x["document_id"], "blocks": None, "error_code": "DOCUMENT_PARSE_FAILED"})
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
@@ -156,12 +164,12 @@ def parse_text(df: DataFrame) -> DataFrame:
 
 def parse_markdown(df: DataFrame) -> DataFrame:
     """(document_id, content string) -> (document_id, blocks, error_code)."""
-    return df.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInPandas(_helper(markdown_blocks), PARSED)
+    return df.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInArrow(_helper(markdown_blocks), PARSED)
 
 
 def parse_docx(df: DataFrame) -> DataFrame:
     """(document_id, content binary) -> (document_id, blocks, error_code)."""
-    return df.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInPandas(_helper(docx_blocks), PARSED)
+    return df.select(F.col("document_id").cast("string").alias("document_id"), "content").mapInArrow(_helper(docx_blocks), PARSED)
 
 
 def parse_documents(df: DataFrame) -> DataFrame:
