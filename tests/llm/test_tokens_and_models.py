@@ -251,3 +251,57 @@ def test_the_head_is_found_by_a_histogram(spark):
     for most, want in ((8, 8), (7, 6), (6, 6), (5, 3), (2, 2), (1, 0)):
         assert lmscore.frequent(df, most).count() == want
     assert lmscore.frequent(df.limit(0), 3).count() == 0
+
+
+def test_groups_of_classes():
+    """Many classes are factored into groups: chances of all words sum to one, the fresh model is the unigram model, and gradients are those of the loss."""
+    rng = np.random.default_rng(8)
+    counts = np.sort(rng.zipf(1.3, 4000).clip(1, 10**5))[::-1].astype(np.int64)
+    head = lmscore.Head.of(np.arange(1, 4001).astype(np.uint64), counts, int(counts.sum()) + 50, 4010)
+    model = Model.fresh(head.layout, 3, head.class_counts, head.word_counts)
+    assert len(head.layout.groups) > 3
+    ids = np.arange(head.layout.words + lmscore.TAILS)
+    x = np.tile(rng.normal(0, 1, 3).astype(np.float32), (len(ids), 1))
+    learned = np.diff(head.layout.bounds)
+    classes = np.append(head.class_counts + 1, []) / (head.class_counts + 1).sum()
+    within = (counts + 1) / np.repeat(np.add.reduceat(counts + 1.0, head.layout.bounds[:-1]), learned)
+    assert np.allclose(np.exp(model._logs(x, ids)), np.append(np.repeat(classes[:-1], learned) * within, classes[-1]), rtol=1e-3)
+    model.values = {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in model.values.items()}
+    assert abs(np.exp(model._logs(x, ids)).sum() - 1) < 1e-3
+    import corpusloom.llm.recurrent as recurrent
+
+    float32, recurrent.np.float32 = np.float32, np.float64
+    try:
+        model.values = {k: v.astype(np.float64) for k, v in model.values.items()}
+        sizes = np.array([9, 12, 3, 16])
+        inputs, outputs, keep, live, _ = next(model._windows(deal(rng.integers(0, len(ids), 40) // rng.integers(1, 30, 40), sizes, 2)))
+        h = np.zeros((inputs.shape[1], 3))
+
+        def loss():
+            logs = model._logs(model._states(inputs, keep, h)[1].reshape(-1, 3), outputs.ravel())
+            return -logs[live.ravel()].sum() * 16 / live.sum()
+
+        trace, after, _ = model._states(inputs, keep, h)
+        grads = model._gradients(trace, after, inputs, outputs, keep, live)
+        assert set(grads) == set(model.values)
+        for name, g in grads.items():
+            for at in zip(*np.unravel_index(np.argsort(-abs(g).ravel())[[0, 1, 5, 40]] if g.size > 40 else [0], g.shape), strict=True):
+                step = 1e-5
+                model.values[name][at] += step
+                up = loss()
+                model.values[name][at] -= 2 * step
+                down = loss()
+                model.values[name][at] += step
+                assert abs((up - down) / (2 * step) - g[at]) < 1e-4, name
+    finally:
+        recurrent.np.float32 = float32
+
+
+def test_a_window_trains_few_words_of_a_large_head():
+    """The work of a window goes with its words: once it moved nearly every word of the head."""
+    counts = (2e6 / np.arange(5, 60005)).astype(np.int64)
+    head = lmscore.Head.of(np.arange(1, 60001).astype(np.uint64), counts, int(counts.sum()), 60000)
+    model = Model.fresh(head.layout, 4, head.class_counts, head.word_counts)
+    words = np.random.default_rng(9).choice(60000, 4096, p=counts / counts.sum())
+    model.train(deal(words, np.full(256, 16), 256))
+    assert (model.values["word_bias"] != Model.fresh(head.layout, 4, head.class_counts, head.word_counts).values["word_bias"]).mean() < 0.4
