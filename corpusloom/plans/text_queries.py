@@ -232,7 +232,7 @@ def _files(spark, sf_dir):
 @query()
 def parse_documents(spark, sf_dir):
     p = parsing.parse_documents(_files(spark, sf_dir))
-    return p.select("document_id", F.size("blocks").alias("n_blocks"), F.element_at("blocks", -1)["heading_path"].alias("last_path"), F.sha2(F.array_join(F.transform("blocks", lambda b: b["content"]), "|"), 256).alias("content_sha"), "error_code")
+    return p.select("document_id", F.size("blocks").alias("n_blocks"), F.try_element_at("blocks", F.lit(-1))["heading_path"].alias("last_path"), F.sha2(F.array_join(F.transform("blocks", lambda b: b["content"]), "|"), 256).alias("content_sha"), "error_code")
 
 
 @query()
