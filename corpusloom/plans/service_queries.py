@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.costs import Pricing
 from ..operators import chat, embedding, evaluation, evidence, governance, inverted, lifecycle, limits, quantised, retrieval
-from ..sources.checkpoints import checkpointed
+from ..sources.checkpoints import checkpointed, written
 from .mapping import DOCUMENTS_SQL, JOBS_SQL, KBS_SQL, MESSAGES_SQL, PIECES_SQL, USAGE_SQL, documents, jobs, knowledge_bases, messages, pieces, table, usage
 from .registry import query
 
@@ -98,7 +98,7 @@ def indexed_topk(spark, sf_dir):
     """The search by an inverted index of all documents, built first."""
     q, d = questions(spark, sf_dir)
     index = inverted.build_index(d)
-    index = inverted.InvertedIndex(checkpointed(index.postings), index.blocks)
+    index = inverted.InvertedIndex(written(index.postings, "index"), index.blocks)
     return inverted.topk(q, index, 20).select("query_id", "chunk_id", "sparse_coverage", "sparse_score", "rank")
 
 
